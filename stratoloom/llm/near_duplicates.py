@@ -23,11 +23,10 @@ from ..session import Cuts, map_frames
 
 #: Runs of these characters of the lower-cased text are words.
 CODE_WORD = r"[a-z0-9_]+"
-_PRIME = np.uint64((1 << 61) - 1)
 
 
-def _shingle_hashes(words: F.Column, k: int) -> F.Column:
-    """Distinct hashes of the runs of ``k`` words."""
+def _shingle_hashes(k: int) -> F.Column:
+    """Distinct hashes of the runs of ``k`` words of the column ``_w``."""
     w = F.col("_w")
     return F.when(F.size(w) >= k, F.expr(f"array_distinct(transform(sequence(1, size(_w) - {k - 1}), i -> xxhash64(slice(_w, i, {k}))))"))
 
@@ -83,7 +82,7 @@ def near_duplicates(
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(text).alias("_text"))
         .select("_key", F.regexp_extract_all(F.lower("_text"), F.lit(word), F.lit(0)).alias("_w"))
-        .select("_key", _shingle_hashes(F.col("_w"), k).alias("sh"))
+        .select("_key", _shingle_hashes(k).alias("sh"))
         .where("sh is not null")
         .select("_key", F.array_sort("sh").alias("sh"))
     )
