@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy
+from . import hierarchy, relational
 
-_MODULES = (hierarchy,)
+_MODULES = (hierarchy, relational)
 
 
 def core_queries() -> dict:
