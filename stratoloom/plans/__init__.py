@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy, relational
+from . import hierarchy, history, relational
 
-_MODULES = (hierarchy, relational)
+_MODULES = (hierarchy, relational, history)
 
 
 def core_queries() -> dict:
