@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy, history, relational
+from . import hierarchy, history, relational, text, vectors
 
-_MODULES = (hierarchy, relational, history)
+_MODULES = (hierarchy, relational, history, vectors, text)
 
 
 def core_queries() -> dict:
