@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy, history, relational, text, vectors
+from . import graphs, hierarchy, history, relational, statistics, text, vectors
 
-_MODULES = (hierarchy, relational, history, vectors, text)
+_MODULES = (hierarchy, relational, history, vectors, text, graphs, statistics)
 
 
 def core_queries() -> dict:
