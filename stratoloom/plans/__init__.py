@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, hierarchy, history, relational, statistics, streams, text, vectors
+from . import graphs, hierarchy, history, learning, relational, statistics, streams, text, vectors
 
-_MODULES = (hierarchy, relational, history, vectors, text, graphs, statistics, streams)
+_MODULES = (hierarchy, relational, history, vectors, text, graphs, statistics, streams, learning)
 
 
 def core_queries() -> dict:
