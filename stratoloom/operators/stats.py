@@ -245,7 +245,7 @@ def bootstrap_interval(df: DataFrame, arm: str, treatment, control, value: str,
     rows = d.select("t", "v", "i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
     u = F.pmod(F.xxhash64("i", "r", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     w = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    b = rows.withColumn("w", w).groupBy("r").agg(*[(F.sum(F.when(F.col("t") == F.lit(x), F.col("v") * F.col("w"))) / F.sum(F.when(F.col("t") == F.lit(x), F.col("w")))).alias(n) for x, n in ((True, "a"), (False, "b"))])
+    b = rows.withColumn("w", w).groupBy("r").agg(*[F.try_divide(F.sum(F.when(F.col("t") == F.lit(x), F.col("v") * F.col("w"))), F.sum(F.when(F.col("t") == F.lit(x), F.col("w")))).alias(n) for x, n in ((True, "a"), (False, "b"))])
     point = d.agg((F.avg(F.when(F.col("t"), F.col("v"))) - F.avg(F.when(~F.col("t"), F.col("v")))).alias("diff"))
     ci = b.agg(F.percentile(F.col("a") - F.col("b"), F.lit(alpha / 2)).alias("low"), F.percentile(F.col("a") - F.col("b"), F.lit(1 - alpha / 2)).alias("high"))
     # both sides are one row
