@@ -88,7 +88,7 @@ class Grammar:
                 raise ValueError(f"grammar: {text[pos : pos + 40]!r}")
             pos = m.end()
             if m[2]:
-                toks.append(("t", m[2].replace("\\'", "'").replace("\\\\", "\\")))
+                toks.append(("t", re.sub(r"\\(.)", r"\1", m[2])))
             elif m[3]:
                 toks.append(("n", m[3]))
             elif m[4]:

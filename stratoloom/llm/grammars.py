@@ -199,7 +199,7 @@ tparams = '[' tparam ( ',' tparam )* ','? ']' ;
 tparam = ( '*' | '**' )? id ( ':' expr )? ( '=' '*'? expr )? ;
 targets = target ( ',' target )* ','? ;
 target = '*'? sum ;
-sum = unary ( ( '+' | '-' | '*' | '|' | '&' | '^' | OP ) unary )* ;
+sum = unary ( ( '+' | '-' | '*' | '/' | '@' | '|' | '&' | '^' | OP ) unary )* ;
 items = item ( ',' item )* ','? ;
 item = '*' sum | named ;
 named = id ':=' expr | expr ;

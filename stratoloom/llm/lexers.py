@@ -255,8 +255,12 @@ class JavaScript(Language):
 class Python(Language):
     grammar_text = grammars.PYTHON
     _pre = r"(?:[rRbBuUfFtT]|[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF])?"
+    #: A replacement field of an f-string may hold the quotes that enclose it.
+    _field_text = r"\{(?:[^{}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{[^{}\n]*\})*\}"
     pattern = (
-        rf"[ \t\f]+|\#[^\n\r]*|\\\r?\n|\r?\n[ \t\f]*|\r[ \t\f]*|{_pre}\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|{_pre}'''(?:[^\\']|\\.|'(?!''))*'''"
+        rf"[ \t\f]+|\#[^\n\r]*|\\\r?\n|\r?\n[ \t\f]*|\r[ \t\f]*"
+        rf"|[fF][rR]?'(?!'')(?:[^'\\\n{{]|\\.|\{{\{{|{_field_text})*'|[fF][rR]?\"(?!\"\")(?:[^\"\\\n{{]|\\.|\{{\{{|{_field_text})*\""
+        rf"|{_pre}\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|{_pre}'''(?:[^\\']|\\.|'(?!''))*'''"
         rf"|{_pre}\"(?!\"\")(?:[^\"\\\n\r]|\\(?:\r\n|.))*\"|{_pre}'(?!'')(?:[^'\\\n\r]|\\(?:\r\n|.))*'"
         r"|[^\W\d]\w*|0[xX](?:_?[\da-fA-F])+(?!\w)|0[bB](?:_?[01])+(?!\w)|0[oO](?:_?[0-7])+(?!\w)"
         r"|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?(?![^\W_a-zA-Z]|_|\d)"
@@ -452,8 +456,6 @@ class Rust(Language):
             if depth:
                 a, b = text.find("/*", i), text.find("*/", i)
                 if b < 0:
-                    out.append("/")  # never closed: leave something that parses as nothing
-                    out.append("\x00")
                     break
                 if 0 <= a < b:
                     depth, i = depth + 1, a + 2
@@ -468,6 +470,8 @@ class Rust(Language):
             else:
                 out.append(m[0])
             i = m.end()
+        if depth:
+            out.append("\x00")  # never closed: a character that starts no token
         return "".join(out)
 
 
