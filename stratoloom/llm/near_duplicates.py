@@ -25,10 +25,16 @@ from ..session import Cuts, map_frames
 CODE_WORD = r"[a-z0-9_]+"
 
 
-def _shingle_hashes(k: int) -> F.Column:
-    """Distinct hashes of the runs of ``k`` words of the column ``_w``."""
-    w = F.col("_w")
-    return F.when(F.size(w) >= k, F.expr(f"array_distinct(transform(sequence(1, size(_w) - {k - 1}), i -> xxhash64(slice(_w, i, {k}))))"))
+def _shingle_hashes(text: str, word: str, k: int) -> F.Column:
+    """Distinct hashes of the runs of ``k`` words of a text column, sorted; null for fewer words.
+
+    The words are bound to a variable, or the planner would find them anew for every run.
+    """
+    pattern = word.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(
+        f"transform(array(regexp_extract_all(lower({text}), '{pattern}', 0)), "
+        f"w -> if(size(w) >= {k}, array_sort(array_distinct(transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))))), null))[0]"
+    )
 
 
 def _mix(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -81,12 +87,10 @@ def near_duplicates(
         records.where(F.col(key).isNotNull() & F.col(text).isNotNull())
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(text).alias("_text"))
-        .select("_key", F.regexp_extract_all(F.lower("_text"), F.lit(word), F.lit(0)).alias("_w"))
-        .select("_key", _shingle_hashes(k).alias("sh"))
-        .where("sh is not null")
-        .select("_key", F.array_sort("sh").alias("sh"))
+        .select("_key", _shingle_hashes("_text", word, k).alias("sh"))
     )
-    rows = cuts.cut(rows.withColumn("set_id", F.xxhash64("sh")))
+    rows = cuts.cut(rows)
+    rows = rows.where("sh is not null").withColumn("set_id", F.xxhash64("sh"))
     # equal sets become one class; the sets themselves are compared again when pairs are verified
     members = cuts.cut(rows.join(rows.groupBy("set_id").agg(F.min("_key").alias("class_id")), "set_id").select("_key", "class_id"))
     reps = rows.join(members.where("_key = class_id").select(F.col("_key")), "_key").select(F.col("_key").alias("class_id"), "sh")
@@ -105,12 +109,15 @@ def near_duplicates(
     candidates = cuts.cut(a.join(b, "cell").where("class_a < class_b").select("class_a", "class_b").distinct())
     # the complete distance first, from the small fingerprints; then the exact sets
     most = int(segments * width * (1 - threshold + slack))
-    fa = reps.select(F.col("class_id").alias("class_a"), F.col("fp").alias("fp_a"), F.col("sh").alias("sh_a"))
-    fb = reps.select(F.col("class_id").alias("class_b"), F.col("fp").alias("fp_b"), F.col("sh").alias("sh_b"))
-    near = candidates.join(fa, "class_a").join(fb, "class_b").where(F.expr("aggregate(zip_with(fp_a, fp_b, (x, y) -> if(x = y, 0, 1)), 0, (s, x) -> s + x)") <= most)
+    fa = reps.select(F.col("class_id").alias("class_a"), F.col("fp").alias("fp_a"))
+    fb = reps.select(F.col("class_id").alias("class_b"), F.col("fp").alias("fp_b"))
+    distance = F.expr("aggregate(zip_with(fp_a, fp_b, (x, y) -> if(x = y, 0, 1)), 0, (s, x) -> s + x)")
+    near = cuts.cut(candidates.join(fa, "class_a").join(fb, "class_b").where(distance <= most).select("class_a", "class_b"))
+    sa = reps.select(F.col("class_id").alias("class_a"), F.col("sh").alias("sh_a"))
+    sb = reps.select(F.col("class_id").alias("class_b"), F.col("sh").alias("sh_b"))
     common = F.size(F.array_intersect("sh_a", "sh_b"))
     similarity = common / (F.size("sh_a") + F.size("sh_b") - common)
-    pairs = near.select("class_a", "class_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = near.join(sa, "class_a").join(sb, "class_b").select("class_a", "class_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     return members.withColumnRenamed("_key", key), cuts.cut(pairs)
 
 
