@@ -33,6 +33,7 @@ MINIFIED_NAMES = re.compile(r"[.-]min\.(?:m?js|css)$|\.(?:bundle|chunk)(?:\.[0-9
 LOCK_NAMES = frozenset(
     "package-lock.json npm-shrinkwrap.json composer.lock composer.lock.json yarn.lock pnpm-lock.yaml cargo.lock poetry.lock pipfile.lock pdm.lock uv.lock gemfile.lock go.sum mix.lock flake.lock packages.lock.json podfile.lock bun.lock".split()
 )
+LOCK_SUFFIX = re.compile(r"[-.]lock(?:\.(?:json|ya?ml|toml))?$")
 GENERATED_HEADER = re.compile(
     r"^(?:code |file |source )?generated (?:by|from|on|with|at|using|automatically)\b|^auto-?generated\b|^@generated\b|^<auto-?generated|^[^.;]{0,60}\bdo not (?:edit|modify|change|touch)\b"
     r"|\. do not edit\b|\bdon't (?:touch|edit|modify)\b|^(?:this file (?:was|is|has been) )?(?:automatically|auto-?)\s?(?:created|generated|produced|built|written|emitted)\b"
@@ -91,7 +92,7 @@ def opening_comments(text: str) -> list[str]:
 
 
 def literal_share(text: str, lang: str | None) -> float:
-    """Share of literals and the commas between them among the characters outside comments.
+    """Share of literals and the commas between them among the characters outside comments and documentation.
 
     0 for languages without a lexer, for JSON (which is data by its nature) and for a text that is
     one bracketed value and no declaration, such as a configuration under a wrong name.
@@ -100,11 +101,15 @@ def literal_share(text: str, lang: str | None) -> float:
     if lang_ is None or lang.strip().lower() == "json" or text.lstrip()[:1] in ("{", ""):
         return 0.0
     string, number, char = (lang_.grammar.kind.get(k) for k in ("STR", "NUM", "CHAR"))
-    kinds, data, total = lang_.kinds, 0, 0
+    kinds, data, total, fresh = lang_.kinds, 0, 0, True
     for s in lang_.find(text):
         k = kinds[s]
         if k.__class__ is tuple or k == -1 or k == -2:
+            fresh = fresh or k.__class__ is tuple or k == -2
             continue
+        if fresh and s[:3] in ('"""', "'''"):
+            continue  # a text in place of a comment
+        fresh = False
         total += len(s)
         if k is not None and k in (string, number, char) or s in (",", "-"):
             data += len(s)
@@ -129,7 +134,7 @@ def classify(path: str | None, lang: str | None, text: str | None) -> str | None
     parts = (path or "").replace("\\", "/").lstrip("./").split("/")
     name, dirs = parts[-1].lower(), [p.lower() for p in parts[:-1]]
     root = dirs[0] if dirs else ""
-    if name in LOCK_NAMES or GENERATED_NAMES.search(name) or GENERATED_DIRS.intersection(dirs) or root in ROOT_GENERATED_DIRS or OUTPUT_PATHS.search((path or "").lower()):
+    if name in LOCK_NAMES or LOCK_SUFFIX.search(name) or GENERATED_NAMES.search(name) or GENERATED_DIRS.intersection(dirs) or root in ROOT_GENERATED_DIRS or OUTPUT_PATHS.search((path or "").lower()):
         return "generated"
     heads = opening_comments(text) if text else []
     if any(GENERATED_HEADER.search(h) for h in heads):
