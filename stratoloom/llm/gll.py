@@ -12,7 +12,8 @@ through ``calls`` ends, and several start rules (dialects, or all the roles a
 bracket group can play) run together over the same stacks.
 
 The roles that a group's content can play are found once for each different
-content and kept, so that repeated structure is recognised once.
+content and kept, so that repeated structure is recognised once.  Where a
+grammar asks for it, statements are folded in the same way.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ OPEN = "([{"
 CLOSE = ")]}"
 #: Kinds 0-3 open a group and 4-7 close it; 3 and 7 are indentation.
 OPENERS = {"(": 0, "[": 1, "{": 2, "INDENT": 3}
+#: A statement up to its terminator is folded like a bracket group, where some rule has it as ``SEGMENT x END``.
+SEGMENT = 4
 CLOSERS = {")": 4, "]": 5, "}": 6, "DEDENT": 7}
 NEWLINE_FLAG = 1 << 20
 GROUP_BASE = 1 << 12
@@ -70,7 +73,10 @@ class Grammar:
         self.table: list[dict[int, tuple]] = []
         self._first()
         self.entry = {n: self._dstate({self.start[n]}) for n in self.rules}
-        self.by_bracket = [[(i, f"group{i}") for i, (b, _) in enumerate(self.groups) if b == br] for br in range(4)]
+        self.by_bracket = [[(i, f"group{i}") for i, (b, _) in enumerate(self.groups) if b == br] for br in range(5)]
+        self.segment_in: tuple[int, ...] = ()
+        self.terminator = -1
+        self._block_tokens: set[int] = set()
         self.classes: list[int] = []
         self._class_ids: dict[tuple[int, int], int] = {}
         self.memo: dict[tuple, int] = {}
@@ -113,7 +119,7 @@ class Grammar:
         parts = []
         while self._at < len(self._toks):
             what, s = self._toks[self._at]
-            if what == "p" and s in ";|)" or what == "t" and s in CLOSERS or what == "n" and s == "DEDENT":
+            if what == "p" and s in ";|)" or what == "t" and s in CLOSERS or what == "n" and s in ("DEDENT", "END"):
                 break
             self._at += 1
             if what == "p" and s == "(":
@@ -123,6 +129,10 @@ class Grammar:
                 item = ("any",)
             elif what == "p" and s == "&nl":
                 item = ("nl",)
+            elif what == "n" and s == "SEGMENT":
+                inner = self._alt()
+                self._at += 1
+                item = ("group", self._group(SEGMENT, inner))
             elif s in OPENERS and what in "tn":
                 inner = self._alt()
                 self._at += 1
@@ -339,6 +349,8 @@ class Grammar:
                 if k is None:
                     k = self._class_ids[bracket, mask] = len(self.classes)
                     self.classes.append(mask)
+                    if bracket == 3:
+                        self._block_tokens.add(GROUP_BASE + k)
                 t = GROUP_BASE + k
             else:
                 t = 0
@@ -347,37 +359,66 @@ class Grammar:
             self.memo[key] = t
         return t
 
-    def fold(self, kinds: list[int], flat: bool = True) -> tuple | None:
+    def fold(self, kinds: list[int], newlines: bool = True, whole: bool = True) -> tuple | None:
         """Fold the bracket groups of a token list; None if they do not match or fit no rule.
 
-        Newline marks are dropped inside round and square brackets.
+        ``whole`` says that the tokens are a whole text, whose statements may be folded.  With ``newlines``, tokens may carry newline marks; they are dropped inside round and square brackets.
         """
+        mask = NEWLINE_FLAG - 1
         stack: list = []
         cur: list = []
-        for k in kinds:
-            low = k & (NEWLINE_FLAG - 1)
-            if low > 7:
-                cur.append(k)
-            elif low < 4:
+        at = 0
+        # only brackets need a step of their own; what lies between is copied as it is
+        for i in [i for i, k in enumerate(kinds) if k & mask < 8]:
+            k = kinds[i]
+            if i > at:
+                cur += kinds[at:i]
+            at = i + 1
+            low = k & mask
+            if low < 4:
                 stack.append((cur, k))
                 cur = []
+                continue
+            if not stack:
+                return None
+            above, opener = stack.pop()
+            bracket = opener & mask
+            if bracket != low - 4:
+                return None
+            if bracket < 2 and newlines:
+                cur = [x & mask for x in cur]
+            if bracket in self.segment_in:
+                cur = self.segments(cur)
+            t = self.group(bracket, tuple(cur))
+            if not t:
+                return None
+            cur = above
+            cur.append(t | (opener & NEWLINE_FLAG))
+        cur += kinds[at:]
+        if stack:
+            return None
+        return tuple(self.segments(cur) if self.segment_in and whole else cur)
+
+    def segments(self, content: list[int]) -> list[int]:
+        """The content with its statements folded, each up to its terminator; what no rule has stays as it is."""
+        term, blocks = self.terminator, self._block_tokens
+        out: list[int] = []
+        start = 0
+        for i in [i for i, k in enumerate(content) if k == term or k in blocks]:
+            if content[i] != term:
+                out += content[start : i + 1]
             else:
-                if not stack:
-                    return None
-                above, opener = stack.pop()
-                bracket = opener & (NEWLINE_FLAG - 1)
-                if bracket != low - 4:
-                    return None
-                if bracket < 2:
-                    cur = [x & (NEWLINE_FLAG - 1) for x in cur]
-                t = self.group(bracket, tuple(cur))
-                if not t:
-                    return None
-                cur = above
-                cur.append(t | (opener & NEWLINE_FLAG))
-        return None if stack else tuple(cur)
-
-    def accepts(self, kinds: list[int], dialects: list[str]) -> bool:
+                part = tuple(content[start : i + 1])
+                t = self.group(SEGMENT, part)
+                if t:
+                    out.append(t)
+                else:
+                    out += part
+            start = i + 1
+        out += content[start:]
+        return out
+
+    def accepts(self, kinds: list[int], dialects: list[str], newlines: bool = True) -> bool:
         """Whether any of the dialects' start rules derives the tokens."""
-        folded = self.fold(kinds)
+        folded = self.fold(kinds, newlines)
         return folded is not None and self.run(folded, list(enumerate(dialects))) != 0

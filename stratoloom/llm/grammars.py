@@ -3,7 +3,8 @@
 Operator precedence is left out on purpose: it does not change which texts are
 valid.  A name in capitals is a token class of the lexer, a quoted string a
 token spelled so; ``&nl`` holds where a line break or the end of the bracket
-group stands before the next token, ``...`` is any balanced token sequence.
+group stands before the next token, ``...`` is any balanced token
+sequence, ``SEGMENT x END`` a statement that the lexer has folded up to its terminator.
 """
 
 JSON = r"""
@@ -173,7 +174,7 @@ substitution = exprs ;
 PYTHON = r"""
 file = stmt* ;
 id = IDENT | 'match' | 'case' | 'type' ;
-stmt = simple NL | compound ;
+stmt = SEGMENT simple NL END | simple NL | compound ;
 simple = small ( ';' small )* ';'? ;
 small = assign | 'pass' | 'break' | 'continue' | 'return' items? | 'raise' ( expr ( 'from' expr )? )? | ( 'global' | 'nonlocal' ) id ( ',' id )*
      | 'del' items | 'assert' expr ( ',' expr )? | import | 'type' id tparams? '=' expr ;
@@ -228,7 +229,8 @@ field = '(' ( items | yield ) ')' NL ;
 """
 
 RUST = r"""
-file = innerattr* item* ;
+file = innerattr* items ;
+items = ( SEGMENT item+ END | item )* ;
 id = IDENT | 'union' | 'auto' | 'raw' | 'macro_rules' | 'default' ;
 innerattr = '#' '!' '[' ... ']' ;
 attr = '#' '[' ... ']' ;
@@ -251,16 +253,16 @@ field = attr* vis? id ':' type ;
 tuple = '(' ( attr* vis? type ( ',' attr* vis? type )* ','? )? ')' ;
 enum = 'enum' id generics? where? '{' ( variant ( ',' variant )* ','? )? '}' ;
 variant = attr* vis? id ( '{' fields '}' | tuple )? ( '=' expr )? ;
-trait = ( 'unsafe' | 'auto' )* 'trait' id generics? ( ':' bounds? )? where? ( '{' innerattr* item* '}' ) ;
-impl = ( 'default' | 'unsafe' )* 'impl' generics? ( '!'? type 'for' )? type where? '{' innerattr* item* '}' ;
+trait = ( 'unsafe' | 'auto' )* 'trait' id generics? ( ':' bounds? )? where? ( '{' innerattr* items '}' ) ;
+impl = ( 'default' | 'unsafe' )* 'impl' generics? ( '!'? type 'for' )? type where? '{' innerattr* items '}' ;
 use = 'use' tree ';' ;
 tree = '::'? ( seg '::' )* ( seg ( 'as' ( id | '_' ) )? | '*' | '{' ( tree ( ',' tree )* ','? )? '}' ) ;
 seg = id | 'self' | 'super' | 'crate' | 'Self' ;
 const = 'const' ( id | '_' ) ':' type ( '=' expr )? ';' ;
 static = 'static' 'mut'? id ':' type ( '=' expr )? ';' ;
 alias = 'type' id generics? ( ':' bounds? )? where? ( '=' type )? where? ';' ;
-mod = 'unsafe'? 'mod' id ( ';' | '{' innerattr* item* '}' ) ;
-extern = 'extern' 'crate' ( id | 'self' ) ( 'as' ( id | '_' ) )? ';' | 'unsafe'? 'extern' STR? '{' innerattr* item* '}' ;
+mod = 'unsafe'? 'mod' id ( ';' | '{' innerattr* items '}' ) ;
+extern = 'extern' 'crate' ( id | 'self' ) ( 'as' ( id | '_' ) )? ';' | 'unsafe'? 'extern' STR? '{' innerattr* items '}' ;
 type = ( '&' | '&&' ) LIFETIME? 'mut'? type | '*' ( 'const' | 'mut' ) type | '[' type ( ';' expr )? ']' | '(' ( type ( ',' type )* ','? )? ')' | '!' | '_'
      | ( 'impl' | 'dyn' ) bounds | forlt? ( 'unsafe' | 'extern' STR? )* 'fn' '(' ( targ ( ',' targ )* ','? )? ')' ( '->' type )?
      | forlt? path | path '!' ( '(' ... ')' | '[' ... ']' | '{' ... '}' ) ;
@@ -272,7 +274,7 @@ gargs = '<' ( garg ( ',' garg )* ','? )? '>' ;
 garg = LIFETIME | type | id gargs? ( '=' ( type | carg ) | ':' bounds ) | carg ;
 epath = '::'? eseg ( '::' eseg )* | qself ( '::' eseg )+ ;
 eseg = seg ( '::' gargs )? ;
-block = '{' innerattr* stmt* expr? '}' ;
+block = '{' innerattr* ( SEGMENT stmt+ END | stmt )* expr? '}' ;
 stmt = ';' | item | attr* ( let | expr ';' | blocky ) ;
 let = 'let' pats ( ':' type )? ( '=' expr ( 'else' block )? )? ';' ;
 expr = attr* ( sub ( ( '\.\.' | '\.\.=' ) sub? )? | ( '\.\.' | '\.\.=' ) sub? ) ;

@@ -41,17 +41,33 @@ class Language:
     grammar_text = ""
     pattern = ""
     flags = re.S
+    #: Whether tokens carry newline marks.
+    newlines = False
+    #: Where statements are folded (bracket numbers; the whole text too) and the token that ends them.
+    segment_in: tuple[int, ...] = ()
+    terminator = ""
+    #: Token classes of words that are no identifiers, by word.
+    word_classes: dict[str, str] = {}
 
     def __init__(self):
         self.grammar = Grammar(self.grammar_text)
         self.find = re.compile(self.pattern, self.flags).findall
         k = self.grammar.kind
-        self.kinds = _Kinds({s: n for s, n in k.items() if not (s.isupper() and s.isalpha())}, self.classify)
+        fixed = {s: n for s, n in k.items() if not (s.isupper() and s.isalpha())}
+        fixed |= {w: k[c] if c else BAD for w, c in self.word_classes.items()}
+        self.identifier = k.get("IDENT", BAD)
+        if self.terminator:
+            self.grammar.segment_in, self.grammar.terminator = self.segment_in, k[self.terminator]
+        self.kinds = _Kinds(fixed, self._kind)
 
     def k(self, name: str) -> int:
         return self.grammar.kind[name]
 
+    def _kind(self, s: str):
+        return self.identifier if s.isidentifier() else self.classify(s)
+
     def classify(self, s: str):
+        """The kind of a piece that is neither a fixed token nor an identifier."""
         raise NotImplementedError
 
     def tokens(self, text: str) -> list[int] | None:
@@ -61,14 +77,14 @@ class Language:
 
     def valid(self, text: str) -> bool:
         kinds = self.tokens(text)
-        return kinds is not None and self.grammar.accepts(kinds, list(self.dialects))
+        return kinds is not None and self.grammar.accepts(kinds, list(self.dialects), self.newlines)
 
     def derives(self, text: str, rule: str) -> bool:
         """Whether the rule derives this piece of text."""
         kinds = self.tokens(text)
         if kinds is None:
             return False
-        folded = self.grammar.fold(kinds)
+        folded = self.grammar.fold(kinds, whole=False)
         return folded is not None and self.grammar.run(folded, [(0, rule)]) != 0
 
 
@@ -144,6 +160,11 @@ class Go(Language):
 
 class Java(Language):
     grammar_text = grammars.JAVA
+    word_classes = {
+        **dict.fromkeys("public protected private abstract native transient volatile strictfp".split(), "MOD"),
+        **dict.fromkeys("int long short byte char boolean float double".split(), "PRIM"),
+        **dict.fromkeys(("const", "goto", "_"), ""),
+    }
     dialects = ("file", "modular")
     pattern = (
         r"\s+|//[^\n]*|/\*.*?\*/|[^\W\d][\w$]*|\$[\w$]*"
@@ -162,16 +183,10 @@ class Java(Language):
             return self.k("CHAR")
         if c.isdigit() or c == "." and s[1:2].isdigit():
             return self.k("NUM")
-        if s in ("public", "protected", "private", "abstract", "native", "transient", "volatile", "strictfp"):
-            return self.k("MOD")
-        if s in ("int", "long", "short", "byte", "char", "boolean", "float", "double"):
-            return self.k("PRIM")
         if s in ("<<=", "+=", "-=", "*=", "/=", "&=", "|=", "^=", "%="):
             return self.k("ASSIGN")
         if s in ("&&", "||", "==", "!=", "<=", "<<", "/", "%", "^"):
             return self.k("OP")
-        if s in ("const", "goto", "_"):
-            return BAD
         return self.k("IDENT") if s.replace("$", "_").isidentifier() else BAD
 
     def tokens(self, text: str):
@@ -180,6 +195,7 @@ class Java(Language):
 
 class JavaScript(Language):
     grammar_text = grammars.JAVASCRIPT
+    newlines = True
     _str = r"\"(?:[^\"\\\n\r]|\\(?:\r\n|.))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*'"
     _flat = r"`(?:[^`\\$]|\\.|\$(?!\{))*`"
     _in0 = rf"(?:[^{{}}`'\"]|{_str}|{_flat})*"
@@ -254,6 +270,8 @@ class JavaScript(Language):
 
 class Python(Language):
     grammar_text = grammars.PYTHON
+    segment_in = (3,)
+    terminator = "NL"
     _pre = r"(?:[rRbBuUfFtT]|[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF])?"
     #: A replacement field of an f-string may hold the quotes that enclose it.
     _field_text = r"\{(?:[^{}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{[^{}\n]*\})*\}"
@@ -401,6 +419,8 @@ class Python(Language):
 
 class Rust(Language):
     grammar_text = grammars.RUST
+    segment_in = (2,)
+    terminator = ";"
     pattern = (
         r"\A\#!(?!\s*\[)[^\n]*|\s+|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/|r\#[^\W\d]\w*"
         r"|(?:b|c)?\"(?:[^\"\\]|\\.)*\"|(?:br|cr|r)\"[^\"]*\"|(?:br|cr|r)\#\".*?\"\#|(?:br|cr|r)\#\#\".*?\"\#\#|(?:br|cr|r)\#\#\#\".*?\"\#\#\#"
