@@ -101,12 +101,14 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, weight_col: str |
     """
     spark = sized.sparkSession
     cuts = Cuts(spark, "mix")
+    # only these columns, so that others of the same names cannot clash
+    sized = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), *([F.col(weight_col).alias("_w")] if weight_col else []))
     plan = source_plan(sized, targets)
     plan_rows = few_or_raise(plan, MOST_SOURCES, "target sources")
     docs = sized.where(F.col("source").isNotNull()).join(F.broadcast(plan.select("source", "whole", "fraction", F.col("size").alias("_size"), F.col("given").alias("_given"))), "source")
     uniform = (F.expr(f"(xxhash64({seed}, cast(doc_id as string)) & 9007199254740991) + 1") / F.lit(float(2**53 + 2))).alias("u")
     if weight_col:
-        w = F.when(F.col(weight_col) > 0, F.col(weight_col)).otherwise(1.0).cast("double")
+        w = F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0).cast("double")
         sums = docs.groupBy("source").agg(F.sum(w * F.col("tokens")).alias("_ws"))
         docs = docs.join(F.broadcast(sums), "source")
         chance = F.when(F.col("_ws") > 0, w * F.col("fraction") * F.col("_size") / F.col("_ws")).otherwise(0.0)

@@ -57,23 +57,24 @@ def _route(forest: Forest, blocks: np.ndarray, visits: int):
             by_tree = prio.reshape(len(x), forest.trees, forest.leaves)
             home = by_tree.argmax(axis=2) + own * forest.leaves
             ids = b["id"].to_numpy()
-            raw = np.ascontiguousarray(x.astype(np.float32))
             k = min(visits, prio.shape[1])
             best = np.argpartition(-prio, k - 1, axis=1)[:, :k]
-            leaf, block, role, row = [], [], [], []
-            for r in range(len(x)):
-                mine = home[r]
-                for h in mine:
-                    nb = blocks[h]
-                    at = int(ids[r]) % nb
-                    leaf.append(h), block.append(at), role.append(2), row.append(r)
-                    for o in range(nb):
-                        if o != at:
-                            leaf.append(h), block.append(o), role.append(1), row.append(r)
-                for h in set(best[r].tolist()).difference(mine.tolist()):
-                    for o in range(blocks[h]):
-                        leaf.append(h), block.append(o), role.append(1), row.append(r)
-            yield pd.DataFrame({"leaf": np.array(leaf, np.int32), "block": np.array(block, np.int32), "role": np.array(role, np.int8), "id": ids[row], "v": [raw[r].tobytes() for r in row]})
+            rows = np.arange(len(x))
+            opened = np.zeros(prio.shape, bool)
+            opened[rows[:, None], best] = True
+            opened[rows[:, None], home] = False
+            # in its own leaf of each tree a vector is indexed in one block and searched in all
+            home_row, home_leaf = np.repeat(rows, forest.trees), home.ravel()
+            home_block = ids[home_row] % blocks[home_leaf]
+            other_row, other_leaf = np.nonzero(opened)
+            ask_row, ask_leaf = np.concatenate([home_row, other_row]), np.concatenate([home_leaf, other_leaf])
+            times = blocks[ask_leaf]
+            ask_row, ask_leaf = np.repeat(ask_row, times), np.repeat(ask_leaf, times)
+            ask_block = np.arange(len(ask_row)) - np.repeat(np.cumsum(times) - times, times)
+            mine = np.zeros(len(ask_row), bool)
+            mine[: blocks[home_leaf].sum()] = ask_block[: blocks[home_leaf].sum()] == np.repeat(home_block, blocks[home_leaf])
+            raw = [v.tobytes() for v in x.astype(np.float32)]
+            yield pd.DataFrame({"leaf": ask_leaf.astype(np.int32), "block": ask_block.astype(np.int32), "role": np.where(mine, 2, 1).astype(np.int8), "id": ids[ask_row], "v": [raw[r] for r in ask_row]})
 
     return route
 
