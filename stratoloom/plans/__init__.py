@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, hierarchy, history, learning, relational, reports, statistics, streams, text, vectors
+from . import code, graphs, hierarchy, history, learning, relational, reports, statistics, streams, text, vectors
 
-_MODULES = (hierarchy, relational, history, vectors, text, graphs, statistics, streams, learning, reports)
+_MODULES = (hierarchy, relational, history, vectors, text, graphs, statistics, streams, learning, reports, code)
 
 
 def core_queries() -> dict:

@@ -6,6 +6,7 @@ when the watermark has passed what could still change it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 
 def read_folder(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -115,7 +116,11 @@ def current_version(spark: SparkSession, table_path: str) -> str | None:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into a table in memory, for tests and small reports."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there into a table in memory, for tests and small reports.
+
+    State is kept in the shared folder, which all executors reach; ``name`` must be new.
+    """
+    place = f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
