@@ -31,8 +31,8 @@ def _matrix(vs) -> np.ndarray:
 def nearest_to_each(queries: DataFrame, base: DataFrame, k: int | None, id_col: str = "id", vec: str = "vec", group: str | None = None, exclude_same_group: bool = False, least: float | None = None) -> DataFrame:
     """For every query row the ``k`` most similar rows of ``base``: ``q, c, cosine, rank``.
 
-    Exact, in blocks: the queries are replicated to the blocks of the base, so the work is their
-    product; use it for a stated query set.  A row is never its own neighbour; with
+    Exact, in blocks of the base by blocks of the queries, so the work is their product but no task
+    holds more than a block of each; use it for a stated query set.  A row is never its own neighbour; with
     ``exclude_same_group`` neither are rows of its group.  Null and zero vectors are left out, ties
     go to the smaller id.  The top-k is taken before any threshold a caller may add; with ``least`` and a
     ``k`` of None all rows that reach the cosine come out, unranked.
@@ -42,10 +42,12 @@ def nearest_to_each(queries: DataFrame, base: DataFrame, k: int | None, id_col:
     ship(base.sparkSession)
     ok = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0))
     base, queries = ok(base), ok(queries)
-    nb = max(1, -(-base.count() // BASE_BLOCK))
+    nb, nq = (max(1, -(-df.count() // BASE_BLOCK)) for df in (base, queries))
     g = [F.col(group).cast("string").alias("g")] if group else [F.lit(None).cast("string").alias("g")]
-    b = base.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *g, F.lit(0).alias("side"), F.pmod(F.xxhash64(id_col), F.lit(nb)).cast("int").alias("block"))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *g, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("block"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    b = base.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *g, F.lit(0).alias("side"), own(nb).alias("block"), each(nq).alias("qblock"))
+    q = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *g, F.lit(1).alias("side"), each(nb).alias("block"), own(nq).alias("qblock"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         bs, qs = pdf[pdf.side == 0], pdf[pdf.side == 1]
@@ -71,7 +73,7 @@ def nearest_to_each(queries: DataFrame, base: DataFrame, k: int | None, id_col:
         return pd.DataFrame(out, columns=["q", "c", "cosine"])
 
     kind = base.schema[id_col].dataType.simpleString()
-    found = b.unionByName(q).groupBy("block").applyInPandas(meet, f"q {kind}, c {kind}, cosine double")
+    found = b.unionByName(q).groupBy("block", "qblock").applyInPandas(meet, f"q {kind}, c {kind}, cosine double")
     if k is None:
         return found
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "c")
