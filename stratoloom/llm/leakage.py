@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Cuts, broadcast_if_small
+from ..session import BROADCAST_BYTES, Cuts, broadcast_if_small, measured_bytes
 
 #: Runs of letters and digits; all else parts words.
 WORD = r"[\p{L}\p{Nd}]+"
@@ -64,16 +64,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     order = tokens.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # a window whose rarest shingle occurs nowhere cannot occur
     prefix = order.groupBy("win").agg(F.min(F.struct("df", "off", "token")).alias("p")).where("p.df > 0").select("win", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
-    prefix = broadcast_if_small(cuts.cut(prefix))
-
+    prefix = cuts.cut(prefix)
     start = F.col("pos") - F.col("off")
-    hits = (
-        places.join(prefix, "token")
-        .where((start >= 0) & (start + window <= F.size("dw")))
-        .where(F.slice("dw", start + 1, window) == F.col("win"))
-        .groupBy("doc_id", "win")
-        .agg(F.min(start).alias("first_word"))
-    )
+    fits = (start >= 0) & (start + window <= F.size("dw"))
+    if measured_bytes(prefix) <= BROADCAST_BYTES:
+        matched = places.join(F.broadcast(prefix), "token").where(fits).select("doc_id", "dw", "win", start.alias("start"))
+    else:
+        # only places and tokens are shuffled, the words of a document once for its candidates
+        at = places.select("doc_id", "pos", "token").join(prefix, "token").select("doc_id", "win", start.alias("start")).where("start >= 0").distinct()
+        matched = at.join(d, "doc_id").where(F.col("start") + window <= F.size("dw"))
+    hits = matched.where(F.slice("dw", F.col("start") + 1, window) == F.col("win")).groupBy("doc_id", "win").agg(F.min("start").alias("first_word"))
     return (
         hits.join(broadcast_if_small(owners), "win")
         .groupBy("doc_id", "item_id")

@@ -126,13 +126,15 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, weight_col: str |
     left, open_ = dict(need), set(need)
     cutoff: dict[str, float] = {}
     while open_:
+        # the histograms of all sources together stay small for the driver
+        n_bins = max(16, min(_BINS, 1_000_000 // len(open_)))
         zoom = spark.createDataFrame([(s, low[s], width[s]) for s in sorted(open_)], "source string, low double, width double")
         inside = ranked.join(F.broadcast(zoom), "source").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("width")))
-        hist = inside.groupBy("source", F.least(F.lit(_BINS - 1), F.floor((F.col("rank") - F.col("low")) / F.col("width") * _BINS)).cast("int").alias("bin")).agg(
+        hist = inside.groupBy("source", F.least(F.lit(n_bins - 1), F.floor((F.col("rank") - F.col("low")) / F.col("width") * n_bins)).cast("int").alias("bin")).agg(
             F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last")
         )
         bins: dict[str, list] = {s: [] for s in open_}
-        for r in few_or_raise(hist, _BINS * len(open_), "rank histogram"):
+        for r in few_or_raise(hist, n_bins * len(open_), "rank histogram"):
             bins[r.source].append(r)
         for s in sorted(open_):
             hit = None

@@ -45,7 +45,7 @@ def vector_sample(vectors: DataFrame, most: int, n: int) -> np.ndarray:
 
 
 def _route(forest: Forest, blocks: np.ndarray, visits: int):
-    """A function that sends every vector to the leaves it is indexed in and those it searches."""
+    """A function that sends every vector to the leaves it is indexed in (role 0), searches (1), or both (2)."""
     own = np.arange(forest.trees)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,18 +63,27 @@ def _route(forest: Forest, blocks: np.ndarray, visits: int):
             opened = np.zeros(prio.shape, bool)
             opened[rows[:, None], best] = True
             opened[rows[:, None], home] = False
-            # in its own leaf of each tree a vector is indexed in one block and searched in all
+            # a leaf of many rows is searched in blocks of its rows by blocks of its queries; a vector is in
+            # one block of either kind, the same, in the leaves it is indexed in
             home_row, home_leaf = np.repeat(rows, forest.trees), home.ravel()
-            home_block = ids[home_row] % blocks[home_leaf]
             other_row, other_leaf = np.nonzero(opened)
-            ask_row, ask_leaf = np.concatenate([home_row, other_row]), np.concatenate([home_leaf, other_leaf])
-            times = blocks[ask_leaf]
-            ask_row, ask_leaf = np.repeat(ask_row, times), np.repeat(ask_leaf, times)
-            ask_block = np.arange(len(ask_row)) - np.repeat(np.cumsum(times) - times, times)
-            mine = np.zeros(len(ask_row), bool)
-            mine[: blocks[home_leaf].sum()] = ask_block[: blocks[home_leaf].sum()] == np.repeat(home_block, blocks[home_leaf])
+
+            def spread(row, leaf):
+                times = blocks[leaf]
+                each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                return np.repeat(row, times), np.repeat(leaf, times), each, np.repeat(ids[row] % times, times)
+
+            ask = [np.concatenate(z) for z in zip(spread(home_row, home_leaf), spread(other_row, other_leaf))]
+            index_only = spread(home_row, home_leaf)
+            away = index_only[2] != index_only[3]
+            at_home = np.concatenate([np.ones(blocks[home_leaf].sum(), bool), np.zeros(len(ask[0]) - blocks[home_leaf].sum(), bool)])
+            row = np.concatenate([ask[0], index_only[0][away]])
+            leaf = np.concatenate([ask[1], index_only[1][away]])
+            block = np.concatenate([ask[2], index_only[3][away]])
+            qblock = np.concatenate([ask[3], index_only[2][away]])
+            role = np.concatenate([np.where(at_home & (ask[2] == ask[3]), 2, 1), np.zeros(away.sum(), int)])
             raw = [v.tobytes() for v in x.astype(np.float32)]
-            yield pd.DataFrame({"leaf": ask_leaf.astype(np.int32), "block": ask_block.astype(np.int32), "role": np.where(mine, 2, 1).astype(np.int8), "id": ids[ask_row], "v": [raw[r] for r in ask_row]})
+            yield pd.DataFrame({"leaf": leaf.astype(np.int32), "block": block.astype(np.int32), "qblock": qblock.astype(np.int32), "role": role.astype(np.int8), "id": ids[row], "v": [raw[r] for r in row]})
 
     return route
 
@@ -82,9 +91,10 @@ def _route(forest: Forest, blocks: np.ndarray, visits: int):
 def _leaf_neighbours(k: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(len(pdf), -1)
-        ids = pdf["id"].to_numpy()
-        inside = np.nonzero(pdf["role"].to_numpy() == 2)[0]
+        ids, role = pdf["id"].to_numpy(), pdf["role"].to_numpy()
+        inside = np.nonzero(role != 1)[0]
         base, base_ids = x[inside], ids[inside]
+        x, ids = x[role != 0], ids[role != 0]
         out_q, out_c, out_s = [], [], []
         if len(inside):
             kk = min(k + 1, len(inside))
@@ -107,7 +117,7 @@ def _leaf_neighbours(k: int):
     return search
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows: int = 1024, visits: int = 12, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows: int = 1024, visits: int = 12, sample_rows: int = SAMPLE_ROWS, seed: int = 3, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """The ``k`` most similar other vectors of every vector: ``id, neighbour, cosine, rank``.
 
     ``vectors`` is the result of :func:`usable_vectors`.  Rank 1 is the most similar, ties go to the
@@ -117,7 +127,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows
 
     The forest is fitted on a sample of ``sample_rows``; every vector is indexed in one leaf of each
     tree and searched in ``visits`` leaves, those the priority queue over all trees opens first.
-    Leaves that grow beyond a few thousand rows are searched in blocks.  The result is approximate:
+    Leaves that grow beyond ``block_rows`` are searched in blocks of rows by blocks of queries.  The result is approximate:
     measured recall stands in the README.
     """
     spark = vectors.sparkSession
@@ -129,10 +139,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows
     depth = max(0, min(math.ceil(math.log2(max(1, n) / leaf_rows)), int(math.log2(max(1, sample_rows // 16)))))
     forest = fit_forest(vector_sample(base, sample_rows, n), trees, depth, seed, tries=24)
     # how many blocks a leaf has follows from its share of the sample
-    blocks = np.maximum(1, np.ceil(forest.leaf_share.reshape(-1) * n / _BLOCK_ROWS)).astype(int)
-    routed = map_frames(base.select("id", "vec"), _route(forest, blocks, visits), "leaf int, block int, role byte, id long, v binary")
+    blocks = np.maximum(1, np.ceil(forest.leaf_share.reshape(-1) * n / block_rows)).astype(int)
+    routed = map_frames(base.select("id", "vec"), _route(forest, blocks, visits), "leaf int, block int, qblock int, role byte, id long, v binary")
     ship(spark)
-    found = routed.groupBy("leaf", "block").applyInPandas(_leaf_neighbours(k), "q long, c long, cosine double")
+    found = routed.groupBy("leaf", "block", "qblock").applyInPandas(_leaf_neighbours(k), "q long, c long, cosine double")
     # at most visits * (k + 1) rows a vector come together here (times the blocks of a leaf)
     best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("s"), "c"))), 1, k)
     reps = cuts.cut(found.groupBy("q").agg(best.alias("best")).select("q", F.posexplode("best").alias("pos", "b")).select("q", F.col("b.c").alias("c"), (-F.col("b.s")).alias("cosine"), (F.col("pos") + 1).alias("rank")))

@@ -88,6 +88,7 @@ def test_clusters_equal_brute_force(spark):
     got = similarity_clusters(v).collect()
     assert {r.id: r.cluster_key for r in got} == want
     assert all(0 < r.membership <= 1.000001 for r in got)
+    assert {r.id: r.cluster_key for r in similarity_clusters(v, block_rows=7).collect()} == want
     assert similarity_clusters(v.where("false")).count() == 0
 
 
@@ -104,6 +105,8 @@ def test_neighbours(spark):
         got.setdefault(r.id, []).append(r.neighbour)
     recall = np.mean([len(set(want[i]) & set(got.get(i, []))) / 3 for i in want])
     assert recall >= 0.9, recall
+    blocked = {(r.id, r.neighbour) for r in nearest_neighbours(v, leaf_rows=128, visits=12, block_rows=40).collect()}
+    assert blocked == {(i, j) for i, js in got.items() for j in js}
     # copies of one vector have each other, in order of id
     assert got[150] == [153, 156, 159] and got[153] == [150, 156, 159]
     assert {(r.id_a, r.id_b) for r in mutual_pairs(rows, 0.999).collect()} >= {(150, 153), (153, 156)}
