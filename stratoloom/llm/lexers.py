@@ -90,7 +90,7 @@ class Language:
 
 class Json(Language):
     grammar_text = grammars.JSON
-    pattern = r"""[ \t\n\r]+|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true|false|null|[{}\[\]:,]|."""
+    pattern = r"""[ \t\n\r]+|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true|false|null|[{}\[\]:,]|."""
     flags = re.S | re.A
 
     def classify(self, s: str):
@@ -110,7 +110,7 @@ class Go(Language):
     pattern = (
         r"[ \t\r]+|\n|//[^\n]*|/\*.*?\*/|[^\W\d]\w*"
         r"|0[xX][\da-fA-F_]*(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?i?"
-        r"|\"(?:[^\"\\\n]|\\[abfnrtv\\\"'0-7xuU])*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}))'"
+        r"|\"(?:[^\"\\\n]|\\[abfnrtv\\\"'0-7xuU])*+\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}))'"
         r"|&\^=|<<=|>>=|\.\.\.|&\^|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|[-+*/%&|^<>=!()\[\]{},;.:~]|."
     )
 
@@ -169,7 +169,7 @@ class Java(Language):
     pattern = (
         r"\s+|//[^\n]*|/\*.*?\*/|[^\W\d][\w$]*|\$[\w$]*"
         r"|0[xX][\da-fA-F_]*(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?"
-        r"|\"\"\"[ \t\f]*\r?\n(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n\r]|\\[btnfrs\"'\\0-7u])*\"|'(?:[^'\\\n\r]|\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[\da-fA-F]{4}))'"
+        r"|\"\"\"[ \t\f]*\r?\n(?:[^\\\"]|\\.|\"(?!\"\"))*+\"\"\"|\"(?:[^\"\\\n\r]|\\[btnfrs\"'\\0-7u])*+\"|'(?:[^'\\\n\r]|\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[\da-fA-F]{4}))'"
         r"|<<=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|[-+*/%&|^<>=!~?:;,.()\[\]{}@]|."
     )
 
@@ -196,18 +196,18 @@ class Java(Language):
 class JavaScript(Language):
     grammar_text = grammars.JAVASCRIPT
     newlines = True
-    _str = r"\"(?:[^\"\\\n\r]|\\(?:\r\n|.))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*'"
-    _flat = r"`(?:[^`\\$]|\\.|\$(?!\{))*`"
-    _in0 = rf"(?:[^{{}}`'\"]|{_str}|{_flat})*"
-    _in1 = rf"(?:[^{{}}`'\"]|{_str}|{_flat}|\{{{_in0}\}})*"
-    _tpl1 = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{{_in1}\}})*`"
-    _in2 = rf"(?:[^{{}}`'\"]|{_str}|{_tpl1}|\{{{_in1}\}})*"
-    _tpl2 = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{{_in2}\}})*`"
+    _str = r"\"(?:[^\"\\\n\r]|\\(?:\r\n|.))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*+'"
+    _flat = r"`(?:[^`\\$]|\\.|\$(?!\{))*+`"
+    _in0 = rf"(?:[^{{}}`'\"]|{_str}|{_flat})*+"
+    _in1 = rf"(?:[^{{}}`'\"]|{_str}|{_flat}|\{{{_in0}\}})*+"
+    _tpl1 = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{{_in1}\}})*+`"
+    _in2 = rf"(?:[^{{}}`'\"]|{_str}|{_tpl1}|\{{{_in1}\}})*+"
+    _tpl2 = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{{_in2}\}})*+`"
     _regex = r"/(?![/*])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*"
     _before = r"(?:=>|===?|!==?|&&|\|\||\?\?|(?<!\+)\+|(?<!-)-|[(,=:\[!&|?{};*%~^<>]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|await|yield|instanceof)\b)"
     pattern = (
         r"\A#![^\n]*|[ \t\f\v\xa0\ufeff]+|[\r\n\u2028\u2029]\s*|//[^\n\r\u2028\u2029]*|/\*.*?\*/"
-        rf"|{_before}(?:\s|//[^\n]*\n|/\*.*?\*/)*{_regex}|\A{_regex}"
+        rf"|{_before}(?:\s|//[^\n]*\n|/\*.*?\*/)*+{_regex}|\A{_regex}"
         r"|[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*|\#\$[\w$]*|(?:\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})[\w$]*"
         r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?"
         rf"|{_str}|{_tpl2}"
@@ -274,12 +274,12 @@ class Python(Language):
     terminator = "NL"
     _pre = r"(?:[rRbBuUfFtT]|[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF])?"
     #: A replacement field of an f-string may hold the quotes that enclose it.
-    _field_text = r"\{(?:[^{}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{[^{}\n]*\})*\}"
+    _field_text = r"\{(?:[^{}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{[^{}\n]*\})*+\}"
     pattern = (
         rf"[ \t\f]+|\#[^\n\r]*|\\\r?\n|\r?\n[ \t\f]*|\r[ \t\f]*"
-        rf"|[fF][rR]?'(?!'')(?:[^'\\\n{{]|\\.|\{{\{{|{_field_text})*'|[fF][rR]?\"(?!\"\")(?:[^\"\\\n{{]|\\.|\{{\{{|{_field_text})*\""
-        rf"|{_pre}\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|{_pre}'''(?:[^\\']|\\.|'(?!''))*'''"
-        rf"|{_pre}\"(?!\"\")(?:[^\"\\\n\r]|\\(?:\r\n|.))*\"|{_pre}'(?!'')(?:[^'\\\n\r]|\\(?:\r\n|.))*'"
+        rf"|[fF][rR]?'(?!'')(?:[^'\\\n{{]|\\.|\{{\{{|{_field_text})*+'|[fF][rR]?\"(?!\"\")(?:[^\"\\\n{{]|\\.|\{{\{{|{_field_text})*+\""
+        rf"|{_pre}\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*+\"\"\"|{_pre}'''(?:[^\\']|\\.|'(?!''))*+'''"
+        rf"|{_pre}\"(?!\"\")(?:[^\"\\\n\r]|\\(?:\r\n|.))*+\"|{_pre}'(?!'')(?:[^'\\\n\r]|\\(?:\r\n|.))*+'"
         r"|[^\W\d]\w*|0[xX](?:_?[\da-fA-F])+(?!\w)|0[bB](?:_?[01])+(?!\w)|0[oO](?:_?[0-7])+(?!\w)"
         r"|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?(?![^\W_a-zA-Z]|_|\d)"
         r"|\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|<<|>>|<=|>=|==|!=|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=!]|."
@@ -423,14 +423,14 @@ class Rust(Language):
     terminator = ";"
     pattern = (
         r"\A\#!(?!\s*\[)[^\n]*|\s+|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/|r\#[^\W\d]\w*"
-        r"|(?:b|c)?\"(?:[^\"\\]|\\.)*\"|(?:br|cr|r)\"[^\"]*\"|(?:br|cr|r)\#\".*?\"\#|(?:br|cr|r)\#\#\".*?\"\#\#|(?:br|cr|r)\#\#\#\".*?\"\#\#\#"
+        r"|(?:b|c)?\"(?:[^\"\\]|\\.)*+\"|(?:br|cr|r)\"[^\"]*\"|(?:br|cr|r)\#\".*?\"\#|(?:br|cr|r)\#\#\".*?\"\#\#|(?:br|cr|r)\#\#\#\".*?\"\#\#\#"
         r"|b?'(?:[^'\\\n\r\t]|\\(?:[nrt\\0'\"]|x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}))'|'[^\W\d]\w*(?!')|[^\W\d]\w*"
         r"|0x[\da-fA-F_]+(?:[iu](?:8|16|32|64|128|size))?|0b[01_]+(?:[iu](?:8|16|32|64|128|size))?|0o[0-7_]+(?:[iu](?:8|16|32|64|128|size))?"
         r"|\d[\d_]*(?:\.(?!\.|[^\W\d])(?:\d[\d_]*)?)?(?:[eE][+-]?[\d_]+)?(?:[iuf](?:8|16|32|64|128|size))?"
         r"|<<=|>>=|\.\.\.|\.\.=|\.\.|::|->|=>|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|[-+*/%&|^<>=!?:;,.()\[\]{}@\#$~]|."
     )
     _comments = re.compile(
-        r"/\*|\*/|//[^\n]*|(?:br|cr|r)(\#+)\".*?\"\1|(?:br|cr|r)\"[^\"]*\"|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|[^/*\"'rbc]+|.", re.S
+        r"/\*|\*/|//[^\n]*|(?:br|cr|r)(\#+)\".*?\"\1|(?:br|cr|r)\"[^\"]*\"|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)'|[^/*\"'rbc]+|.", re.S
     )
 
     def __init__(self):
