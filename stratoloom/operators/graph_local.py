@@ -333,3 +333,114 @@ def centralities(nodes: np.ndarray, pairs: np.ndarray, alpha: float = 0.1, itera
         katz = limit * a @ katz + 1
     katz /= np.linalg.norm(katz) or 1.0
     return zip(nodes.tolist(), close.tolist(), eig.tolist(), katz.tolist())
+
+
+def simple_cycles(nodes: np.ndarray, pairs: np.ndarray, most_length: int = 8, most: int = 10_000):
+    """(cycle, length): simple directed cycles as texts ``a>b>c`` from their smallest node, up to a length.
+
+    Raises if a group has more than ``most``; cycles are many where graphs are dense.
+    """
+    adj = _neighbours(len(nodes), pairs, True)
+    out = [(str(nodes[a]), 1) for a in sorted({a for a, b in pairs.tolist() if a == b})]
+    for s in range(len(nodes)):
+        stack = [(s, [s])]
+        while stack:
+            v, path = stack.pop()
+            for w in adj[v]:
+                if w == s:
+                    out.append((">".join(str(nodes[i]) for i in path), len(path)))
+                    if len(out) > most:
+                        raise ValueError(f"more than {most} cycles")
+                elif w > s and w not in path and len(path) < most_length:
+                    stack.append((w, [*path, w]))
+    return out
+
+
+def edge_betweenness(nodes: np.ndarray, pairs: np.ndarray):
+    """(a, b, score): shortest paths over each directed edge."""
+    n = len(nodes)
+    adj = _neighbours(n, pairs, True)
+    score: dict[tuple[int, int], float] = {}
+    for s in range(n):
+        order, preds = [], [[] for _ in range(n)]
+        sigma, dist = np.zeros(n), np.full(n, -1)
+        sigma[s], dist[s] = 1, 0
+        q = deque([s])
+        while q:
+            v = q.popleft()
+            order.append(v)
+            for w in adj[v]:
+                if dist[w] < 0:
+                    dist[w] = dist[v] + 1
+                    q.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    preds[w].append(v)
+        delta = np.zeros(n)
+        for w in reversed(order):
+            for v in preds[w]:
+                x = sigma[v] / sigma[w] * (1 + delta[w])
+                score[v, w] = score.get((v, w), 0.0) + x
+                delta[v] += x
+    return [(nodes[a].item(), nodes[b].item(), x) for (a, b), x in sorted(score.items())]
+
+
+def two_edge_components(nodes: np.ndarray, pairs: np.ndarray):
+    """(node, component): components that stay connected if any one edge is cut, named by their smallest node."""
+    index = {v: i for i, v in enumerate(nodes.tolist())}
+    bridges = {(index[a], index[b]) for kind, a, b in articulation(nodes, pairs) if kind == "bridge"}
+    keep = [(a, b) for a, b in pairs.tolist() if (min(a, b), max(a, b)) not in {(min(x), max(x)) for x in bridges}]
+    root = list(range(len(nodes)))
+
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b in keep:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(v, nodes[find(i)].item()) for i, v in enumerate(nodes.tolist())]
+
+
+def attack(nodes: np.ndarray, pairs: np.ndarray, share: float = 0.2):
+    """(removed, largest): size of the largest component as the nodes of the highest degree are taken away one by one."""
+    adj = [set(x) for x in _neighbours(len(nodes), pairs, False)]
+    live = set(range(len(nodes)))
+    out = []
+    for k in range(int(share * len(nodes)) + 1):
+        seen: set[int] = set()
+        largest = 0
+        for s in live:
+            if s not in seen:
+                todo, size = [s], 0
+                seen.add(s)
+                while todo:
+                    v = todo.pop()
+                    size += 1
+                    for w in adj[v]:
+                        if w in live and w not in seen:
+                            seen.add(w)
+                            todo.append(w)
+                largest = max(largest, size)
+        out.append((k, largest))
+        if live:
+            live.remove(max(live, key=lambda v: (len(adj[v] & live), -v)))
+    return out
+
+
+def core_periphery(nodes: np.ndarray, pairs: np.ndarray):
+    """(node, role): ``core`` (largest strongly connected set), ``shared`` (reached from it), ``control`` (reaches it) or ``periphery``."""
+    n = len(nodes)
+    reach = np.eye(n, dtype=bool)
+    for a, b in pairs.tolist():
+        reach[a, b] = True
+    for _ in range(max(1, int(np.ceil(np.log2(max(n, 2)))))):
+        reach = reach @ reach
+    both = reach & reach.T
+    sizes = both.sum(1)
+    lead = int(np.lexsort((np.arange(n), -sizes))[0])
+    core = both[lead]
+    role = np.where(core, "core", np.where(reach[lead], "shared", np.where(reach[:, lead], "control", "periphery")))
+    return list(zip(nodes.tolist(), role.tolist()))

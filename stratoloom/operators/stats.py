@@ -278,3 +278,33 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFra
         F.coalesce(1 / F.col("first"), z).alias("reciprocal_rank"),
         F.coalesce(F.col("ap") / F.col("relevant"), z).alias("average_precision"),
     )
+
+
+def anderson_darling(counts: list[tuple[float, int]]) -> dict:
+    """``a2, p`` of normality from (value, count) pairs in any order (mean and deviation estimated)."""
+    pts = sorted(counts)
+    n = sum(c for _, c in pts)
+    if n < 8:
+        return {"a2": math.nan, "p": math.nan}
+    mean = sum(v * c for v, c in pts) / n
+    sd = math.sqrt(sum(c * (v - mean) ** 2 for v, c in pts) / (n - 1))
+    if sd == 0:
+        return {"a2": math.nan, "p": math.nan}
+    total, i = 0.0, 0
+    for v, c in pts:
+        p = min(max(normal_cdf((v - mean) / sd), 1e-300), 1 - 1e-16)
+        # places i+1 .. i+c count from below for ln F and from above for ln (1 - F)
+        low = c * (2 * i + c)
+        high = c * (2 * (n - i) - c)
+        total += low * math.log(p) + high * math.log1p(-p)
+        i += c
+    a = (-n - total / n) * (1 + 0.75 / n + 2.25 / n**2)
+    if a >= 0.6:
+        p = math.exp(1.2937 - 5.709 * a + 0.0186 * a * a)
+    elif a >= 0.34:
+        p = math.exp(0.9177 - 4.279 * a - 1.38 * a * a)
+    elif a >= 0.2:
+        p = 1 - math.exp(-8.318 + 42.796 * a - 59.938 * a * a)
+    else:
+        p = 1 - math.exp(-13.436 + 101.14 * a - 223.73 * a * a)
+    return {"a2": a, "p": min(1.0, max(0.0, p))}

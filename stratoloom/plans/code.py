@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import concurrency as C
 from ..operators import quality as Q
 from ..operators import symbols as S
 from ..operators import vectors as V
 from ..operators.graph import edge_list, simple_paths
-from ..session import Cuts
+from ..session import Cuts, map_frames
 from ..sources.tables import latest, table
 from ..streaming import live
 
@@ -120,6 +122,60 @@ def path_search(spark: SparkSession, d: str) -> DataFrame:
     return simple_paths(_pairs(spark, d), [1, 2], 1).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "weight")
 
 
+def _locks(spark: SparkSession, d: str) -> DataFrame:
+    """An order stands for a function, its parts' brands for locks, taken in line order and never released."""
+    li = table(spark, d, "lineitem", F.col("l_orderkey").alias("function"), F.col("l_linenumber").alias("seq"), "l_partkey")
+    p = table(spark, d, "part", "p_partkey", F.col("p_brand").alias("lock"))
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("function", "seq", "lock", F.lit("acquire").alias("op"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS f, l_linenumber AS seq, p_brand AS lock FROM lineitem JOIN part ON l_partkey = p_partkey)
+ SELECT x.lock AS src, y.lock AS dst, count(DISTINCT x.f) AS places FROM a x JOIN a y ON x.f = y.f AND y.seq > x.seq AND x.lock <> y.lock GROUP BY 1, 2"""
+)
+def lock_order(spark: SparkSession, d: str) -> DataFrame:
+    return C.lock_order(_locks(spark, d))
+
+
+@query("SELECT l_returnflag AS channel, count(*) FILTER (WHERE l_linestatus = 'O') AS sends, count(*) FILTER (WHERE l_linestatus <> 'O') AS receives FROM lineitem GROUP BY 1")
+def channel_balance(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem", F.col("l_returnflag").alias("channel"), F.when(F.col("l_linestatus") == "O", "send").otherwise("receive").alias("op"))
+    return C.channel_balance(li).select("channel", "sends", "receives")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT topic_id AS concept, unnest(project_names) AS attribute FROM topics), n AS (SELECT concept, count(*) AS n FROM a GROUP BY 1), s AS (SELECT x.concept AS src, y.concept AS dst, count(*) AS c FROM a x JOIN a y ON x.attribute = y.attribute AND x.concept <> y.concept GROUP BY 1, 2),
+ sub AS (SELECT src, dst FROM s JOIN n nd ON nd.concept = dst JOIN n ns ON ns.concept = src WHERE c = nd.n AND ns.n > nd.n) SELECT src, dst FROM sub WHERE NOT EXISTS (SELECT 1 FROM sub p JOIN sub q ON p.dst = q.src WHERE p.src = sub.src AND q.dst = sub.dst)"""
+)
+def is_a_cover(spark: SparkSession, d: str) -> DataFrame:
+    return C.is_a_cover(table(spark, d, "topics", F.col("topic_id").alias("concept"), F.explode("project_names").alias("attribute")))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT parent_id AS src, id AS dst FROM work_items WHERE parent_id IS NOT NULL), r(src, dst, hops) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.dst WHERE r.hops < 200),
+ own AS (SELECT DISTINCT id AS f, kind AS e FROM work_items WHERE kind IS NOT NULL), x AS (SELECT f, e, 0 AS hops FROM own UNION ALL SELECT r.src, own.e, r.hops FROM r JOIN own ON own.f = r.dst) SELECT f AS function, e AS effect, CAST(min(hops) AS INTEGER) AS hops FROM x GROUP BY 1, 2"""
+)
+def effect_propagation(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "work_items", "id", "parent_id", "kind")
+    calls = Cuts(spark, "calls").cut(w.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")).distinct())
+    return C.effects(calls, w.where("kind is not null").select(F.col("id").alias("function"), F.col("kind").alias("effect")))
+
+
+@query()
+def compression_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Compression distance between the files with an id divisible by 100 and their successor in their project."""
+    f = _files(spark, d).where("content is not null")
+    a = f.where("file_id % 100 = 0").select("project_id", F.col("file_id").alias("a"), F.col("content").alias("ca"))
+    nxt = a.join(f.select("project_id", F.col("file_id").alias("b")), "project_id").where("b > a").groupBy("a").agg(F.min("b").alias("b"))
+    pairs = nxt.join(a.select("a", "ca"), "a").join(f.select(F.col("file_id").alias("b"), F.col("content").alias("cb")), "b")
+
+    def look(batches):
+        for p in batches:
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "distance": [Q.compression_distance(x, y) for x, y in zip(p["ca"], p["cb"])]})
+
+    return map_frames(pairs.select("a", "b", "ca", "cb"), look, "a long, b long, distance double")
+
+
 # ---- Structured Streaming, run to the end of what is stored ---------------------
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema

@@ -203,6 +203,11 @@ for _name, _func, _schema in (
     ("ktruss", L.k_truss, "a long, b long, truss int"),
     ("burt_constraint", L.constraint, "id long, constraint double"),
     ("degree_assortativity", L.assortativity, "edges int, r double"),
+    ("simple_cycles", L.simple_cycles, "cycle string, length int"),
+    ("edge_betweenness", L.edge_betweenness, "a long, b long, score double"),
+    ("two_edge_components", L.two_edge_components, "id long, component long"),
+    ("attack_simulation", L.attack, "removed int, largest int"),
+    ("core_periphery", L.core_periphery, "id long, role string"),
     ("local_centralities", L.centralities, "id long, closeness double, eigenvector double, katz double"),
 ):
     QUERIES[_name] = _local(_func, _schema)

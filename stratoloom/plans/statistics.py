@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
+from ..operators.acceptance import evaluate
+from ..session import few_or_raise
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -121,6 +123,30 @@ def normality(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r.event_type, *S.normality_test(r.n, r.skewness, r.kurtosis).values()) for r in m], "event_type string, k2 double, p double")
 
 
+@query()
+def normality_anderson(spark: SparkSession, d: str) -> DataFrame:
+    """Anderson-Darling per event type, from the counts per distinct value."""
+    c = _events(spark, d).where("value is not null").groupBy("event_type", F.round("value", 2).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    per: dict = {}
+    for r in few_or_raise(c, 1_000_000, "distinct values"):
+        per.setdefault(r.event_type, []).append((r.v, r.n))
+    return spark.createDataFrame([(k, *S.anderson_darling(v).values()) for k, v in sorted(per.items())], "event_type string, a2 double, p double")
+
+
+@query()
+def acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of criteria over the two arms."""
+    tree = {"kind": "any", "of": [{"kind": "significant", "direction": "greater"}, {"kind": "all", "of": [{"kind": "equivalent", "margin": 5.0}, {"kind": "threshold", "most": 1000.0}]}]}
+    r = evaluate(tree, _arms(spark, d).first().asDict())
+    return spark.createDataFrame([(r["accepted"], str(r["detail"]))], "accepted boolean, detail string")
+
+
+@query("SELECT count(*) FILTER (WHERE e AND NOT c) AS b, count(*) FILTER (WHERE c AND NOT e) AS c FROM (SELECT user_id, bool_or(event_type = 'error') AS e, bool_or(event_type = 'click' AND value > 60) AS c FROM events GROUP BY 1)")
+def mcnemar_counts(spark: SparkSession, d: str) -> DataFrame:
+    u = _events(spark, d).groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("e"), F.bool_or((F.col("event_type") == "click") & (F.col("value") > 60)).alias("k"))
+    return u.agg(F.count(F.when(F.col("e") & ~F.col("k"), 1)).alias("b"), F.count(F.when(F.col("k") & ~F.col("e"), 1)).alias("c"))
+
+
 _RANK = """WITH r AS (SELECT query_id AS query, chunk_id AS item, min(hit_rank) AS rank FROM search_results WHERE chunk_id IS NOT NULL GROUP BY 1, 2), g AS (SELECT query_id AS query, chunk_id AS item, max(score) AS gain FROM search_results WHERE chunk_id IS NOT NULL AND score > 0.5 GROUP BY 1, 2),
  t AS (SELECT * FROM r WHERE rank <= 10), h AS (SELECT t.query, t.rank, g.gain, row_number() OVER (PARTITION BY t.query ORDER BY rank, t.item) AS found FROM t JOIN g USING (query, item)),
  i AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY gain DESC, item) AS r, gain FROM g), d AS (SELECT query, sum(gain / log2(r + 1)) FILTER (WHERE r <= 10) AS idcg, count(*) AS n FROM i GROUP BY 1),

@@ -80,3 +80,9 @@ def _show(v) -> str:
     if isinstance(v, float) and v == int(v) and abs(v) < 1e15:
         return str(int(v))
     return str(v)
+
+
+def ontology_edn(edges: DataFrame, predicate: str = "is-a") -> DataFrame:
+    """Lines of EDN vectors from ``src, dst``: one text column ``value``."""
+    text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return edges.where("src is not null and dst is not null").select(F.concat(F.lit(f"[:{predicate} "), text("src"), F.lit(" "), text("dst"), F.lit("]")).alias("value"))

@@ -124,3 +124,17 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def watch_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
+    """A stream of files as they arrive below a folder: ``path, modified_at, size_bytes, content``."""
+    s = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(sorted(extensions)) + "}").load(root)
+    return s.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def merge_streams(*streams: DataFrame) -> DataFrame:
+    """Several streams as one; it ends when all have ended."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out
