@@ -34,9 +34,9 @@ class Fields:
 
     def typed(self, name: str, value=None) -> Column:
         """The field for ordered comparison: by its declared type, else numeric if the value is a number."""
-        kind = self.types.get(name)
-        if self.json_column is None and kind is None:
+        if self.json_column is None:
             return F.col(f"`{name}`")
+        kind = self.types.get(name)
         if kind in ("integer", "number") or kind is None and isinstance(value, (int, float)) and not isinstance(value, bool):
             return self.text(name).try_cast("double")
         if kind == "timestamp":
@@ -50,17 +50,8 @@ class Fields:
         return F.coalesce(F.array_contains(F.json_object_keys(self.json_column), name), F.lit(False))
 
 
-def _literal(value) -> Column:
-    return F.lit(value)
-
-
-def predicate(fields: Fields, name: str, op: str, value=None) -> Column:
-    """One predicate, never null.
-
-    ``eq`` is false and ``ne`` true where the field is absent or null; ordered comparisons and
-    ``contains`` (a literal substring, whatever the case) are false there, and where the field
-    cannot be read as the type they compare by.  A number equals its text with any zero fraction.
-    """
+def _raw(fields: Fields, name: str, op: str, value=None) -> Column:
+    """The predicate as the scan can take it: null where the field is absent (which a filter drops)."""
     if op not in OPS:
         raise ValueError(f"unknown operator {op!r}; one of {', '.join(OPS)}")
     if op == "exists":
@@ -68,36 +59,49 @@ def predicate(fields: Fields, name: str, op: str, value=None) -> Column:
     if op in ("eq", "ne"):
         if value is None:
             same = fields.text(name).isNull() & (fields.present(name) if fields.json_column else F.lit(True))
-        elif isinstance(value, bool):
-            same = fields.text(name) == ("true" if value else "false")
+            return same if op == "eq" else ~same
+        if isinstance(value, bool):
+            left, right = (fields.text(name), "true" if value else "false") if fields.json_column else (fields.typed(name), value)
         elif isinstance(value, (int, float)):
-            same = (fields.text(name).try_cast("double") if fields.json_column else fields.typed(name)) == _literal(value)
+            left, right = (fields.text(name).try_cast("double") if fields.json_column else fields.typed(name)), value
         elif isinstance(value, (list, dict)):
-            same = fields.text(name) == json.dumps(value, separators=(",", ":"))
+            left, right = fields.text(name), json.dumps(value, separators=(",", ":"))
         else:
-            same = (fields.text(name) if fields.json_column else fields.typed(name)) == _literal(value)
-        same = F.coalesce(same, F.lit(False))
-        return same if op == "eq" else ~same
+            left, right = (fields.text(name) if fields.json_column else fields.typed(name)), value
+        return left == F.lit(right) if op == "eq" else left.isNull() | (left != F.lit(right))
     if op == "contains":
-        return F.coalesce(F.contains(F.lower(fields.text(name)), F.lower(F.lit(str(value)))), F.lit(False))
+        return F.contains(F.lower(fields.text(name)), F.lower(F.lit(str(value))))
     left = fields.typed(name, value)
-    right = F.to_timestamp(F.lit(value)) if fields.types.get(name) == "timestamp" and isinstance(value, str) else _literal(value)
-    test = {"gt": left > right, "lt": left < right, "gte": left >= right, "lte": left <= right}[op]
-    return F.coalesce(test, F.lit(False))
+    right = F.to_timestamp(F.lit(value)) if fields.types.get(name) == "timestamp" and isinstance(value, str) else F.lit(value)
+    return {"gt": left > right, "lt": left < right, "gte": left >= right, "lte": left <= right}[op]
+
+
+def predicate(fields: Fields, name: str, op: str, value=None) -> Column:
+    """One predicate, never null.
+
+    ``eq`` is false and ``ne`` true where the field is absent or null; ordered comparisons and
+    ``contains`` (a literal substring, whatever the case) are false there, and where the field
+    cannot be read as the type they compare by.  A number equals its text with any zero fraction.
+    """
+    return F.coalesce(_raw(fields, name, op, value), F.lit(False))
 
 
 def combine(fields: Fields, conditions: Iterable[tuple], any_of: bool = False) -> Column:
-    """All (or any) of the conditions; no condition at all holds for every row."""
+    """All (or any) of the conditions, for a filter; no condition at all holds for every row.
+
+    Means what :func:`predicate` does, but is null instead of false where a field is absent, so that
+    comparisons of plain columns reach the scan.
+    """
     out = None
     for c in conditions:
-        p = predicate(fields, *c)
+        p = _raw(fields, *c)
         out = p if out is None else (out | p if any_of else out & p)
     return F.lit(True) if out is None else out
 
 
 def optional(column: str, value) -> Column:
     """``column = value``, or no condition if the value is None (decided when the plan is built)."""
-    return F.lit(True) if value is None else F.coalesce(F.col(column) == F.lit(value), F.lit(False))
+    return F.lit(True) if value is None else F.col(column) == F.lit(value)
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -118,4 +122,4 @@ def word_boundaries(pattern: str) -> str:
 def valid_at(at, start: str = "valid_from", end: str = "valid_to") -> Column:
     """Whether an interval, closed at its start and open at its end (null: without end), holds a moment."""
     at = F.lit(at) if not isinstance(at, Column) else at
-    return F.coalesce(F.col(start) <= at, F.lit(False)) & (F.col(end).isNull() | (F.col(end) > at))
+    return (F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) > at))
