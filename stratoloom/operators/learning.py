@@ -406,3 +406,61 @@ def trend_of(values: list[float], tolerance: float = 0.1) -> str:
     if spread < 1e-12 or abs(slope) * len(x) < tolerance * max(abs(x.mean()), 1e-12):
         return "flat" if spread < max(abs(x.mean()), 1e-12) else "volatile"
     return "rising" if slope > 0 else "falling"
+
+
+def fuzzy_silhouette(x: np.ndarray, c: np.ndarray, m: float = 2.0, alpha: float = 1.0) -> float:
+    """Mean silhouette over a bounded sample, weighted by how much the two best memberships differ."""
+    u = _memberships(x, c, m)
+    top = np.sort(u, axis=1)
+    weight = (top[:, -1] - top[:, -2]) ** alpha if u.shape[1] > 1 else np.ones(len(x))
+    label = u.argmax(1)
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
+    s = np.zeros(len(x))
+    for i in range(len(x)):
+        own = label == label[i]
+        if own.sum() < 2:
+            continue
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min((d[i, label == k].mean() for k in np.unique(label) if k != label[i]), default=0.0)
+        s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+    return float((weight * s).sum() / max(weight.sum(), 1e-12))
+
+
+def poincare_embedding(edges: list[tuple], dim: int = 2, epochs: int = 100, rate: float = 0.1, negatives: int = 5, seed: int = 42) -> dict:
+    """Points of the Poincaré ball for the nodes of a bounded is-a hierarchy of (child, parent): ``{node: vector}``.
+
+    Riemannian gradient descent on the log-likelihood of each link against random nodes; links become near,
+    general nodes lie towards the centre.
+    """
+    nodes = sorted({n for e in edges for n in e})
+    at = {n: i for i, n in enumerate(nodes)}
+    rng = np.random.default_rng(seed)
+    p = rng.uniform(-1e-3, 1e-3, (len(nodes), dim))
+    pairs = np.array([(at[a], at[b]) for a, b in edges])
+
+    def distance_and_grad(u: np.ndarray, v: np.ndarray):
+        alpha, beta = 1 - u @ u, 1 - (v * v).sum(1)
+        diff = ((u - v) ** 2).sum(1)
+        gamma = 1 + 2 * diff / (alpha * beta)
+        root = np.sqrt(np.maximum(gamma * gamma - 1, 1e-12))
+        grad = 4 / (beta * root)[:, None] * ((((v * v).sum(1) - 2 * v @ u + 1) / alpha**2)[:, None] * u - v / alpha)
+        return np.arccosh(np.maximum(gamma, 1 + 1e-12)), grad
+
+    for epoch in range(epochs):
+        step = rate * (0.1 if epoch < epochs // 10 else 1.0)
+        for i in rng.permutation(len(pairs)):
+            a, b = pairs[i]
+            others = np.concatenate([[b], rng.integers(len(nodes), size=negatives)])
+            d, g = distance_and_grad(p[a], p[others])
+            w = np.exp(-d)
+            w /= w.sum()
+            w[0] -= 1
+            move = -(w[:, None] * g).sum(0)
+            p[a] -= step * ((1 - p[a] @ p[a]) ** 2 / 4) * move
+            back, gb = distance_and_grad(p[b], p[[a]])
+            p[b] -= step * ((1 - p[b] @ p[b]) ** 2 / 4) * -w[0] * gb[0]
+            for k in (a, b):
+                n = np.linalg.norm(p[k])
+                if n >= 1:
+                    p[k] *= (1 - 1e-5) / n
+    return {n: p[i].tolist() for n, i in at.items()}

@@ -109,3 +109,21 @@ def test_edn_and_watching(spark, tmp_path):
     assert [r.content for r in got.collect()] == ["1"]
     a = live.watch_files(spark, str(tmp_path), ["py"]).select(F.lit(1).alias("x"))
     assert live.run_to_end(live.merge_streams(a, a), "merged").count() == 2
+
+
+def test_hyperbolic_embedding_and_silhouette():
+    import numpy as np
+
+    from stratoloom.operators import learning as M
+
+    edges = [(f"c{i}", f"p{i % 4}") for i in range(16)] + [(f"p{i}", "root") for i in range(4)]
+    r = {k: np.array(v) for k, v in M.poincare_embedding(edges, epochs=100).items()}
+
+    def d(a, b):
+        u, v = r[a], r[b]
+        return np.arccosh(1 + 2 * ((u - v) ** 2).sum() / ((1 - u @ u) * (1 - v @ v)))
+
+    assert np.mean([d(a, b) for a, b in edges]) < np.mean([d(f"c{i}", f"p{(i + 1) % 4}") for i in range(16)])
+    assert all(np.linalg.norm(v) < 1 for v in r.values())
+    x = np.concatenate([np.random.default_rng(0).normal(0, 0.1, (20, 2)), np.random.default_rng(1).normal(3, 0.1, (20, 2))])
+    assert M.fuzzy_silhouette(x, np.array([[0, 0], [3, 3.0]])) > 0.9
