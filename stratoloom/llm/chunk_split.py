@@ -38,19 +38,21 @@ def split_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     end, else sentence end, else space that still lets the pieces move on; else before the
     character that would pass the limit.  A text within the limit is one piece.
     """
+    if limit < 8:
+        raise ValueError("two characters must fit a piece: the limit is at least 8 bytes")
     n = len(text)
     sums = byte_offsets(text)
     if sums[-1] <= limit:
         return [(0, n)]
     kinds = [np.array([m.end() for m in p.finditer(text)], dtype=np.int64) for p in _BOUNDARIES]
-    pieces, start = [], 0
+    pieces, start, reached = [], 0, 0
     while True:
         hard = int(np.searchsorted(sums, sums[start] + limit, side="right")) - 1
         if hard >= n:
             pieces.append((start, n))
             return pieces
-        # a piece must reach beyond what it shares with the one before
-        least = start + max(1, min(overlap, (hard - start) // 2) + 1)
+        # a piece must reach beyond the one before
+        least = reached + 1
         end = hard
         for ends in kinds:
             i = bisect_right(ends, hard) - 1
@@ -58,10 +60,12 @@ def split_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 end = int(ends[i])
                 break
         pieces.append((start, end))
+        reached = end
         if overlap <= 0:
             start = end
             continue
-        low = max(start + 1, end - overlap)
+        # so far back that a character more than now still fits
+        low = max(start + 1, end - overlap, int(np.searchsorted(sums, sums[end + 1] - limit, side="left")))
         nxt = low
         for ends in kinds:
             i = bisect_left(ends, low)

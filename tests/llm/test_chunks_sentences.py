@@ -16,7 +16,7 @@ def check(text, limit, overlap):
     return pts
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab é漢😀.\n ", max_size=400), st.integers(16, 60), st.integers(1, 8))
 def test_pieces_cover_the_text(text, limit, overlap):
     check(text, limit, overlap)
@@ -28,6 +28,8 @@ def test_cuts_fall_on_boundaries():
         assert text[b - 1] == "\n"
     check("x" * 10_000, 4096, 200)
     check("漢" * 5_000, 4096, 200)
+    check("aaé漢漢 漢😀", 16, 5)
+    check("😀" * 9, 8, 8)
     assert split_points("", 10, 2) == [(0, 0)]
 
 
