@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -108,18 +109,24 @@ def few_or_raise(df: DataFrame, limit: int, what: str) -> list:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of all executors, once per session."""
+    """Make this package importable in the Python workers of all executors, once per session.
+
+    The archive lies in the shared folder, not on one machine.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_stratoloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="stratoloom-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    path = f"{folder}/stratoloom.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("stratoloom") / p.relative_to(root))
-    sc.addPyFile(path)
+    jvm, conf = spark._jvm, sc._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stratoloom-{uuid.uuid4().hex}.zip")
+    out = place.getFileSystem(conf).create(place, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    sc.addPyFile(place.toString())
     sc._stratoloom_shipped = True
 
 
