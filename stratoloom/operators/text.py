@@ -61,6 +61,18 @@ def term_frequencies(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def identifier_terms(df: DataFrame, keep: list, text: str, least: int = 3, most: int = 50) -> DataFrame:
+    """The ``keep`` columns with ``word``, a row for each word of the text's identifiers.
+
+    What :func:`functions.text.identifier_words` gives, but filtered after the words are rows, where the
+    conditions are compiled.
+    """
+    split = F.regexp_replace(F.col(text), r"([a-z0-9])([A-Z])", "$1 $2")
+    rows = df.select(*keep, F.explode(F.regexp_extract_all(F.lower(split), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
+    n = F.length("word")
+    return rows.where((n >= least) & (n <= most) & ~F.col("word").isin(*sorted(T.STOP_WORDS)) & ~F.col("word").rlike(r"^\d+$"))
+
+
 def all_terms_search(tf: DataFrame, terms: list[str], k: int) -> DataFrame:
     """Documents with every term, by ``sum(1 + ln tf)``: ``id, score``; ties go to the smaller id."""
     wanted = sorted({t.lower() for t in terms} - T.STOP_WORDS)

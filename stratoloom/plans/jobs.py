@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import symbols as SY
@@ -54,7 +53,7 @@ def label_topics(spark: SparkSession, folder: str, out: str, words: int = 10) ->
     """Keywords, sizes and project profiles of the assigned topics."""
     chunks = table(spark, folder, "file_chunks", "chunk_id", "file_id", "content").where("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct("file_id", "content")).alias("r")).select("chunk_id", "r.*")
     assigned = Cuts(spark, "topic-job").cut(table(spark, folder, "assignments", "chunk_id", "topic_id", "membership_score").distinct())
-    w = chunks.where("content is not null").select("chunk_id", F.explode(TX.identifier_words("content")).alias("word")).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    w = X.identifier_terms(chunks.where("content is not null"), ["chunk_id"], "content").groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"))
     weighted = w.join(assigned, "chunk_id").select(F.col("topic_id").alias("class"), "word", (F.col("membership_score") * F.col("n")).alias("weight"))
     _write(X.class_tf_idf(weighted, words), out, "topic_words")
     files = table(spark, folder, "indexed_files", "file_id", "project_id").groupBy("file_id").agg(F.max("project_id").alias("project_id"))

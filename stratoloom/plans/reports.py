@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import quality as Q
+from ..operators import text as X
 from ..operators import topics as T
 from ..sources.tables import latest, table
 
@@ -83,7 +84,7 @@ def topic_size_change(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def topic_coherence(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "file_chunks", "chunk_id", "content").where("content is not null").groupBy("chunk_id").agg(F.max("content").alias("content"))
-    words = c.select(F.col("chunk_id").alias("doc"), F.explode(TX.identifier_words("content")).alias("word"))
+    words = X.identifier_terms(c, [F.col("chunk_id").alias("doc")], "content")
     labels = table(spark, d, "topics", F.col("topic_id").alias("topic"), F.explode("keywords").alias("word")).distinct()
     return T.npmi(words, labels)
 

@@ -86,7 +86,7 @@ _CHUNK_WORDS = rf"""WITH c AS (SELECT chunk_id, max(content) AS content FROM fil
 @query(_CHUNK_WORDS + "SELECT class, word, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(score, 10) DESC, word) <= 5")
 def ctf_idf(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "file_chunks", "chunk_id", "content").where("content is not null").groupBy("chunk_id").agg(F.max("content").alias("content"))
-    w = c.select("chunk_id", F.explode(T.identifier_words("content")).alias("word")).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    w = X.identifier_terms(c, ["chunk_id"], "content").groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"))
     a = table(spark, d, "assignments", "chunk_id", "topic_id", "membership_score").distinct()
     words = w.join(a, "chunk_id").select(F.col("topic_id").alias("class"), "word", (F.col("membership_score") * F.col("n")).alias("weight"))
     return X.class_tf_idf(words, 5).select("class", "word", F.round("score", 6).alias("score"))
