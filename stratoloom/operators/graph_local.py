@@ -172,7 +172,9 @@ def dominators(nodes: np.ndarray, pairs: np.ndarray):
     """(node, dominator): immediate dominators from a virtual entry to all nodes without an incoming edge
     (null where that entry dominates); nodes it cannot reach are left out."""
     n = len(nodes)
-    adj = _neighbours(n + 1, np.concatenate([pairs, [[n, i] for i in range(n) if i not in set(pairs[:, 1].tolist())]]) if len(pairs) else pairs, True)
+    entered = set(pairs[:, 1].tolist())
+    entry = np.array([(n, i) for i in range(n) if i not in entered], dtype=int).reshape(-1, 2)
+    adj = _neighbours(n + 1, np.concatenate([pairs, entry]), True)
     order, seen = [], {n}
     stack = [(n, iter(adj[n]))]
     while stack:

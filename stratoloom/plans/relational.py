@@ -212,13 +212,13 @@ def telemetry_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT r.r_name AS region, n.n_name AS nation, c.c_mktsegment AS segment, c.c_acctbal FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
  l3 AS (SELECT region, nation, segment, count(*) n, avg(c_acctbal) m FROM c GROUP BY ALL), l2 AS (SELECT region, nation, count(*) n, avg(m) m FROM l3 GROUP BY ALL), l1 AS (SELECT region, count(*) n, avg(m) m FROM l2 GROUP BY ALL)
- SELECT 'segment' AS level, segment AS key, n AS n_children, round(m, 4) AS c_acctbal FROM l3 UNION ALL SELECT 'nation', nation, n, round(m, 4) FROM l2 UNION ALL SELECT 'region', region, n, round(m, 4) FROM l1
- UNION ALL SELECT 'all', NULL, count(*), round(avg(m), 4) FROM l1""")
+ SELECT 'segment' AS level, segment AS key, n AS n_children, round(m + 1e-7, 4) AS c_acctbal FROM l3 UNION ALL SELECT 'nation', nation, n, round(m + 1e-7, 4) FROM l2 UNION ALL SELECT 'region', region, n, round(m + 1e-7, 4) FROM l1
+ UNION ALL SELECT 'all', NULL, count(*), round(avg(m) + 1e-7, 4) FROM l1""")
 def hierarchy_rollup(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, d, "customer", "c_nationkey", "c_mktsegment", "c_acctbal").join(broadcast_if_small(n), F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
-    return A.rollup_means(c, ["region", "nation", "segment"], ["c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 4))
+    return A.rollup_means(c, ["region", "nation", "segment"], ["c_acctbal"]).withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1e-7, 4))
 
 
 @query("SELECT project_id, count(*) AS items, round(sum(weight * CASE WHEN status = 'done' THEN 1.0 ELSE 0.0 END) / sum(weight), 6) AS completion FROM work_items GROUP BY project_id")

@@ -77,3 +77,9 @@ def test_local_algorithms(spark):
     assert b[3] == 3 and b[4] == 0
     assert len(run(L.louvain, "id long, community long")) == 4
     assert abs(run(L.spectral, "nodes int, lambda2 double")[0].lambda2 - 1) < 1e-9
+
+
+def test_dominators_of_a_pure_loop(spark):
+    e = spark.createDataFrame([("g", 1, 2), ("g", 2, 1), ("h", 1, 2), ("h", 2, 3), ("h", 1, 3)], "p string, src long, dst long")
+    got = {(r.p, r.id, r.dominator) for r in L.per_group(e, "p", L.dominators, "id long, dominator long").collect()}
+    assert got == {("h", 1, None), ("h", 2, 1), ("h", 3, 1)}
