@@ -33,8 +33,9 @@ def per_group(edges: DataFrame, group: str, func: Callable, schema: str) -> Data
         nodes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
         pairs = np.stack([np.searchsorted(nodes, pdf["src"].to_numpy()), np.searchsorted(nodes, pdf["dst"].to_numpy())], axis=1)
         out = pd.DataFrame(list(func(nodes, pairs)), columns=names)
-        out.insert(0, group, [pdf["g"].iloc[0]] * len(out))
-        return out
+        # the group's column keeps its type, also where there are no rows
+        out.insert(0, group, pdf["g"].iloc[:1].repeat(len(out)).to_numpy() if len(out) else pdf["g"].iloc[:0].to_numpy(dtype=object))
+        return out.astype(object) if not len(out) else out
 
     e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col(group).alias("g"), "src", "dst")
     kind = edges.schema[group].dataType.simpleString()
