@@ -197,12 +197,7 @@ class JavaScript(Language):
     grammar_text = grammars.JAVASCRIPT
     newlines = True
     _str = r"\"(?:[^\"\\\n\r]|\\(?:\r\n|.))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*+'"
-    _flat = r"`(?:[^`\\$]|\\.|\$(?!\{))*+`"
-    _in0 = rf"(?:[^{{}}`'\"]|{_str}|{_flat})*+"
-    _in1 = rf"(?:[^{{}}`'\"]|{_str}|{_flat}|\{{{_in0}\}})*+"
-    _tpl1 = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{{_in1}\}})*+`"
-    _in2 = rf"(?:[^{{}}`'\"]|{_str}|{_tpl1}|\{{{_in1}\}})*+"
-    _tpl2 = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{{_in2}\}})*+`"
+    _chars = r"(?:[^`\\$]|\\.|\$(?!\{))*+"
     _regex = r"/(?![/*])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*"
     _before = r"(?:=>|===?|!==?|&&|\|\||\?\?|(?<!\+)\+|(?<!-)-|[(,=:\[!&|?{};*%~^<>]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|await|yield|instanceof)\b)"
     pattern = (
@@ -210,7 +205,7 @@ class JavaScript(Language):
         rf"|{_before}(?:\s|//[^\n]*\n|/\*.*?\*/)*+{_regex}|\A{_regex}"
         r"|[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*|\#\$[\w$]*|(?:\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})[\w$]*"
         r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?"
-        rf"|{_str}|{_tpl2}"
+        rf"|{_str}|`{_chars}`"
         r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
         r"|[-+*/%&|^<>=!~?:;,.()\[\]{}@]|."
     )
@@ -221,7 +216,10 @@ class JavaScript(Language):
     def __init__(self):
         super().__init__()
         self.split_regex = re.compile(rf"({self._before})(?:\s|//[^\n]*\n|/\*.*?\*/)*({self._regex})\Z", re.S)
-        self.template = re.compile(rf"\$\{{({self._in2})\}}|\\.|[^$\\]+|\$", re.S)
+        self.plain, self.find = self.find, self._pieces
+        self.finditer = re.compile(self.pattern, self.flags).finditer
+        self.template = re.compile(rf"{self._chars}(`|\$\{{)", re.S).match
+        self.first_regex = re.compile(rf"(?:\s|//[^\n]*\n|/\*.*?\*/)*+{self._regex}", re.S).match
 
     def classify(self, s: str):
         c = s[0]
@@ -234,8 +232,7 @@ class JavaScript(Language):
         if c in "\"'" and len(s) > 1:
             return self.k("STR")
         if c == "`" and len(s) > 1:
-            ok = all(self.derives(x, "substitution") for x in self.template.findall(s[1:-1]) if x) if "${" in s else True
-            return self.k("TEMPLATE") if ok else BAD
+            return self.k("TEMPLATE")
         if s in self._ops:
             return self.k("OP")
         if s.startswith("#!"):
@@ -251,9 +248,19 @@ class JavaScript(Language):
         return self.k("IDENT") if c in "\\$" and len(s) > 1 or c == "$" or s.replace("$", "_").isidentifier() else BAD
 
     def tokens(self, text: str):
+        pieces = self._templates(text) if "`" in text and "${" in text else map(self.kinds.__getitem__, self.plain(text))
+        return None if pieces is None else self._marked(pieces)
+
+    def _pieces(self, text: str) -> list[str]:
+        """The spellings of the pieces, a template in one; every character apart from a template that is open."""
+        spelled: list[str] = []
+        return spelled if "`" in text and "${" in text and self._templates(text, spelled) is not None else self.plain(text)
+
+    def _marked(self, pieces) -> list[int] | None:
+        """The kinds with their newline marks, or None if some character starts no token."""
         out: list[int] = []
         mark = NEWLINE_FLAG
-        for k in map(self.kinds.__getitem__, self.find(text)):
+        for k in pieces:
             if k.__class__ is tuple:
                 out.append(k[0] | mark)
                 out.append(k[1])
@@ -267,6 +274,63 @@ class JavaScript(Language):
                 return None
         return out
 
+    def _templates(self, text: str, spelled: list[str] | None = None) -> list | None:
+        """The pieces' kinds, each template as one, whatever its depth; None if one is open or holds no expression.
+
+        Every open substitution has a frame: the pieces around it, and their open braces.  With
+        ``spelled``, the outermost spellings are added to it and the expressions are not looked at.
+        """
+        kinds, grammar = self.kinds, self.grammar
+        template, opener, closer = self.k("TEMPLATE"), OPENERS["{"], CLOSERS["}"]
+        out: list = []
+        frames: list[tuple[list, int]] = []
+        depth, at, begin = 0, 0, 0
+        while at >= 0:
+            for m in self.finditer(text, at):
+                s = m[0]
+                if s[0] == "}" and frames and not depth:
+                    # the brace alone: what follows it belongs to the template
+                    if spelled is None:
+                        inner = self._marked(out)
+                        folded = None if inner is None else grammar.fold(inner, whole=False)
+                        if folded is None or not grammar.run(folded, [(0, "substitution")]):
+                            return None
+                    out, depth = frames.pop()
+                    at = m.start() + 1
+                elif s == "`":
+                    at = m.end()
+                    begin = begin if frames else m.start()
+                else:
+                    k = kinds[s]
+                    low = k[0] if k.__class__ is tuple else k
+                    if low == opener:
+                        depth += 1
+                    elif low == closer:
+                        depth -= 1
+                    out.append(k)
+                    if spelled is not None and not frames:
+                        spelled.append(s)
+                    continue
+                # within a template: to its end, or to its next substitution
+                t = self.template(text, at)
+                if not t:
+                    return None
+                at = t.end()
+                if t[1] == "`":
+                    out.append(template)
+                    if spelled is not None and not frames:
+                        spelled.append(text[begin:at])
+                else:
+                    frames.append((out, depth))
+                    out, depth = [], 0
+                    if r := self.first_regex(text, at):
+                        out.append(self.k("REGEX"))
+                        at = r.end()
+                break
+            else:
+                at = -1
+        return None if frames else out
+
 
 class Python(Language):
     grammar_text = grammars.PYTHON
@@ -423,7 +487,7 @@ class Rust(Language):
     terminator = ";"
     pattern = (
         r"\A\#!(?!\s*\[)[^\n]*|\s+|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/|r\#[^\W\d]\w*"
-        r"|(?:b|c)?\"(?:[^\"\\]|\\.)*+\"|(?:br|cr|r)\"[^\"]*\"|(?:br|cr|r)\#\".*?\"\#|(?:br|cr|r)\#\#\".*?\"\#\#|(?:br|cr|r)\#\#\#\".*?\"\#\#\#"
+        r"|(?:b|c)?\"(?:[^\"\\]|\\.)*+\"|(?:br|cr|r)\"[^\"]*\"|RAW"
         r"|b?'(?:[^'\\\n\r\t]|\\(?:[nrt\\0'\"]|x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}))'|'[^\W\d]\w*(?!')|[^\W\d]\w*"
         r"|0x[\da-fA-F_]+(?:[iu](?:8|16|32|64|128|size))?|0b[01_]+(?:[iu](?:8|16|32|64|128|size))?|0o[0-7_]+(?:[iu](?:8|16|32|64|128|size))?"
         r"|\d[\d_]*(?:\.(?!\.|[^\W\d])(?:\d[\d_]*)?)?(?:[eE][+-]?[\d_]+)?(?:[iuf](?:8|16|32|64|128|size))?"
@@ -433,9 +497,13 @@ class Rust(Language):
         r"/\*|\*/|//[^\n]*|(?:br|cr|r)(\#+)\".*?\"\1|(?:br|cr|r)\"[^\"]*\"|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)'|[^/*\"'rbc]+|.", re.S
     )
 
+    _raw_opening = re.compile(r"r(\#+)\"").findall
+
     def __init__(self):
         super().__init__()
         g = self.grammar.kind
+        self._finders: dict[int, Callable] = {}
+        self.find = self._pieces
         #: Tokens that only macros and attributes may hold.
         self.extra = g.setdefault("$", len(g))
 
@@ -457,6 +525,15 @@ class Rust(Language):
             return self.extra
         return self.k("IDENT") if s.startswith("r#") or s.isidentifier() else BAD
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text's pieces, by the expression for raw strings with as many # as some opening of the text has; the language allows 255."""
+        n = min(max(map(len, self._raw_opening(text)), default=0), 255)
+        if n not in self._finders:
+            marks = [rf"\#{{{i}}}" for i in range(1, n + 1)]
+            raw = "|".join(rf"(?:br|cr|r){x}\".*?\"{x}" for x in marks) or "(?!)"
+            self._finders[n] = re.compile(self.pattern.replace("RAW", raw, 1), self.flags).findall
+        return self._finders[n](text)
+
     def tokens(self, text: str):
         text = text.removeprefix("\ufeff")
         kinds = [k for k in map(self.kinds.__getitem__, self.find(text)) if k != SPACE]

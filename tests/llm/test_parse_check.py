@@ -108,3 +108,15 @@ def test_long_and_deep_texts():
     assert not refused("x = 1\n" * 50_000, "python")
     assert not refused("[" * 5000 + "]" * 5000, "json")
     assert refused("[" * 5000 + "]" * 4999, "json")
+
+
+def test_templates_and_raw_strings_of_any_depth():
+    deep = "`${" * 300 + "1" + "}`" * 300
+    for text in ["`${xs.map(x => { return `<li>${x}</li>`; })}`", "`${f(() => { if (a) { return {b: 1}; } })}`", "x = `${a}/${b}/c`", "`a ${/[}`]/.test(x) ? `y` : 'z'}`", deep]:
+        assert not refused(text, "javascript"), text
+        assert "".join(language("javascript").find(f"{text};\n")) == f"{text};\n" and language("javascript").find(f"{text};")[-2].endswith("`")
+    for text in ["`${a b}`", "`${}`", "`${`${a}`", "`${f(() => { if (a) { return {b 1}; } })}`", "`a ${b}} `}", deep[:-1]]:
+        assert refused(text, "javascript"), text
+    for n in (1, 3, 4, 7, 255):
+        text = 'fn f() { g(br%s"a "b%s "%s); }' % ("#" * n, "#" * (n - 1), "#" * n)
+        assert not refused(text, "rust") and refused(text.replace("#)", ")"), "rust"), n
