@@ -137,7 +137,9 @@ spec = ( name | STR ) ( 'as' ( name | STR ) )? ;
 export = 'export' ( 'default' ( function | class | assign eos ) | decl | '*' ( 'as' ( name | STR ) )? 'from' STR eos | named ( 'from' STR )? eos ) ;
 decl = function | class | ( 'var' | 'let' | 'const' ) bind ( ',' bind )* eos ;
 bind = target ( '=' assign )? ;
-target = id | objlit | arrlit ;
+target = id | '{' ( tprop ( ',' tprop )* ','? )? '}' | '[' ','* ( telem ( ','+ telem )* ','* )? ']' ;
+tprop = '\.\.\.' target | key ':' bind | id ( '=' assign )? ;
+telem = '\.\.\.'? bind ;
 function = 'async'? 'function' '*'? id? params block ;
 params = '(' ( param ( ',' param )* ','? )? ')' ;
 param = '\.\.\.'? bind ;
@@ -151,20 +153,26 @@ stmt = block | decl | ';' | exprs eos | 'if' '(' exprs ')' stmt ( 'else' stmt )?
      | 'try' block ( 'catch' ( '(' target ')' )? block ( 'finally' block )? | 'finally' block )
      | 'switch' '(' exprs ')' '{' ( ( 'case' exprs | 'default' ) ':' stmt* )* '}' ;
 forhead = ( ( 'var' | 'let' | 'const' ) bind ( ',' bind )* | exprs )? ';' exprs? ';' exprs?
-     | ( ( 'var' | 'let' | 'const' ) target | lhs ) ( 'of' assign | 'in' exprs ) ;
+     | ( ( 'var' | 'let' | 'const' ) target | place ) ( 'of' assign | 'in' exprs ) ;
 exprs = assign ( ',' assign )* ;
-assign = operand ( ( OP | '=' | '+' | '-' | '*' | 'in' | 'instanceof' ) operand )* ( '?' assign ':' assign )? ;
-operand = ( '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' )* ( lhs ( '++' | '--' )? | arrow | yield | PRIVATE ) ;
+assign = binary ( '?' assign ':' assign )? | place '=' assign | ref ASSIGN assign | arrow | yield ;
+binary = operand ( ( OP | '+' | '-' | '*' | 'in' | 'instanceof' ) operand )* ;
+operand = ( '+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' )* ( lhs | ref ( '++' | '--' ) | ( '++' | '--' ) ref | PRIVATE ) ;
+ref = id | '(' ref ')' | 'new'* primary postfix* ( '.' ( name | PRIVATE ) | '[' exprs ']' ) ;
+place = ref | '{' ( pprop ( ',' pprop )* ','? )? '}' | '[' ','* ( pelem ( ','+ pelem )* ','* )? ']' ;
+pprop = '\.\.\.' ref | key ':' place ( '=' assign )? | id ( '=' assign )? ;
+pelem = '\.\.\.'? place ( '=' assign )? ;
 yield = 'yield' ( '*'? assign )? ;
 arrow = 'async'? ( id | params ) '=>' ( block | assign ) ;
-lhs = 'new'* primary postfix* ;
+lhs = 'new'* primary ( postfix | chain )* ;
 primary = id | NUM | STR | TEMPLATE | REGEX | 'true' | 'false' | 'null' | 'this' | 'super' | '(' exprs ','? ')' | arrlit | objlit
      | function | class | 'new' '.' 'target' | 'import' ( '.' 'meta' | '(' assign ( ',' assign )? ','? ')' ) ;
-postfix = '.' ( name | PRIVATE ) | '?.' ( name | PRIVATE | '[' exprs ']' | args | TEMPLATE ) | '[' exprs ']' | args | TEMPLATE ;
+postfix = '.' ( name | PRIVATE ) | '[' exprs ']' | args | TEMPLATE ;
+chain = '?.' ( name | PRIVATE | '[' exprs ']' | args | TEMPLATE ) ;
 args = '(' ( '\.\.\.'? assign ( ',' '\.\.\.'? assign )* ','? )? ')' ;
 arrlit = '[' ','* ( '\.\.\.'? assign ( ','+ '\.\.\.'? assign )* ','* )? ']' ;
 objlit = '{' ( prop ( ',' prop )* ','? )? '}' ;
-prop = '\.\.\.' assign | key ':' assign | id ( '=' assign )? | ( 'get' | 'set' | 'async' | 'async'? '*' )? key params block ;
+prop = '\.\.\.' assign | key ':' assign | id | ( 'get' | 'set' | 'async' | 'async'? '*' )? key params block ;
 name = id | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'export'
      | 'extends' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'return' | 'super' | 'switch' | 'this'
      | 'throw' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' | 'true' | 'false' | 'null' | 'await' | 'enum' ;
@@ -193,7 +201,7 @@ if = 'if' named ':' suite ( 'elif' named ':' suite )* ( 'else' ':' suite )? ;
 for = 'for' targets 'in' items ':' suite ( 'else' ':' suite )? ;
 with = 'with' ( withitem ( ',' withitem )* | '(' withitem ( ',' withitem )* ','? ')' ) ':' suite ;
 withitem = expr ( 'as' target )? ;
-try = 'try' ':' suite ( ( 'except' '*'? ( expr ( ',' expr )* ( 'as' id )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite ) ;
+try = 'try' ':' suite ( ( 'except' ( '*'? expr ( 'as' id )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite ) ;
 def = 'def' id tparams? '(' ( param ( ',' param )* ','? )? ')' ( '->' expr )? ':' suite ;
 param = ( '*' | '**' )? id ( ':' ( '*'? expr ) )? ( '=' expr )? | '*' | '/' ;
 tparams = '[' tparam ( ',' tparam )* ','? ']' ;

@@ -210,8 +210,9 @@ class JavaScript(Language):
         r"|[-+*/%&|^<>=!~?:;,.()\[\]{}@]|."
     )
     _ops = frozenset(
-        "&& || ?? == != === !== <= >= < > << >> >>> & | ^ / % ** += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??=".split()
+        "&& || ?? == != === !== <= >= < > << >> >>> & | ^ / % **".split()
     )
+    _assigns = frozenset("+= -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??=".split())
 
     def __init__(self):
         super().__init__()
@@ -235,6 +236,8 @@ class JavaScript(Language):
             return self.k("TEMPLATE")
         if s in self._ops:
             return self.k("OP")
+        if s in self._assigns:
+            return self.k("ASSIGN")
         if s.startswith("#!"):
             return self.k("HASHBANG")
         if c == "/" and len(s) > 2:

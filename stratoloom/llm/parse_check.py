@@ -22,8 +22,9 @@ def refused(text: str | None, lang: str | None) -> bool:
     """Whether no dialect of the language derives the text.
 
     Null texts, unknown or null languages are not refused; a blank text is valid except as JSON.
-    What the Python grammar refuses is confirmed by the interpreter's own parser, where that can
-    read the text at all; recursion too deep for the recogniser counts as accepted.
+    For Python the interpreter's own parser confirms both verdicts (it knows assignment targets and
+    the order of parameters, which the grammar leaves open), where that can read the text at all;
+    recursion too deep for the recogniser counts as accepted.
     """
     lang_ = language(lang)
     if text is None or lang_ is None:
@@ -32,10 +33,9 @@ def refused(text: str | None, lang: str | None) -> bool:
     if name != "json" and not text.strip():
         return False
     try:
-        if lang_.valid(text):
-            return False
+        accepted = lang_.valid(text)
     except RecursionError:
-        return False
+        accepted = True
     if name == "python":
         try:
             with warnings.catch_warnings():
@@ -45,8 +45,8 @@ def refused(text: str | None, lang: str | None) -> bool:
         except (SyntaxError, ValueError):
             return True
         except (RecursionError, MemoryError):
-            return True
-    return True
+            return not accepted
+    return not accepted
 
 
 def flag_unparsable(files: DataFrame, content: str = "content", lang: str = "language", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -120,3 +120,15 @@ def test_templates_and_raw_strings_of_any_depth():
     for n in (1, 3, 4, 7, 255):
         text = 'fn f() { g(br%s"a "b%s "%s); }' % ("#" * n, "#" * (n - 1), "#" * n)
         assert not refused(text, "rust") and refused(text.replace("#)", ")"), "rust"), n
+
+
+def test_what_is_no_assignment_target_is_refused():
+    for text in ["f(x) = 1\n", "x + 1 = 2\n", "def f(a=1, b): pass\n", "f(a=1, 2)\n", "try:\n  pass\nexcept A, e:\n  pass\n"]:
+        assert refused(text, "python"), text
+    for text in ["a + b = c", "1 = 2", "a + b += c", "a?.b = c", "f()++", "++1", "[a, 1] = b", "({a: 1} = b)", "let {a: 1} = b", "x = {a = 1}", "for (a + b of c) ;", "a || b => c", "x = `${1 = 2}`"]:
+        assert refused(text, "javascript"), text
+    for text in [
+        "a.b = c[d] += f().e = 1", "(a) = (b.c) = d", "[a, b.c, , ...d[0]] = e", "({ a, b: [c.d = 1], e = 2, ...f } = g)", "for ({ a = 1 } of b) ;", "for (a.b in c) ;", "--a.b; c[0]++; - --d",
+        "let [{ a = 1, b: [c] = [] }, ...d] = e", "f = ({ a = 1 }, [b]) => ({ a, b })", "a ? b = 1 : c => d", "a && (b = c); (a?.b).c; new.target.x; new A().b = 1; a = b ||= yield_", "x = await a.b++", "this.#a ??= async b => c", "`a`.b = super.c = import.meta.d = 1",
+    ]:
+        assert not refused(text, "javascript"), text
