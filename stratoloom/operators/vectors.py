@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_to
-from ..session import few_or_raise, map_frames, ship
+from ..session import Cuts, few_or_raise, map_frames, ship
 
 #: Query vectors per block, and rows of the base per block, in blockwise searches.
 QUERY_BLOCK = 2048
@@ -121,13 +121,17 @@ def simhash_signatures(df: DataFrame, id_col: str, vec: str, bits: int = 64, see
 
 
 def simhash_pairs(signatures: DataFrame, id_col: str, bands: int = 4, bits: int = 64, most_distance: int | None = None) -> DataFrame:
-    """Pairs whose signatures agree in a band: ``id_a, id_b, hamming, estimate`` (cosine from the angle).
+    """Pairs within ``most_distance``, or that agree in a band: ``id_a, id_b, hamming, estimate`` (cosine from the angle).
 
     Rows with one signature are one class, so a band's key is shared by classes only.  With
-    ``most_distance`` below ``bands`` the pairs are complete, by the pigeonhole principle.
+    ``most_distance`` the pairs are complete: below ``bands`` by the pigeonhole principle, from there on
+    because all classes are compared, in blocks (the work grows with their square).
     """
     width = bits // bands
     cls = signatures.groupBy("signature").agg(F.min(id_col).alias("rep"))
+    if most_distance is not None and most_distance >= bands:
+        pairs = _signatures_within(cls.select("signature"), most_distance)
+        return _of_classes(signatures, cls, pairs, id_col, bits)
     mask = (1 << width) - 1
     key = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("signature", b * width).bitwiseAND(F.lit(mask)).alias("key")) for b in range(bands)])).alias("k")
     k = cls.select("signature", key).select("signature", "k.band", "k.key")
@@ -135,6 +139,35 @@ def simhash_pairs(signatures: DataFrame, id_col: str, bands: int = 4, bits: int
     pairs = pairs.withColumn("hamming", F.bit_count(F.col("signature").bitwiseXOR(F.col("s2"))))
     if most_distance is not None:
         pairs = pairs.where(F.col("hamming") <= most_distance)
+    return _of_classes(signatures, cls, pairs, id_col, bits)
+
+
+def _signatures_within(classes: DataFrame, most: int) -> DataFrame:
+    """``signature, s2, hamming`` of all pairs (smaller first) of distinct signatures at most ``most`` bits apart."""
+    ship(classes.sparkSession)
+    classes = Cuts(classes.sparkSession, "signatures").cut(classes.where("signature is not null"))
+    blocks = max(1, -(-classes.count() // BASE_BLOCK))
+    own = F.pmod(F.xxhash64("signature"), F.lit(blocks)).cast("int")
+    each = classes.select("signature", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        x, y = (pdf.loc[pdf["own"] == o, "signature"].to_numpy() for o in (lo, hi))
+        out = []
+        for i in range(0, len(x), 256):
+            part = x[i : i + 256]
+            n = np.bitwise_count(part.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :])
+            r, c = np.nonzero(n <= most)
+            a, b, n = part[r], y[c], n[r, c]
+            keep = a < b if lo == hi else a != b
+            out.append(pd.DataFrame({"signature": np.minimum(a, b)[keep], "s2": np.maximum(a, b)[keep], "hamming": n[keep].astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"signature": [], "s2": [], "hamming": []})
+
+    return each.select("signature", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).groupBy("lo", "hi").applyInPandas(meet, "signature long, s2 long, hamming int")
+
+
+def _of_classes(signatures: DataFrame, cls: DataFrame, pairs: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """The pairs of rows behind pairs of signatures, and those within a signature."""
     pairs = pairs.unionByName(cls.select("signature", F.col("signature").alias("s2"), F.lit(0).alias("hamming")))
     a = signatures.select("signature", F.col(id_col).alias("a"))
     b = signatures.select(F.col("signature").alias("s2"), F.col(id_col).alias("b"))

@@ -37,6 +37,19 @@ def test_simhash_is_complete_within_the_bands(spark):
     assert {(1, 2), (1, 3), (2, 3)} <= pairs
 
 
+def test_simhash_is_complete_beyond_the_bands(spark):
+    rng = np.random.default_rng(3)
+    sig = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 150, dtype=np.int64)]
+    for s in sig[:50]:  # bits that lie in all bands
+        for most in (4, 12, 20, 21):
+            sig.append(int(np.int64(s) ^ np.bitwise_or.reduce(np.left_shift(np.int64(1), rng.choice(63, most, replace=False).astype(np.int64)))))
+    sig += sig[:3]
+    df = spark.createDataFrame(list(enumerate(sig)), "id long, signature long")
+    want = {(i, j, n) for i in range(len(sig)) for j in range(i + 1, len(sig)) if (n := ((sig[i] ^ sig[j]) % 2**64).bit_count()) <= 20}
+    found = [(r.id_a, r.id_b, r.hamming) for r in V.simhash_pairs(df, "id", most_distance=20).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_text(spark):
     d = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(1, 121))), (2, ""), (3, None), (4, "one")], "id long, text string")
     w = {(r.id, r.chunk_index): (r.start_line, r.end_line) for r in X.line_windows(d, "id", "text").collect()}
