@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_to
 from ..session import Cuts, few_or_raise, map_frames, ship
+from .graph import connected_components
 
 #: Query vectors per block, and rows of the base per block, in blockwise searches.
 QUERY_BLOCK = 2048
@@ -34,8 +35,8 @@ def nearest_to_each(queries: DataFrame, base: DataFrame, k: int | None, id_col:
     Exact, in blocks of the base by blocks of the queries, so the work is their product but no task
     holds more than a block of each; use it for a stated query set.  A row is never its own neighbour; with
     ``exclude_same_group`` neither are rows of its group.  Null and zero vectors are left out, ties
-    go to the smaller id.  The top-k is taken before any threshold a caller may add; with ``least`` and a
-    ``k`` of None all rows that reach the cosine come out, unranked.
+    go to the smaller id.  The top-k is taken before any threshold a caller may add; with ``least`` only
+    rows that reach the cosine come out (of the top-k, or with a ``k`` of None all, unranked).
     """
     if k is None and least is None:
         raise ValueError("either k or least is needed")
@@ -49,20 +50,36 @@ def nearest_to_each(queries: DataFrame, base: DataFrame, k: int | None, id_col:
     b = base.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *g, F.lit(0).alias("side"), own(nb).alias("block"), each(nq).alias("qblock"))
     q = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *g, F.lit(1).alias("side"), each(nb).alias("block"), own(nq).alias("qblock"))
 
+    def _reaching(qs: pd.DataFrame, x: np.ndarray, bid: np.ndarray, bg: np.ndarray) -> pd.DataFrame:
+        """The pairs of a block that reach ``least``: single precision with a margin finds them, double decides."""
+        small, found = x.astype(np.float32), []
+        margin = 1e-4 + 1e-6 * x.shape[1]
+        for i in range(0, len(qs), QUERY_BLOCK):
+            part = qs.iloc[i : i + QUERY_BLOCK]
+            y, qid, qg = _matrix(part["v"]), part["id"].to_numpy(), part["g"].to_numpy()
+            r, j = np.nonzero(y.astype(np.float32) @ small.T >= least - margin)
+            other = qid[r] != bid[j]
+            if exclude_same_group:
+                other &= qg[r] != bg[j]
+            r, j = r[other], j[other]
+            s = np.concatenate([np.einsum("nd,nd->n", y[r[n : n + 65536]], x[j[n : n + 65536]]) for n in range(0, len(r), 65536)] or [np.zeros(0)])
+            f = pd.DataFrame({"q": qid[r], "c": bid[j], "cosine": s})[s >= least]
+            found.append(f if k is None else f.sort_values(["q", "cosine", "c"], ascending=[True, False, True]).groupby("q").head(k))
+        return pd.concat(found)
+
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         bs, qs = pdf[pdf.side == 0], pdf[pdf.side == 1]
         out: list[tuple] = []
         if len(bs) and len(qs):
             x, bid, bg = _matrix(bs["v"]), bs["id"].to_numpy(), bs["g"].to_numpy()
+            if least is not None:
+                return _reaching(qs, x, bid, bg)
             for i in range(0, len(qs), QUERY_BLOCK):
                 part = qs.iloc[i : i + QUERY_BLOCK]
                 s = _matrix(part["v"]) @ x.T
                 s[part["id"].to_numpy()[:, None] == bid[None, :]] = -np.inf
                 if exclude_same_group:
                     s[part["g"].to_numpy()[:, None] == bg[None, :]] = -np.inf
-                if k is None:
-                    out += [(part["id"].iloc[r], bid[j], s[r, j]) for r, j in np.argwhere(s >= least)]
-                    continue
                 for r, qid in enumerate(part["id"]):
                     kk = min(k, s.shape[1])
                     # all rows as similar as the k-th, so that ties can be settled by id
@@ -80,6 +97,50 @@ def nearest_to_each(queries: DataFrame, base: DataFrame, k: int | None, id_col:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _joined(hit: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Per component of a matrix of links: (its first row, another row or column, whether that is a column)."""
+    rows, cols = np.zeros(hit.shape[0], bool), np.zeros(hit.shape[1], bool)
+    out: list[tuple[int, int, bool]] = []
+    for root in np.nonzero(hit.any(1))[0]:
+        if rows[root]:
+            continue
+        rows[root] = True
+        front = np.array([root])
+        while len(front):
+            new = np.nonzero(hit[front].any(0) & ~cols)[0]
+            cols[new] = True
+            out += [(root, int(c), True) for c in new]
+            front = np.nonzero(hit[:, new].any(1) & ~rows)[0]
+            rows[front] = True
+            out += [(root, int(r), False) for r in front]
+    return out
+
+
+def similarity_components(df: DataFrame, least: float, id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """``id, component`` (its smallest id) of the rows that chains of a cosine of at least ``least`` link to another.
+
+    Exact over all rows, in blocks by blocks (each pair of blocks once), so the work grows with the
+    square; two blocks give no more links than they have rows.  Null and zero vectors are left out.
+    """
+    ship(df.sparkSession)
+    ok = Cuts(df.sparkSession, "similar").cut(df.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vec).alias("v")))
+    blocks = max(1, -(-ok.count() // BASE_BLOCK))
+    each = ok.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = (pdf[pdf["own"] == pdf[o].iloc[0]] for o in ("lo", "hi"))
+        out: list[tuple] = []
+        if len(p) and len(q):
+            x, y, a, b = _matrix(p["v"]), _matrix(q["v"]), p["id"].to_numpy(), q["id"].to_numpy()
+            hit = np.concatenate([x[i : i + QUERY_BLOCK] @ y.T >= least for i in range(0, len(x), QUERY_BLOCK)])
+            out = [(a[r], b[n] if column else a[n]) for r, n, column in _joined(hit)]
+        return pd.DataFrame([e for e in out if e[0] != e[1]], columns=["src", "dst"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    links = each.select("id", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).groupBy("lo", "hi").applyInPandas(meet, f"src {kind}, dst {kind}")
+    return connected_components(links.distinct(), "src", "dst")
+
+
 def centroids(df: DataFrame, group: str, vec: str) -> DataFrame:
     """Element-wise mean vector per group: ``group, centroid, n``; null vectors are left out.
 

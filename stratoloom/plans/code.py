@@ -107,11 +107,11 @@ def inheritance_depth(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cross_project_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """For chunks with an id divisible by 100, the most similar chunks of other projects, at least 0.85."""
+    """The most similar chunks of other projects for every chunk, at least 0.85."""
     f = table(spark, d, "indexed_files", "file_id", "project_id").groupBy("file_id").agg(F.max("project_id").alias("project_id"))
     c = table(spark, d, "file_chunks", "chunk_id", "file_id", "embedding").where("size(embedding) = 64 and not exists(embedding, x -> isnan(x))")
     c = Cuts(spark, "chunks").cut(c.groupBy("chunk_id").agg(F.max(F.struct("file_id", "embedding")).alias("r")).select(F.col("chunk_id").alias("id"), "r.file_id", F.col("r.embedding").alias("vec")).join(f, "file_id").select("id", "vec", "project_id"))
-    k = V.nearest_to_each(c.where("id % 100 = 0"), c, 10, group="project_id", exclude_same_group=True).where("cosine >= 0.85")
+    k = V.nearest_to_each(c, c, 10, group="project_id", exclude_same_group=True, least=0.85)
     return k.groupBy(F.least("q", "c").alias("chunk_a"), F.greatest("q", "c").alias("chunk_b")).agg(F.max("cosine").alias("similarity"))
 
 

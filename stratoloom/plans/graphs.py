@@ -177,6 +177,12 @@ def harmonic(spark: SparkSession, d: str) -> DataFrame:
     return G.harmonic_centrality(e, q).select("id", F.round("harmonic", 8).alias("harmonic"))
 
 
+@query()
+def harmonic_all(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`harmonic`, for all nodes."""
+    return G.harmonic_centrality(_edges(spark, d)).select("id", F.round("harmonic", 8).alias("harmonic"))
+
+
 @query(
     """WITH m AS (SELECT id, any_value(project_id) AS module FROM work_items WHERE project_id IS NOT NULL GROUP BY id HAVING count(DISTINCT project_id) = 1), e AS (SELECT DISTINCT parent_id AS src, id AS dst FROM work_items WHERE parent_id IS NOT NULL),
  x AS (SELECT src, dst, a.module AS ms, b.module AS md FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.module <> b.module), ca AS (SELECT md AS module, count(DISTINCT src) AS ca FROM x GROUP BY 1), ce AS (SELECT ms AS module, count(DISTINCT dst) AS ce FROM x GROUP BY 1)

@@ -63,11 +63,11 @@ def label_topics(spark: SparkSession, folder: str, out: str, words: int = 10) ->
 
 
 def scan_similarity(spark: SparkSession, folder: str, out: str, known: str | None = None, k: int = 10, least: float = 0.85) -> None:
-    """Most similar chunks of other projects for the stated query set (ids divisible by 100); the greatest similarity of a pair is kept."""
+    """Most similar chunks of other projects for every chunk; the greatest similarity of a pair is kept."""
     f = table(spark, folder, "indexed_files", "file_id", "project_id").groupBy("file_id").agg(F.max("project_id").alias("project_id"))
     c = table(spark, folder, "file_chunks", "chunk_id", "file_id", "embedding").where("embedding is not null and not exists(embedding, x -> isnan(x))")
     c = Cuts(spark, "scan-job").cut(c.where("size(embedding) = 64").groupBy("chunk_id").agg(F.max(F.struct("file_id", "embedding")).alias("r")).select(F.col("chunk_id").alias("id"), "r.file_id", F.col("r.embedding").alias("vec")).join(f, "file_id").select("id", "vec", "project_id"))
-    hits = V.nearest_to_each(c.where("id % 100 = 0"), c, k, group="project_id", exclude_same_group=True).where(F.col("cosine") >= least)
+    hits = V.nearest_to_each(c, c, k, group="project_id", exclude_same_group=True, least=least)
     pairs = hits.groupBy(F.least("q", "c").alias("chunk_a"), F.greatest("q", "c").alias("chunk_b")).agg(F.max("cosine").alias("similarity"))
     if known is not None:
         pairs = upsert(table(spark, known, "similar_chunks"), pairs, ["chunk_a", "chunk_b"], keep="similarity")

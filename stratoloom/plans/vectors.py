@@ -62,7 +62,18 @@ def knn_threshold_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(_E + _K + ", n AS (SELECT k.*, x.label AS la, y.label AS lb FROM k JOIN e x ON x.vec_id = q JOIN e y ON y.vec_id = c WHERE rank <= 20 AND q % 100 = 0) SELECT least(la, lb) AS file_a, greatest(la, lb) AS file_b, round(max(cosine), 6) AS weight FROM n WHERE la <> lb GROUP BY 1, 2")
 def file_pair_max(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
-    k = V.nearest_to_each(e.where("id % 100 = 0"), e, 20)
+    return _file_pairs(e, e.where("id % 100 = 0"))
+
+
+@query()
+def file_pair_max_all(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`file_pair_max`, from the neighbours of all rows."""
+    e = _emb(spark, d)
+    return _file_pairs(e, e)
+
+
+def _file_pairs(e: DataFrame, queries: DataFrame) -> DataFrame:
+    k = V.nearest_to_each(queries, e, 20)
     lab = e.select("id", "label")
     n = k.join(lab.select(F.col("id").alias("q"), F.col("label").alias("la")), "q").join(lab.select(F.col("id").alias("c"), F.col("label").alias("lb")), "c").where("la <> lb")
     return n.groupBy(F.least("la", "lb").alias("file_a"), F.greatest("la", "lb").alias("file_b")).agg(F.round(F.max("cosine"), 6).alias("weight"))
@@ -145,6 +156,12 @@ def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(k, "q", "c").select(F.col("id").alias("vec_id"), "component")
 
 
+@query()
+def duplicate_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`duplicate_components`, with the links between all rows."""
+    return V.similarity_components(_emb(spark, d), 0.35).select(F.col("id").alias("vec_id"), "component")
+
+
 @query()
 def mmr(spark: SparkSession, d: str) -> DataFrame:
     return V.mmr(_emb(spark, d), QUERY, 20, "id", "vec")

@@ -50,6 +50,42 @@ def test_simhash_is_complete_beyond_the_bands(spark):
     assert len(found) == len(want) and set(found) == want
 
 
+def test_similarity_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(V, "BASE_BLOCK", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (150, 8))
+    df = spark.createDataFrame([(i, i % 3, [float(v) for v in r]) for i, r in enumerate(x, 1)] + [(500, 0, [0.0] * 8)], "id long, label int, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    root = np.arange(1, 151)
+    while True:
+        new = np.array([min([root[i], *root[s[i] >= 0.8]]) for i in range(150)])
+        if (new == root).all():
+            break
+        root = new
+    want = {i + 1: root[i] for i in range(150) if (s[i] >= 0.8).any()}
+    assert want and {r.id: r.component for r in V.similarity_components(df, 0.8).collect()} == want
+    near = {(i + 1, j + 1) for i in range(150) for j in [j for j in np.argsort(-s[i]) if (j - i) % 3][:4] if s[i, j] >= 0.6}
+    found = V.nearest_to_each(df, df, 4, group="label", exclude_same_group=True, least=0.6).collect()
+    assert near and {(r.q, r.c) for r in found} == near and max(r["rank"] for r in found) <= 4
+
+
+def test_queries_over_all_rows(spark, tmp_path):
+    from stratoloom.plans import code, graphs, vectors
+
+    d = str(tmp_path)
+    rows = [(i, i % 2, [float(i % 5 == k) for k in range(5)]) for i in range(1, 21)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    assert {r.vec_id: r.component for r in vectors.duplicate_components_all(spark, d).collect()} == {i: (i - 1) % 5 + 1 for i in range(1, 21)}
+    assert [(r.file_a, r.file_b, r.weight) for r in vectors.file_pair_max_all(spark, d).collect()] == [(0, 1, 1.0)]
+    v = [[float(k == n) for k in range(64)] for n in (0, 0, 1)]
+    spark.createDataFrame([(7, 1, v[0]), (8, 2, v[1]), (9, 2, v[2])], "chunk_id long, file_id long, embedding array<float>").write.parquet(f"{d}/file_chunks.parquet")
+    spark.createDataFrame([(1, 1), (2, 2)], "file_id long, project_id int").write.parquet(f"{d}/indexed_files.parquet")
+    assert [tuple(r) for r in code.cross_project_similarity(spark, d).collect()] == [(7, 8, 1.0)]
+    assert "harmonic_all" in graphs.QUERIES
+
+
 def test_text(spark):
     d = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(1, 121))), (2, ""), (3, None), (4, "one")], "id long, text string")
     w = {(r.id, r.chunk_index): (r.start_line, r.end_line) for r in X.line_windows(d, "id", "text").collect()}
