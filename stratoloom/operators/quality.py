@@ -121,14 +121,17 @@ def digest(alerts: list[tuple[DataFrame, str, int]]) -> DataFrame:
 
 
 # ---- information --------------------------------------------------------------
-def compression_distance(a: str, b: str) -> float:
-    """Normalised compression distance of two texts by zstd."""
+def compressed_size(s: str) -> int:
     import zstandard
 
-    c = zstandard.ZstdCompressor(level=3)
-    size = lambda s: len(c.compress(s.encode("utf-8", "surrogatepass")))
-    x, y, both = size(a), size(b), size(a + b)
-    return (both - min(x, y)) / max(x, y, 1)
+    return len(zstandard.ZstdCompressor(level=3).compress(s.encode("utf-8", "surrogatepass")))
+
+
+def compression_distance(a: str, b: str, size_a: int | None = None, size_b: int | None = None) -> float:
+    """Normalised compression distance of two texts by zstd; their own compressed sizes may be given."""
+    x = compressed_size(a) if size_a is None else size_a
+    y = compressed_size(b) if size_b is None else size_b
+    return (compressed_size(a + b) - min(x, y)) / max(x, y, 1)
 
 
 def edge_entropy(edges: DataFrame, src: str, weight: str) -> DataFrame:

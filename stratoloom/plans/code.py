@@ -13,7 +13,7 @@ from ..operators import quality as Q
 from ..operators import symbols as S
 from ..operators import vectors as V
 from ..operators.graph import edge_list, simple_paths
-from ..session import Cuts, map_frames
+from ..session import Cuts, ship
 from ..sources.tables import latest, table
 from ..streaming import live
 
@@ -161,19 +161,34 @@ def effect_propagation(spark: SparkSession, d: str) -> DataFrame:
     return C.effects(calls, w.where("kind is not null").select(F.col("id").alias("function"), F.col("kind").alias("effect")))
 
 
-@query()
-def compression_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Compression distance between the files with an id divisible by 100 and their successor in their project."""
-    f = _files(spark, d).where("content is not null")
-    a = f.where("file_id % 100 = 0").select("project_id", F.col("file_id").alias("a"), F.col("content").alias("ca"))
-    nxt = a.join(f.select("project_id", F.col("file_id").alias("b")), "project_id").where("b > a").groupBy("a").agg(F.min("b").alias("b"))
-    pairs = nxt.join(a.select("a", "ca"), "a").join(f.select(F.col("file_id").alias("b"), F.col("content").alias("cb")), "b")
+#: Files and query files per block of compared texts.
+COMPRESSION_BLOCK = (512, 64)
 
-    def look(batches):
-        for p in batches:
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "distance": [Q.compression_distance(x, y) for x, y in zip(p["ca"], p["cb"])]})
 
-    return map_frames(pairs.select("a", "b", "ca", "cb"), look, "a long, b long, distance double")
+@query()
+def compression_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Compression distance of the files with an id divisible by 100 to every other file of their project.
+
+    In blocks of the files by blocks of the query files, so that no task holds a whole project.  A pair
+    of two query files comes once, the smaller id first; the query file is ``a`` otherwise.
+    """
+    f = _files(spark, d).where("content is not null and file_id is not null and project_id is not null")
+    n = f.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr("file_id % 100 = 0"), 1)).alias("nq")).where("nq > 0")
+    blocks = n.select("project_id", *[F.ceil(F.col(c) / k).cast("int").alias(o) for c, k, o in zip(("n", "nq"), COMPRESSION_BLOCK, ("nb", "nqb"))])
+    t = f.join(blocks, "project_id").select("project_id", "file_id", "content", "nb", "nqb")
+    own = lambda k: F.pmod(F.xxhash64("file_id"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    base = t.select("project_id", "file_id", "content", F.lit(0).alias("side"), own("nb").alias("block"), each("nqb").alias("qblock"))
+    asked = t.where("file_id % 100 = 0").select("project_id", "file_id", "content", F.lit(1).alias("side"), each("nb").alias("block"), own("nqb").alias("qblock"))
+
+    def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        files, queries = (list(zip(p["file_id"], p["content"])) for p in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]))
+        size = {i: Q.compressed_size(text) for i, text in [*files, *queries]}
+        out = [(a, b, Q.compression_distance(ca, cb, size[a], size[b])) for a, ca in queries for b, cb in files if a != b and (b % 100 or a < b)]
+        return pd.DataFrame(out, columns=["a", "b", "distance"])
+
+    ship(spark)
+    return base.unionByName(asked).groupBy("project_id", "block", "qblock").applyInPandas(look, "a long, b long, distance double")
 
 
 # ---- Structured Streaming, run to the end of what is stored ---------------------

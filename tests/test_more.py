@@ -127,3 +127,19 @@ def test_hyperbolic_embedding_and_silhouette():
     assert all(np.linalg.norm(v) < 1 for v in r.values())
     x = np.concatenate([np.random.default_rng(0).normal(0, 0.1, (20, 2)), np.random.default_rng(1).normal(3, 0.1, (20, 2))])
     assert M.fuzzy_silhouette(x, np.array([[0, 0], [3, 3.0]])) > 0.9
+
+
+def test_compression_pairs_meet_every_file_of_the_project(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from stratoloom.operators import quality
+    from stratoloom.plans import code
+
+    monkeypatch.setattr(code, "COMPRESSION_BLOCK", (2, 1))
+    ids = [(100, 1), (200, 1), (3, 1), (104, 1), (250, 1), (300, 2), (5, 2), (6, 3), (400, None)]
+    text = {i: f"file {i % 7} " * (i % 9 + 3) for i, _ in ids}
+    rows = [(i, datetime(2024, 1, 1), p, "python", text[i]) for i, p in ids] + [(7, datetime(2024, 1, 1), 1, "python", None)]
+    spark.createDataFrame(rows, "file_id long, indexed_at timestamp, project_id int, language string, content string").write.parquet(f"{tmp_path}/indexed_files.parquet")
+    found = {(r.a, r.b): r.distance for r in code.compression_pairs(spark, str(tmp_path)).collect()}
+    pairs = {(100, 200), (100, 3), (100, 104), (100, 250), (200, 3), (200, 104), (200, 250), (300, 5)}
+    assert found == {(a, b): quality.compression_distance(text[a], text[b]) for a, b in pairs}
