@@ -1,13 +1,13 @@
 """Sentence boundaries across languages and scripts.
 
-A text is first parted into units (paragraphs, list lines, headings).  Within a unit every run of
-terminators is a gap of a lattice with two ways through it, ending the sentence or going on; the
-cheaper way is taken.  Gaps within quotations and brackets cannot end the sentence that holds them.
-
-Spaced scripts: the costs come from the word before the terminator (abbreviation, initial, number),
-and the word after it (case, kind).  Spaceless scripts: the text around the gap is segmented by the
-cheapest path through a lattice of dictionary words, and the gap is classified through the final
-particle before it and the opening word behind it.
+A text is first parted into units (paragraphs, list lines, headings).  Gaps within quotations and
+brackets cannot end the sentence that holds them.
+
+Spaced scripts: rules decide every run of terminators by the word before it (abbreviation, initial,
+number) and the word after it (case, kind).  Spaceless scripts: the text on both sides of a gap is
+segmented by the cheapest path through a lattice of dictionary words; the terminator, the particle
+before the gap and the opening word behind it give the costs of ending there and of going on, and the
+cheaper way is taken.  Thai: a space ends a sentence.
 """
 
 from __future__ import annotations
@@ -49,8 +49,14 @@ JA_QUOTING = frozenset("と って との という といった とだけ と
 ZH_SPEECH = frozenset("说 问 答 喊 写道 说道 问道 回答 表示 补充 的 是 和 这 这句话 之后 时 等".split())
 JA_WORDS = frozenset("は が を に で と の も へ から まで より です ます した する いる ない だけ 書いた 言った 尋ねた のか か よ ね ください".split()) | JA_QUOTING
 ZH_WORDS = frozenset("的 了 吗 呢 吧 啊 我们 请 为什么 版本 参见 耗时 因为 没有 索引 队列 日志 任务 主题 向量 快照 摘要 仓库 报告 检索".split()) | ZH_SPEECH
-TH_WORDS = frozenset("ครับ ค่ะ นะ แล้ว ไหม หรือ และ แต่ ที่ ของ ใน เรา ทีมงาน ผู้ดูแล เหตุใด ก่อน รุ่น ไฟล์ ดัชนี บันทึก รายงาน หัวข้อ คิวงาน แคช".split())
-FINAL_PARTICLES = frozenset("か よ ね のか 吗 呢 吧 啊 ครับ ค่ะ นะ ไหม แล้ว".split())
+#: Particles that end a sentence, and words after which one goes on.
+FINAL_PARTICLES = frozenset("か よ ね のか です ます した ください 吗 呢 吧 啊 了".split())
+OPEN_PARTICLES = frozenset("は が を に で と の も へ から まで より 的 和 是 因为".split())
+#: Words that open a sentence; the lattice keeps the particles they begin with from being seen.
+JA_OPENING = frozenset("しかし でも だから そして また では ところで とても とにかく とりあえず となり もし もちろん はい はじめ がんばって".split())
+ZH_OPENING = frozenset("但是 然后 所以 因为 不过 我们 他们 如果 请 为什么 是的 的确 和平 了解".split())
+#: Costs of (ending, going on) at a terminator: a full stop is certain, points of omission hardly say anything.
+STOP, ASKING, OMISSION = (0.0, 5.0), (0.0, 2.0), (1.0, 1.5)
 
 
 def segment(text: str, words: frozenset[str], longest: int = 6) -> list[str]:
@@ -82,6 +88,35 @@ def segment(text: str, words: frozenset[str], longest: int = 6) -> list[str]:
     return out[::-1]
 
 
+_MARKS = frozenset("。！？…!?．、，；：\n")
+_STRETCH_AFTER = re.compile(r"[^。！？…!?．\n]*")
+
+
+def _gap_ends(before: str, mark: str, after: str, japanese: bool) -> bool:
+    """Whether the cheaper way at a gap between sentences of a spaceless script is to end there.
+
+    No word holds a mark of punctuation, so the lattices of the stretches up to the next ones are
+    those of the whole text.
+    """
+    end, on = OMISSION if set(mark) <= {"…"} else ASKING if mark[-1] in "？！?!…" else STOP
+    words = JA_WORDS | JA_OPENING if japanese else ZH_WORDS | ZH_OPENING
+    tail, head = segment(before, words)[-1:], segment(after, words)[:1]
+    if mark[-1] == "…":
+        if after[:1] and after[0] in "，、；：":
+            return False
+        if tail and tail[0] in FINAL_PARTICLES:
+            on += 2
+        elif tail and tail[0] in OPEN_PARTICLES:
+            end += 2
+    if head and head[0] in (JA_OPENING if japanese else ZH_OPENING):
+        on += 2
+    elif head and japanese and head[0] in (JA_QUOTING if mark[-1] != "…" else JA_QUOTING | OPEN_PARTICLES):
+        end += 3
+    elif head and not japanese and mark[-1] == "…" and head[0] in ("的", "吗", "呢", "吧", "啊"):
+        end += 3
+    return end <= on
+
+
 def units(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, whole) of the units; whole ones (list lines, headings) are sentences as they are."""
     start = None
@@ -228,7 +263,7 @@ def _split_cjk(s: str) -> list[int]:
         if m[0] == "." and rest[0].isascii() and rest[0].islower():
             continue
         if quoted:
-            path = segment(rest[:24], words)
+            path = segment(_STRETCH_AFTER.match(rest)[0] or rest[0], words)
             head = path[0]
             if japanese:
                 if head in JA_QUOTING or head[0] in "とはがをにのもで、":
@@ -239,12 +274,12 @@ def _split_cjk(s: str) -> list[int]:
                         continue
                 elif head in ZH_SPEECH or head[0] in "，、；的":
                     continue
-        elif m[0][-1] in "…" and rest[0] in "，、；":
-            continue
-        elif m[0] in "…" or set(m[0]) == {"…"}:
-            before = segment(s[max(0, m.start() - 8) : m.start()], words)
-            if before and before[-1] in FINAL_PARTICLES:
-                pass
+        else:
+            begin = m.start()
+            while begin and s[begin - 1] not in _MARKS:
+                begin -= 1
+            if not _gap_ends(s[begin : m.start()], m[0], _STRETCH_AFTER.match(rest)[0] or rest[0], japanese):
+                continue
         out.append(end)
     return out
 

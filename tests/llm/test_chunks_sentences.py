@@ -70,6 +70,14 @@ def test_spaceless_scripts():
     assert segment("なぜと言った", frozenset(["と", "と言った"])) == ["な", "ぜ", "と言った"]
 
 
+def test_particles_and_opening_words_decide_spaceless_gaps():
+    assert cut("本当か？と彼は聞いた。とても驚いた。") == ["本当か？と彼は聞いた。", "とても驚いた。"]
+    assert cut("本当か？とても驚いた。") == ["本当か？", "とても驚いた。"]
+    assert cut("私は……東京へ行く。") == ["私は……東京へ行く。"]
+    assert cut("行くよ……東京だ。") == ["行くよ……", "東京だ。"] and cut("行くよ……と言った。") == ["行くよ……と言った。"]
+    assert cut("因为……下雨了。好吗……的确。") == ["因为……下雨了。", "好吗……", "的确。"]
+
+
 def test_units():
     assert cut("# Head. Two\n\nA b\nc d.\n- one. two\n- three\n\nlast") == ["# Head. Two", "A b\nc d.", "- one. two", "- three", "last"]
     assert cut(None) == cut("") == cut(" \n ") == []
