@@ -57,7 +57,7 @@ def opening_comments(text: str) -> list[str]:
     while pos < n:
         end = text.find("\n", pos)
         end = n if end < 0 else end
-        line = text[pos : min(end, pos + 2000)]
+        line = text[pos:end]
         pos = end + 1
         bare = line.strip().lstrip("﻿")
         if not bare:

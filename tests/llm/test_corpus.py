@@ -108,3 +108,11 @@ def test_merkle_hash_depends_on_the_tree_only(spark):
     assert h[1, "a/x"] == h[2, "b/x"] != h[3, "c/y"] and h[1, "a"] == h[2, "b"] != h[3, "c"]
     pr = spark.createDataFrame([(1, None), (2, None), (3, None)], "project_id int, git_root_commits string")
     assert {(r.project_id, r.dir) for r in shared_subtrees(t, pr).collect()} == {(1, "a"), (1, "a/x"), (2, "b"), (2, "b/x")}
+
+
+def test_opening_comments_of_long_lines():
+    pad = "x " * 2000
+    assert opening_comments(f"/* {pad}*/\nlet code\n// generated by a\n") == [pad.strip()]
+    assert opening_comments(f"/*\n{pad}do */\n// b\ncode") == ["", f"{pad}do", "b"]
+    assert classify("a/b.js", "javascript", f"/* {pad}; upstream release 3 */\nlet a = 1\n") == "vendored"
+    assert classify("a/b.js", "javascript", f"/* {pad}*/ let a = 1\n// generated by hand\n") is None
