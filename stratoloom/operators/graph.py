@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Cuts
@@ -188,6 +188,27 @@ def simple_paths(edges: DataFrame, sources: list, hops: int, half_life_days: flo
     return out
 
 
+def ranked_paths(edges: DataFrame, seeds: DataFrame, hops: int, min_flow: float, k: int) -> DataFrame:
+    """The ``k`` strongest paths without repeated nodes from the ``seeds`` (id, w): ``path, hops, flow, rank``.
+
+    The flow is the seed's weight times the edge weights, each 1 where it is not positive and finite; a
+    path is dropped where its flow falls below ``min_flow``, and goes no further.  Ties go to the
+    shorter path, then to the smaller nodes.
+    """
+    sound = lambda c: F.when((F.col(c) > 0) & (F.col(c) < float("inf")), F.col(c)).otherwise(F.lit(1.0))
+    cuts = Cuts(edges.sparkSession, "ranked-paths")
+    e = edges.select(F.col("src").alias("last"), F.col("dst").alias("nxt"), sound("w").cast("double").alias("ew"))
+    cur = seeds.select(F.array("id").alias("path"), F.lit(0).alias("hops"), sound("w").cast("double").alias("flow"))
+    out = None
+    for h in range(1, max(hops, 1) + 1):
+        step = cur.withColumn("last", F.element_at("path", -1)).join(e, "last").where(~F.array_contains("path", F.col("nxt")))
+        cur = cuts.cut(step.select(F.concat("path", F.array("nxt")).alias("path"), F.lit(h).alias("hops"), (F.col("flow") * F.col("ew")).alias("flow")).where(F.col("flow") >= min_flow))
+        out = cur if out is None else out.unionByName(cur)
+    order = [F.desc("flow"), F.col("hops"), F.col("path")]
+    # at most k rows
+    return out.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest node) of the strongly connected components.
 

@@ -128,6 +128,16 @@ def path_enum(spark: SparkSession, d: str) -> DataFrame:
     return G.simple_paths(_edges(spark, d), [1], 2).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", "weight")
 
 
+@query()
+def path_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 strongest routes of up to four hops from node 1, each edge weighted by its share of its source's weight."""
+    e = _edges(spark, d)
+    total = e.groupBy("src").agg(F.sum("w").alias("total"))
+    share = e.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
+    seeds = spark.createDataFrame([(1, 1.0)], "id long, w double")
+    return G.ranked_paths(share, seeds, 4, 1e-6, 50).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", "flow", "rank")
+
+
 @query()
 def kcore(spark: SparkSession, d: str) -> DataFrame:
     return G.k_core(_edges(spark, d))

@@ -149,6 +149,12 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", T.strip_html("html").alias("plain"))
 
 
+@query()
+def html_strip_all(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`html_strip`, for all documents, those with comments, scripts, styles and entities too."""
+    return _docs(spark, d).select("doc_id", F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html")).select("doc_id", T.strip_html("html").alias("plain"))
+
+
 _FILES = "WITH f AS (SELECT file_id AS id, replace(max_by(content, indexed_at), chr(0), '') AS content FROM indexed_files GROUP BY 1), l AS (SELECT id, string_split(content, chr(10)) AS lines FROM f WHERE length(content) > 0) "
 
 

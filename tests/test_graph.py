@@ -83,3 +83,19 @@ def test_dominators_of_a_pure_loop(spark):
     e = spark.createDataFrame([("g", 1, 2), ("g", 2, 1), ("h", 1, 2), ("h", 2, 3), ("h", 1, 3)], "p string, src long, dst long")
     got = {(r.p, r.id, r.dominator) for r in L.per_group(e, "p", L.dominators, "id long, dominator long").collect()}
     assert got == {("h", 1, None), ("h", 2, 1), ("h", 3, 1)}
+
+
+def test_ranked_paths_are_pruned_by_flow(spark):
+    e = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9), (2, 4, 0.5), (3, 4, 0.1), (4, 1, 1.0), (4, 5, -1.0), (2, 3, 0.1)], E + ", w double")
+    seeds = spark.createDataFrame([(1, 1.0)], "id long, w double")
+    found = [(tuple(r.path), r.hops, round(r.flow, 9), r["rank"]) for r in G.ranked_paths(e, seeds, 3, 0.2, 4).collect()]
+    assert found == [((1, 3), 1, 0.9, 1), ((1, 2), 1, 0.5, 2), ((1, 2, 4), 2, 0.25, 3), ((1, 2, 4, 5), 3, 0.25, 4)]
+    assert G.ranked_paths(e, seeds, 3, 0.2, 2).count() == 2
+
+
+def test_html_strip_keeps_every_document(spark, tmp_path):
+    from stratoloom.plans.text import html_strip_all
+
+    rows = [(1, "a <b>c</b>"), (2, "x<!-- y -->z"), (3, "<script>q</script>a &amp; b"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.plain for r in html_strip_all(spark, str(tmp_path)).collect()} == {1: "a c", 2: "x z", 3: "a & b", 4: ""}
