@@ -5,13 +5,14 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Cuts, few_or_raise, map_frames
+from ..session import Cuts, broadcast_if_small, few_or_raise, map_frames
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZER_FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -35,27 +36,35 @@ def encoding(folder: str, name: str = "byte_bpe_50k"):
     return _encodings[path]
 
 
+_LONG_SPACE = re.compile(r"\s{4096,}")
+
+
+def token_count(enc, text: str) -> int:
+    """The number of tokens of a text.
+
+    The word pattern's machine runs out of stack on very long runs of white space, so these are counted
+    by themselves: a word never begins before the last white space character in front of it, and what
+    stands before a run always ends with it, so the pieces are those of the whole text.
+    """
+    n = at = 0
+    for m in _LONG_SPACE.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : stop]))
+        at = stop
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def count_tokens(docs: DataFrame, keep: tuple[str, ...], text: str = "text", folder: str = TOKENIZER_FOLDER, name: str = "byte_bpe_50k") -> DataFrame:
     """The ``keep`` columns with ``tokens``, the size of the whole text; null texts have 0.
 
-    Works where the rows are read; texts do not leave the Python workers.  A run of more than
-    100,000 characters without white space is counted in parts, as the tokenizer's time grows with
-    the square of such a run (each part is exact, a boundary may add a token).
+    Works where the rows are read; texts do not leave the Python workers.
     """
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(folder, name)
         for b in batches:
-            sizes = []
-            for t in b["_text"]:
-                if not t:
-                    sizes.append(0)
-                elif len(t) <= 100_000:
-                    sizes.append(len(enc.encode_ordinary(t)))
-                else:
-                    sizes.append(sum(len(enc.encode_ordinary(t[i : i + 100_000])) for i in range(0, len(t), 100_000)))
-            yield b[list(keep)].assign(tokens=sizes)
+            yield b[list(keep)].assign(tokens=[token_count(enc, t) if t else 0 for t in b["_text"]])
 
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("tokens", "long")
     return map_frames(rows, count, schema)
@@ -90,7 +99,10 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, weight_col: str |
     ``sized`` has ``doc_id, source, tokens`` and perhaps ``weight_col`` (relative inclusion odds
     within a source; null or not positive counts as 1).  Returns ``(documents, shares)``:
     ``doc_id, source, tokens, copies`` (documents with at least one copy), and one row per target
-    source with ``source, weight, wanted, docs_used, tokens_used, share`` (of all tokens used).
+    source with ``source, weight, wanted, given, docs_used, tokens_used, share, share_after_caps,
+    exhausted``: ``share`` is that of all tokens used, ``share_after_caps`` what it should be now that
+    capped sources give less than their weight, ``exhausted`` that every copy allowed was used and
+    the source still gives less than is wanted.
 
     After the certain whole copies, the rest of a source is a Pareto sample: documents are ranked
     by the odds of a random number (a hash of id and seed) over the odds of their inclusion
@@ -103,14 +115,14 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, weight_col: str |
     cuts = Cuts(spark, "mix")
     # only these columns, so that others of the same names cannot clash
     sized = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), *([F.col(weight_col).alias("_w")] if weight_col else []))
-    plan = source_plan(sized, targets)
+    plan = cuts.cut(source_plan(sized, targets))
     plan_rows = few_or_raise(plan, MOST_SOURCES, "target sources")
-    docs = sized.where(F.col("source").isNotNull()).join(F.broadcast(plan.select("source", "whole", "fraction", F.col("size").alias("_size"), F.col("given").alias("_given"))), "source")
+    docs = sized.where(F.col("source").isNotNull()).join(broadcast_if_small(plan.select("source", "whole", "fraction", F.col("size").alias("_size"))), "source")
     uniform = (F.expr(f"(xxhash64({seed}, cast(doc_id as string)) & 9007199254740991) + 1") / F.lit(float(2**53 + 2))).alias("u")
     if weight_col:
         w = F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0).cast("double")
         sums = docs.groupBy("source").agg(F.sum(w * F.col("tokens")).alias("_ws"))
-        docs = docs.join(F.broadcast(sums), "source")
+        docs = docs.join(broadcast_if_small(sums), "source")
         chance = F.when(F.col("_ws") > 0, w * F.col("fraction") * F.col("_size") / F.col("_ws")).otherwise(0.0)
     else:
         chance = F.col("fraction")
@@ -129,7 +141,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, weight_col: str |
         # the histograms of all sources together stay small for the driver
         n_bins = max(16, min(_BINS, 1_000_000 // len(open_)))
         zoom = spark.createDataFrame([(s, low[s], width[s]) for s in sorted(open_)], "source string, low double, width double")
-        inside = ranked.join(F.broadcast(zoom), "source").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("width")))
+        inside = ranked.join(broadcast_if_small(zoom), "source").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("width")))
         hist = inside.groupBy("source", F.least(F.lit(n_bins - 1), F.floor((F.col("rank") - F.col("low")) / F.col("width") * n_bins)).cast("int").alias("bin")).agg(
             F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last")
         )
@@ -155,17 +167,27 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, weight_col: str |
                 low[s], width[s] = hit.first, math.nextafter(hit.last, 2.0) - hit.first
     cut_df = spark.createDataFrame([(s, float(c)) for s, c in cutoff.items()], "source string, cutoff double")
     used = (
-        ranked.join(F.broadcast(cut_df), "source", "left")
+        ranked.join(broadcast_if_small(cut_df), "source", "left")
         .withColumn("copies", F.col("whole") + F.when(F.col("rank") < F.col("cutoff"), 1).otherwise(0))
         .where("copies > 0")
         .select("doc_id", "source", "tokens", "copies")
     )
     sums = used.groupBy("source").agg(F.count("*").alias("docs_used"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"))
-    everything = sums.agg(F.sum("tokens_used").alias("all_used"))
+    whole = sums.agg(F.sum("tokens_used").alias("all_used")).crossJoin(plan.agg(F.sum("given").alias("all_given")))
+    used_tokens = F.coalesce("tokens_used", F.lit(0))
     shares = (
-        plan.select("source", "weight", "wanted")
-        .join(sums, "source", "left")
-        .crossJoin(F.broadcast(everything))  # one row
-        .select("source", "weight", "wanted", F.coalesce("docs_used", F.lit(0)).alias("docs_used"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)).alias("share"))
+        plan.join(sums, "source", "left")
+        .crossJoin(F.broadcast(whole))  # one row
+        .select(
+            "source",
+            "weight",
+            "wanted",
+            "given",
+            F.coalesce("docs_used", F.lit(0)).alias("docs_used"),
+            used_tokens.alias("tokens_used"),
+            F.coalesce(F.try_divide("tokens_used", "all_used"), F.lit(0.0)).alias("share"),
+            F.coalesce(F.try_divide("given", "all_given"), F.lit(0.0)).alias("share_after_caps"),
+            ((used_tokens == F.col("size") * F.col("max_repeats")) & (used_tokens < F.col("wanted"))).alias("exhausted"),
+        )
     )
     return used, shares

@@ -1,8 +1,9 @@
 """Generated, minified and vendored files and data blobs, so that hand-written source remains.
 
-Header, name and layout rules look at every file by itself.  Vendored copies in directories whose
-name alone proves nothing are found through Merkle hashes: bottom-up hashes over the directory
-trees of all projects, where a subtree that unrelated repositories share marks a vendored package.
+Vendored packages are found through Merkle hashes: bottom-up hashes over the directory trees of all
+projects, where a subtree that unrelated repositories share marks a vendored package, whatever the
+names of its directories.  Header, name and layout rules look at every file by itself: they catch
+generated and compacted files and data, and vendored ones that only one repository holds.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .lexers import language
 VENDOR_DIRS = frozenset("node_modules bower_components jspm_packages third_party third-party thirdparty vendored site-packages godeps pods carthage".split())
 #: Only at the root of a project; deeper they are also names of things of the business.
 ROOT_VENDOR_DIRS = frozenset("vendor extern external externals".split())
-#: Names that become vendored packages if unrelated repositories share what is below them.
-MAYBE_VENDOR_DIRS = ROOT_VENDOR_DIRS | frozenset("deps dependencies contrib libs".split())
+#: Languages whose files prove nothing when they are shared: everyone has the same licences and notes.
+PROSE = frozenset(["", "markdown", "text", "jsonl"])
 GENERATED_DIRS = frozenset("__generated__ generated-sources generated_sources __pycache__ .next".split())
 ROOT_GENERATED_DIRS = frozenset("gen generated".split())
 OUTPUT_PATHS = re.compile(r"(?:^|/)(?:target|build)/(?:[^/]+/)*out/|(?:^|/)target/(?:debug|release)/|(?:^|/)build/generated/")
@@ -113,13 +114,13 @@ def literal_share(text: str, lang: str | None) -> float:
         total += len(s)
         if k is not None and k in (string, number, char) or s in (",", "-"):
             data += len(s)
-    return data / total if total >= 40 else 0.0
+    return data / total if total else 0.0
 
 
 def is_minified(text: str) -> bool:
     """Whether a script was compacted: nearly all of it on very long lines with hardly any white space."""
     n = len(text)
-    if n < 300:
+    if not n:
         return False
     long = sum(len(line) for line in text.split("\n") if len(line) > 300)
     return long >= 0.6 * n and len(_SPACES.findall(text)) <= 0.08 * n
@@ -152,11 +153,12 @@ def classify(path: str | None, lang: str | None, text: str | None) -> str | None
 
 
 def classify_files(files: DataFrame, keep: tuple[str, ...], path: str = "relative_path", lang: str = "language", content: str = "content") -> DataFrame:
-    """The ``keep`` columns with ``origin`` (null: hand-written by its own looks) and ``fingerprint``.
+    """The ``keep`` columns with ``origin`` (null: hand-written by its own looks), ``fingerprint`` and ``solid``.
 
     ``fingerprint`` hashes the text without its opening comments and white space (null for a null
-    text), so that copies of a package under different headers stay equal.  Works where the rows
-    are read, on whole texts, without a shuffle.
+    text), so that copies of a package under different headers stay equal; ``solid`` says that what
+    is left is code, neither blank nor prose.  Works where the rows are read, on whole texts,
+    without a shuffle.
     """
     rows = files.select(*[F.col(f"`{c}`") for c in keep], F.col(path).alias("_path"), F.col(lang).alias("_lang"), F.col(content).alias("_text"))
 
@@ -164,13 +166,15 @@ def classify_files(files: DataFrame, keep: tuple[str, ...], path: str = "relativ
         import xxhash
 
         for b in batches:
-            origin, prints = [], []
+            origin, prints, solid = [], [], []
             for p, g, t in zip(b["_path"], b["_lang"], b["_text"], strict=True):
                 origin.append(classify(p, g, t))
-                prints.append(None if t is None else xxhash.xxh64_intdigest(_body(t).encode("utf-8", "surrogatepass")) - (1 << 63))
-            yield b[list(keep)].assign(origin=pd.Series(origin, dtype=object, index=b.index), fingerprint=pd.Series(prints, dtype="Int64", index=b.index))
+                body = "" if t is None else _body(t)
+                prints.append(None if t is None else xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63))
+                solid.append(body != "" and (g or "").strip().lower() not in PROSE)
+            yield b[list(keep)].assign(origin=pd.Series(origin, dtype=object, index=b.index), fingerprint=pd.Series(prints, dtype="Int64", index=b.index), solid=solid)
 
-    schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("origin", "string").add("fingerprint", "long")
+    schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("origin", "string").add("fingerprint", "long").add("solid", "boolean")
     return map_frames(rows, look, schema)
 
 
@@ -189,38 +193,44 @@ def _body(text: str) -> str:
     return _SPACES.sub(" ", "\n".join(lines[at:])).strip()
 
 
-def merkle_trees(files: DataFrame, project: str = "project_id", path: str = "relative_path", fingerprint: str = "fingerprint") -> DataFrame:
-    """Merkle hashes of all directories: ``project_id, dir, files, hash``.
+def merkle_trees(files: DataFrame, project: str = "project_id", path: str = "relative_path", fingerprint: str = "fingerprint", solid: str | None = None) -> DataFrame:
+    """Merkle hashes of all directories: ``project_id, dir, files, solid, hash``.
 
     A directory's hash covers the names and hashes of its subdirectories and the fingerprints of
     its files (not their names, which copies may change).  It is a sum of hashes, so the children
     of a directory are combined before the shuffle however many they are.  Levels are done from
     the deepest up, one small shuffle each.  Files without fingerprint count by their path, so
-    they never make two trees equal; rows with a null project or path are left out.
+    they never make two trees equal; rows with a null project or path are left out.  ``solid``
+    counts the files below for which the column of that name holds (all of them without one).
     """
     cuts = Cuts(files.sparkSession, "merkle")
     parts = F.split(F.regexp_replace(F.col(path), r"\\", "/"), "/")
     f = (
         files.where(F.col(project).isNotNull() & F.col(path).isNotNull())
-        .select(F.col(project).alias("project_id"), parts.alias("parts"), F.coalesce(F.col(fingerprint), F.xxhash64(F.lit("unread"), F.col(project), F.col(path))).alias("h"))
-        .select("project_id", F.expr("slice(parts, 1, size(parts) - 1)").alias("dirs"), "h")
+        .select(
+            F.col(project).alias("project_id"),
+            parts.alias("parts"),
+            F.coalesce(F.col(fingerprint), F.xxhash64(F.lit("unread"), F.col(project), F.col(path))).alias("h"),
+            (F.col(solid) if solid else F.lit(True)).cast("long").alias("one"),
+        )
+        .select("project_id", F.expr("slice(parts, 1, size(parts) - 1)").alias("dirs"), "h", "one")
     )
-    nodes = cuts.cut(f.groupBy("project_id", "dirs").agg(F.count("*").alias("files"), F.sum(_wrap("h")).alias("s")))
+    nodes = cuts.cut(f.groupBy("project_id", "dirs").agg(F.count("*").alias("files"), F.sum("one").alias("solid"), F.sum(_wrap("h")).alias("s")))
     deepest = nodes.agg(F.max(F.size("dirs"))).first()[0] or 0
     levels, below = [], None
     for depth in range(deepest, 0, -1):
-        here = nodes.where(F.size("dirs") == depth).select("project_id", "dirs", "files", "s")
+        here = nodes.where(F.size("dirs") == depth).select("project_id", "dirs", "files", "solid", "s")
         if below is not None:
-            up = below.select("project_id", F.expr("slice(dirs, 1, size(dirs) - 1)").alias("dirs"), "files", _wrap(F.xxhash64(F.element_at("dirs", -1), "hash")).alias("s"))
+            up = below.select("project_id", F.expr("slice(dirs, 1, size(dirs) - 1)").alias("dirs"), "files", "solid", _wrap(F.xxhash64(F.element_at("dirs", -1), "hash")).alias("s"))
             here = here.unionByName(up)
-        below = cuts.cut(here.groupBy("project_id", "dirs").agg(F.sum("files").alias("files"), F.xxhash64(F.sum("s"), F.sum("files")).alias("hash")))
+        below = cuts.cut(here.groupBy("project_id", "dirs").agg(F.sum("files").alias("files"), F.sum("solid").alias("solid"), F.xxhash64(F.sum("s"), F.sum("files")).alias("hash")))
         levels.append(below)
     if not levels:
-        return nodes.select("project_id", F.array_join("dirs", "/").alias("dir"), "files", F.xxhash64("s").alias("hash")).where("dir <> ''")
+        return nodes.select("project_id", F.array_join("dirs", "/").alias("dir"), "files", "solid", F.xxhash64("s").alias("hash")).where("dir <> ''")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    return out.select("project_id", F.array_join("dirs", "/").alias("dir"), "files", "hash")
+    return out.select("project_id", F.array_join("dirs", "/").alias("dir"), "files", "solid", "hash")
 
 
 def _wrap(h) -> F.Column:
@@ -228,37 +238,47 @@ def _wrap(h) -> F.Column:
     return (h if not isinstance(h, str) else F.col(h)).cast("decimal(20,0)")
 
 
-def shared_subtrees(trees: DataFrame, projects: DataFrame, least_files: int = 2) -> DataFrame:
-    """Directories whose whole contents lie in at least two unrelated repositories as well.
+def shared_subtrees(trees: DataFrame, projects: DataFrame) -> DataFrame:
+    """Directories whose whole contents lie in at least two unrelated repositories.
 
-    Projects are related if they have the same root commits (null: unrelated to any other).
-    Returns ``project_id, dir, hash, files, repositories``.  Small trees prove nothing and are
-    left out by ``least_files``.
+    Projects are related if they have the same root commits (null: unrelated to any other), so forks
+    and what was made from one template prove nothing, and neither do trees without a ``solid`` file.
+    Returns ``project_id, dir, hash, files, repositories``.
     """
-    repo = projects.groupBy("project_id").agg(F.max("git_root_commits").alias("root")).select("project_id", F.coalesce("root", F.concat(F.lit("project "), F.col("project_id").cast("string"))).alias("repo"))
-    t = trees.where(F.col("files") >= least_files).join(repo, "project_id", "left").withColumn("repo", F.coalesce("repo", F.concat(F.lit("project "), F.col("project_id").cast("string"))))
+    alone = F.concat(F.lit("project "), F.col("project_id").cast("string"))
+    repo = projects.groupBy("project_id").agg(F.max("git_root_commits").alias("root")).select("project_id", F.coalesce("root", alone).alias("repo"))
+    t = trees.where("solid > 0").join(repo, "project_id", "left").withColumn("repo", F.coalesce("repo", alone))
     groups = t.groupBy("hash", "files").agg(F.countDistinct("repo").alias("repositories")).where("repositories >= 2")
     return t.join(groups, ["hash", "files"]).select("project_id", "dir", "hash", "files", "repositories")
 
 
-def flag_not_handwritten(files: DataFrame, projects: DataFrame, key: str = "file_id", by: str = "indexed_at") -> DataFrame:
-    """Every current file with ``origin``: ``file_id, project_id, relative_path, language, origin``.
+def flag_not_handwritten(files: DataFrame, projects: DataFrame, key: str = "file_id", by: str = "indexed_at", copy_of: str = "duplicate_of_file_id") -> DataFrame:
+    """Every current file with ``origin`` and ``shared_by``: ``file_id, project_id, relative_path, language, origin, shared_by``.
 
-    Of rows with one file_id the one with the latest ``indexed_at`` is current.  To the verdict of
-    :func:`classify` comes ``vendored`` for files below a directory with a name of
-    ``MAYBE_VENDOR_DIRS`` whose package directory unrelated repositories share.
+    Of rows with one file_id the one with the latest ``indexed_at`` is current.  A file below a
+    directory that ``shared_by`` unrelated repositories hold (:func:`shared_subtrees`) is
+    ``vendored``; for the others the verdict of :func:`classify` counts, which comes first for
+    generated and compacted files.  Files that the index itself names as copies of another file
+    (``copy_of`` not null, where there is that column) do not take part in the trees, as an exact
+    copy of a hand-written file is hand-written.  ``shared_by`` is 0 for all others.
     """
     from ..sources.tables import latest
 
     cuts = Cuts(files.sparkSession, "origin")
-    looked = classify_files(files.where(F.col(key).isNotNull()), (key, "project_id", "relative_path", "language", by))
+    extra = (copy_of,) if copy_of in files.columns else ()
+    looked = classify_files(files.where(F.col(key).isNotNull()), (key, "project_id", "relative_path", "language", by, *extra))
     now = cuts.cut(latest(looked, key, by))
-    shared = shared_subtrees(merkle_trees(now), projects)
-    maybe = "|".join(sorted(MAYBE_VENDOR_DIRS))
-    package = F.regexp_extract(F.lower("relative_path"), rf"^((?:[^/]+/)*?(?:{maybe})/[^/]+)/", 1)
-    hit = shared.select(F.col("project_id").alias("p"), F.lower("dir").alias("d")).distinct()
-    return (
-        now.withColumn("_package", package)
-        .join(hit, (F.col("project_id") == F.col("p")) & (F.col("_package") == F.col("d")), "left")
-        .select(key, "project_id", "relative_path", "language", F.coalesce("origin", F.when(F.col("d").isNotNull(), F.lit("vendored"))).alias("origin"))
+    own = now.where(F.col(copy_of).isNull()) if extra else now
+    shared = cuts.cut(shared_subtrees(merkle_trees(own, solid="solid"), projects))
+    above = F.expr("transform(sequence(1, greatest(size(parts) - 1, 1)), i -> array_join(slice(parts, 1, i), '/'))")
+    places = own.where("project_id is not null").select(F.col(key).alias("k"), F.col("project_id").alias("p"), F.split(F.regexp_replace("relative_path", r"\\", "/"), "/").alias("parts")).where("size(parts) > 1")
+    hit = (
+        places.select("k", "p", F.explode(above).alias("d"))
+        .join(shared.select(F.col("project_id").alias("p"), F.col("dir").alias("d"), "repositories"), ["p", "d"])
+        .groupBy("k")
+        .agg(F.max("repositories").alias("shared_by"))
+    )
+    vendored = F.when(F.col("shared_by").isNotNull() & ~F.coalesce(F.col("origin").isin("generated", "minified"), F.lit(False)), F.lit("vendored"))
+    return now.join(hit, F.col(key) == F.col("k"), "left").select(
+        key, "project_id", "relative_path", "language", F.coalesce(vendored, "origin").alias("origin"), F.coalesce("shared_by", F.lit(0)).alias("shared_by")
     )

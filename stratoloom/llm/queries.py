@@ -10,7 +10,7 @@ from ..sources.tables import latest, table
 from .chunk_split import rechunk, split_oversized
 from .clusters import similarity_clusters
 from .leakage import find_leaks
-from .mixing import count_tokens, mix, source_plan
+from .mixing import count_tokens, mix
 from .near_duplicates import CODE_WORD, duplicate_groups, expand_pairs, near_duplicates
 from .neighbours import mutual_pairs, nearest_neighbours, usable_vectors
 from .origin import flag_not_handwritten
@@ -56,7 +56,7 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 # 3. files nobody wrote by hand for their project
 def _origins(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "indexed_files", "file_id", "project_id", "relative_path", "language", "content", "indexed_at")
+    files = table(spark, folder, "indexed_files", "file_id", "project_id", "relative_path", "language", "content", "indexed_at", "duplicate_of_file_id")
     return flag_not_handwritten(files, table(spark, folder, "projects", "project_id", "git_root_commits"))
 
 
@@ -70,6 +70,11 @@ def p3_origins(spark: SparkSession, folder: str) -> DataFrame:
     return _origins(spark, folder).withColumn("origin", F.coalesce("origin", F.lit("handwritten")))
 
 
+def p3_shared_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """Files below directories that unrelated repositories share, by the number of these and the origin given."""
+    return p3_origins(spark, folder).where("shared_by > 0").groupBy("shared_by", "origin").agg(F.count("*").alias("files"))
+
+
 # 5. oversized chunks
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks over 4,096 bytes with the number of their lines that alone have more."""
@@ -136,19 +141,39 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
     return Cuts(spark, "p9").cut(one)
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix(_sized(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that cannot give their share even if each text is used as often as allowed."""
-    return source_plan(_sized(spark, folder), table(spark, folder, "mix_targets")).where("capped").select("source")
+    """Sources that the mix exhausts: each text is used as often as allowed, and the share is still missed."""
+    return _mixed(spark, folder)[1].where("exhausted").select("source")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Every document used, with its number of copies."""
-    return mix(_sized(spark, folder), table(spark, folder, "mix_targets"))[0]
+    return _mixed(spark, folder)[0]
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The shares of the sources that the mix really reaches."""
-    return mix(_sized(spark, folder), table(spark, folder, "mix_targets"))[1]
+    """The shares of the sources that the mix really reaches, and those that the caps leave possible."""
+    return _mixed(spark, folder)[1]
+
+
+def p9_kept_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source of the mix keeps the rules: no text too often, and what is used within one text of what is given."""
+    sized = _sized(spark, folder)
+    used, shares = mix(sized, table(spark, folder, "mix_targets"))
+    most = table(spark, folder, "mix_targets", "source", "max_repeats").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))
+    longest = sized.groupBy("source").agg(F.max("tokens").alias("longest"))
+    per = used.groupBy("source").agg(F.max("copies").alias("copies"), (F.max("copies") - F.min("copies")).alias("spread"))
+    near = F.abs(F.col("tokens_used") - F.col("given")) <= F.coalesce("longest", F.lit(0)) + 1
+    return (
+        shares.join(most, "source")
+        .join(longest, "source", "left")
+        .join(per, "source", "left")
+        .select("source", (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), (F.coalesce("spread", F.lit(0)) <= 1).alias("copies_even"), near.alias("size_kept"))
+    )
 
 
 # 10. sentences
@@ -166,7 +191,7 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_pieces, p6_found, p6_clusters,
-        p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_sentences,
+        p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_origins, p3_shared_packages, p5_found, p5_pieces, p6_found, p6_clusters,
+        p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p9_kept_rules, p10_found, p10_sentences,
     )
 }

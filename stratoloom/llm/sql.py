@@ -37,4 +37,6 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
 WITH d AS (SELECT doc_id, max(source) AS source, max(strlen(text)) AS n FROM documents GROUP BY doc_id),
 s AS (SELECT source, sum(n) AS size FROM d GROUP BY source), t AS (SELECT sum(n) AS total FROM d)
 SELECT m.source FROM mix_targets m LEFT JOIN s USING (source) CROSS JOIN t WHERE coalesce(s.size, 0) * m.max_repeats < m.weight * t.total""",
+    # what the rules demand of every source
+    "p9_kept_rules": "SELECT DISTINCT source, true AS repeats_kept, true AS copies_even, true AS size_kept FROM mix_targets WHERE source IS NOT NULL AND weight IS NOT NULL",
 }
