@@ -30,8 +30,9 @@ tparam = ids constraint ;
 constraint = '~'? type ( '|' '~'? type )* ;
 func = 'func' params? IDENT tparams? sig block? ;
 sig = params ( params | type )? ;
-params = '(' ( param ( ',' param )* ','? )? ')' ;
-param = IDENT? '\.\.\.'? type ;
+params = '(' ( ( nparam ( ',' nparam )* | uparam ( ',' uparam )* ) ','? )? ')' ;
+nparam = ids '\.\.\.'? type ;
+uparam = '\.\.\.'? type ;
 type = '*' type | '[' ']' type | '[' ( expr | '\.\.\.' ) ']' type | 'map' '[' type ']' type | 'chan' '<-'? type | '<-' 'chan' type
      | 'func' sig | 'struct' '{' field? ( ';' field? )* '}' | 'interface' '{' ielem? ( ';' ielem? )* '}'
      | IDENT ( '.' IDENT )? ( '[' types ']' )? | '(' type ')' ;
@@ -40,13 +41,13 @@ field = ( ids type | '*'? IDENT ( '.' IDENT )? ( '[' types ']' )? ) STR? ;
 ielem = IDENT sig | constraint ;
 block = '{' stmts '}' ;
 stmts = stmt? ( ';' stmt? )* ;
-stmt = decl | IDENT ':' stmt? | simple | 'go' expr | 'defer' expr | 'return' exprs? | 'break' IDENT? | 'continue' IDENT?
+stmt = decl | IDENT ':' stmt? | simple | ( 'go' | 'defer' ) operand postfix* cargs | 'return' exprs? | 'break' IDENT? | 'continue' IDENT?
      | 'goto' IDENT | 'fallthrough' | block | if | switch | select | for ;
-simple = exprs ( ASSIGN exprs | '=' exprs | '++' | '--' | '<-' expr | ':=' exprs )? ;
+simple = expr ( ASSIGN expr | '++' | '--' | '<-' expr )? | exprs '=' exprs | ids ':=' exprs ;
 if = 'if' ( simple? ';' )? expr block ( 'else' ( if | block ) )? ;
 switch = 'switch' ( simple? ';' )? simple? '{' ( ( 'case' vals | 'default' ) ':' stmts )* '}' ;
 select = 'select' '{' ( ( 'case' simple | 'default' ) ':' stmts )* '}' ;
-for = 'for' ( expr? | simple? ';' expr? ';' simple? | ( exprs ( '=' | ':=' ) )? 'range' expr ) block ;
+for = 'for' ( expr? | simple? ';' expr? ';' simple? | ( exprs '=' | ids ':=' )? 'range' expr ) block ;
 exprs = expr ( ',' expr )* ;
 vals = val ( ',' val )* ;
 val = expr | type ;
@@ -56,7 +57,8 @@ operand = NUM | STR | CHAR | IDENT | '(' val ')' | 'func' sig block
      | littype '{' elems '}' | ( littype | 'chan' '<-'? type | 'interface' '{' ielem? ( ';' ielem? )* '}' | 'func' sig ) '(' expr ','? ')' ;
 littype = '[' ']' type | '[' ( expr | '\.\.\.' ) ']' type | 'map' '[' type ']' type | 'struct' '{' field? ( ';' field? )* '}' ;
 postfix = '.' IDENT | '.' '(' ( type | 'type' ) ')' | '[' ( vals ','? | expr? ':' expr? ( ':' expr )? ) ']'
-     | '(' ( vals '\.\.\.'? ','? )? ')' | '{' elems '}' ;
+     | cargs | '{' elems '}' ;
+cargs = '(' ( vals '\.\.\.'? ','? )? ')' ;
 elems = ( elem ( ',' elem )* ','? )? ;
 elem = ( lit ':' )? lit ;
 lit = expr | '{' elems '}' ;
@@ -101,11 +103,11 @@ tparams = '<' tparam ( ',' tparam )* '>' ;
 tparam = annos id ( 'extends' type ( '&' type )* )? ;
 block = '{' bstmt* '}' ;
 bstmt = mods type vars ';' | mods ( class | iface | enum | record ) | stmt ;
-stmt = block | ';' | expr ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr ')' stmt
+stmt = block | ';' | effect ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr ')' stmt
      | 'do' stmt 'while' '(' expr ')' ';' | 'for' '(' forhead ')' stmt | 'return' expr? ';' | 'throw' expr ';'
      | 'break' id? ';' | 'continue' id? ';' | 'yield' expr ';' | try | switch | 'synchronized' '(' expr ')' block
      | 'assert' expr ( ':' expr )? ';' | id ':' stmt ;
-forhead = ( mods type vars | exprs )? ';' expr? ';' exprs? | mods type id dims ':' expr ;
+forhead = ( mods type vars | effects )? ';' expr? ';' effects? | mods type id dims ':' expr ;
 try = 'try' ( '(' res ( ';' res )* ';'? ')' block catch* ( 'finally' block )? | block ( catch+ ( 'finally' block )? | 'finally' block ) ) ;
 res = mods type id '=' expr | expr ;
 catch = 'catch' '(' mods type ( '|' type )* id ')' block ;
@@ -113,11 +115,16 @@ switch = 'switch' '(' expr ')' '{' ( ( label ':' )+ bstmt* )* '}' | 'switch' '('
 label = 'case' item ( ',' item )* | 'default' ;
 item = ternary | 'default' | mods type id ;
 exprs = expr ( ',' expr )* ;
-expr = ternary | lambda ;
-ternary = unary rest* ( '?' expr ':' expr )? ( ( '=' | ASSIGN ) expr )? ;
-rest = ( OP | '+' | '-' | '*' | '&' | '|' | '<' | '>' | '>' '>' | '>' '>' '>' | '>=' | '>' '>=' | '>' '>' '>=' | '=' ) ( unary | lambda ) | 'instanceof' ( mods type id? ) ;
+effects = effect ( ',' effect )* ;
+effect = place aop expr | ( '++' | '--' ) place | place ( '++' | '--' ) | primary postfix* ( args | '.' 'new' creator ) | 'new' creator ;
+expr = ternary | lambda | place aop expr ;
+aop = '=' | ASSIGN | '>' '>=' | '>' '>' '>=' ;
+place = id | '(' place ')' | primary postfix* ( '.' id | '[' expr ']' ) ;
+ternary = unary rest* ( '?' expr ':' ( ternary | lambda ) )? ;
+rest = ( OP | '+' | '-' | '*' | '&' | '|' | '<' | '>' | '>' '>' | '>' '>' '>' | '>=' ) unary | 'instanceof' mods type id? ;
 lambda = ( id | '(' ( param ( ',' param )* | id ( ',' id )* )? ')' ) '->' ( expr | block ) ;
-unary = ( '+' | '-' | '++' | '--' | '!' | '~' | '(' type ( '&' type )* ')' )* ( primary postfix* ( '++' | '--' )* | lambda ) ;
+cast = '(' type ( '&' type )* ')' ;
+unary = ( '+' | '-' | '!' | '~' | cast )* ( primary postfix* | place ( '++' | '--' ) | ( '++' | '--' ) place ) | cast lambda ;
 primary = NUM | STR | CHAR | 'true' | 'false' | 'null' | id | 'this' | 'super' | '(' expr ')' | 'new' creator | switch
      | PRIM dims ( '.' 'class' | '::' 'new' ) | 'void' '.' 'class' ;
 postfix = '.' ( id | 'class' | 'this' | 'super' | 'new' creator | targs ( id | 'super' ) | 'super' ) | args | '[' expr ']' | '[' ']'
@@ -135,7 +142,10 @@ import = 'import' ( STR | ( id ( ',' ( '*' 'as' id | named ) )? | '*' 'as' id |
 named = '{' ( spec ( ',' spec )* ','? )? '}' ;
 spec = ( name | STR ) ( 'as' ( name | STR ) )? ;
 export = 'export' ( 'default' ( function | class | assign eos ) | decl | '*' ( 'as' ( name | STR ) )? 'from' STR eos | named ( 'from' STR )? eos ) ;
-decl = function | class | ( 'var' | 'let' | 'const' ) bind ( ',' bind )* eos ;
+decl = function | class | vars eos ;
+vars = ( 'var' | 'let' ) vbind ( ',' vbind )* | 'const' init ( ',' init )* ;
+vbind = id | init ;
+init = target '=' assign ;
 bind = target ( '=' assign )? ;
 target = id | '{' ( tprop ( ',' tprop )* ','? )? '}' | '[' ','* ( telem ( ','+ telem )* ','* )? ']' ;
 tprop = '\.\.\.' target | key ':' bind | id ( '=' assign )? ;
@@ -148,16 +158,20 @@ member = ';' | 'static' block | 'static'? ( 'get' | 'set' | 'async' | 'async'? '
 key = name | STR | NUM | '[' assign ']' | PRIVATE ;
 block = '{' stmt* '}' ;
 stmt = block | decl | ';' | exprs eos | 'if' '(' exprs ')' stmt ( 'else' stmt )? | 'while' '(' exprs ')' stmt
-     | 'do' stmt 'while' '(' exprs ')' ( ';' | ) | 'for' 'await'? '(' forhead ')' stmt | 'return' exprs? eos | 'throw' exprs eos
+     | 'do' stmt 'while' '(' exprs ')' ( ';' | ) | 'for' '(' ( forhead | ofhead ) ')' stmt | 'for' 'await' '(' ofhead ')' stmt | 'return' exprs? eos | 'throw' exprs eos
      | 'break' id? eos | 'continue' id? eos | 'debugger' eos | id ':' stmt
      | 'try' block ( 'catch' ( '(' target ')' )? block ( 'finally' block )? | 'finally' block )
      | 'switch' '(' exprs ')' '{' ( ( 'case' exprs | 'default' ) ':' stmt* )* '}' ;
-forhead = ( ( 'var' | 'let' | 'const' ) bind ( ',' bind )* | exprs )? ';' exprs? ';' exprs?
-     | ( ( 'var' | 'let' | 'const' ) target | place ) ( 'of' assign | 'in' exprs ) ;
+forhead = ( vars | exprs )? ';' exprs? ';' exprs? | each 'in' exprs ;
+ofhead = each 'of' assign ;
+each = ( 'var' | 'let' | 'const' ) target | place ;
 exprs = assign ( ',' assign )* ;
 assign = binary ( '?' assign ':' assign )? | place '=' assign | ref ASSIGN assign | arrow | yield ;
-binary = operand ( ( OP | '+' | '-' | '*' | 'in' | 'instanceof' ) operand )* ;
-operand = ( '+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' )* ( lhs | ref ( '++' | '--' ) | ( '++' | '--' ) ref | PRIVATE ) ;
+binary = bits ( ( ( '||' | '&&' ) bits )* | ( '??' bits )+ ) ;
+bits = operand ( ( OP | '+' | '-' | '*' | 'in' | 'instanceof' ) operand )* ;
+operand = ( PRIVATE 'in' )? power ;
+power = update ( '**' power )? | ( '+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' )+ update ;
+update = lhs | ref ( '++' | '--' ) | ( '++' | '--' ) ref ;
 ref = id | '(' ref ')' | 'new'* primary postfix* ( '.' ( name | PRIVATE ) | '[' exprs ']' ) ;
 place = ref | '{' ( pprop ( ',' pprop )* ','? )? '}' | '[' ','* ( pelem ( ','+ pelem )* ','* )? ']' ;
 pprop = '\.\.\.' ref | key ':' place ( '=' assign )? | id ( '=' assign )? ;
@@ -185,8 +199,8 @@ id = IDENT | 'match' | 'case' | 'type' ;
 stmt = SEGMENT simple NL END | simple NL | compound ;
 simple = small ( ';' small )* ';'? ;
 small = assign | 'pass' | 'break' | 'continue' | 'return' items? | 'raise' ( expr ( 'from' expr )? )? | ( 'global' | 'nonlocal' ) id ( ',' id )*
-     | 'del' items | 'assert' expr ( ',' expr )? | import | 'type' id tparams? '=' expr ;
-assign = items ( ':' expr ( '=' rhs )? | AUG rhs | ( '=' rhs )+ )? | yield ;
+     | 'del' place ( ',' place )* ','? | 'assert' expr ( ',' expr )? | import | 'type' id tparams? '=' expr ;
+assign = items | yield | ( targets '=' )+ rhs | single ( AUG rhs | ':' expr ( '=' rhs )? ) ;
 rhs = items | yield ;
 yield = 'yield' ( items | 'from' expr )? ;
 import = 'import' dotted ( 'as' id )? ( ',' dotted ( 'as' id )? )*
@@ -200,29 +214,38 @@ compound = if | 'while' named ':' suite ( 'else' ':' suite )? | 'async'? for | '
 if = 'if' named ':' suite ( 'elif' named ':' suite )* ( 'else' ':' suite )? ;
 for = 'for' targets 'in' items ':' suite ( 'else' ':' suite )? ;
 with = 'with' ( withitem ( ',' withitem )* | '(' withitem ( ',' withitem )* ','? ')' ) ':' suite ;
-withitem = expr ( 'as' target )? ;
+withitem = expr ( 'as' place )? ;
 try = 'try' ':' suite ( ( 'except' ( '*'? expr ( 'as' id )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite ) ;
-def = 'def' id tparams? '(' ( param ( ',' param )* ','? )? ')' ( '->' expr )? ':' suite ;
-param = ( '*' | '**' )? id ( ':' ( '*'? expr ) )? ( '=' expr )? | '*' | '/' ;
+def = 'def' id tparams? '(' ( dplain ( ',' dstar )? ','? | dstar ','? )? ')' ( '->' expr )? ':' suite ;
+dp = id ( ':' expr )? ;
+dd = dp '=' expr ;
+dplain = dp ( ',' dp )* ( ( ',' '/' ( ',' dp )* )? ( ',' dd )* | ( ',' dd )+ ',' '/' ( ',' dd )* ) | dd ( ',' dd )* ( ',' '/' ( ',' dd )* )? ;
+dstar = ( '*' id ( ':' '*'? expr )? ( ',' dp ( '=' expr )? )* | '*' ( ',' dp ( '=' expr )? )+ ) ( ',' '**' dp )? | '**' dp ;
 tparams = '[' tparam ( ',' tparam )* ','? ']' ;
 tparam = ( '*' | '**' )? id ( ':' expr )? ( '=' '*'? expr )? ;
-targets = target ( ',' target )* ','? ;
-target = '*'? sum ;
+targets = '*'? place ( ',' '*'? place )* ','? ;
+place = single | '(' targets? ')' | '[' targets? ']' ;
+single = id | atom postfix* ( '.' id | '[' slice ( ',' slice )* ','? ']' ) | '(' single ')' ;
 sum = unary ( ( '+' | '-' | '*' | '/' | '@' | '|' | '&' | '^' | OP ) unary )* ;
 items = item ( ',' item )* ','? ;
 item = '*' sum | named ;
 named = id ':=' expr | expr ;
-expr = 'lambda' ( lparam ( ',' lparam )* ','? )? ':' expr | or ( 'if' or 'else' expr )? ;
-lparam = ( '*' | '**' )? id ( '=' expr )? | '*' | '/' ;
+expr = 'lambda' lparams ':' expr | or ( 'if' or 'else' expr )? ;
+lparams = ( lplain ( ',' lstar )? ','? | lstar ','? )? ;
+ld = id '=' expr ;
+lplain = id ( ',' id )* ( ( ',' '/' ( ',' id )* )? ( ',' ld )* | ( ',' ld )+ ',' '/' ( ',' ld )* ) | ld ( ',' ld )* ( ',' '/' ( ',' ld )* )? ;
+lstar = ( '*' id ( ',' id ( '=' expr )? )* | '*' ( ',' id ( '=' expr )? )+ ) ( ',' '**' id )? | '**' id ;
 or = not ( ( 'and' | 'or' ) not )* ;
 not = 'not'* sum ( ( CMP | 'in' | 'not' 'in' | 'is' | 'is' 'not' ) sum )* ;
 unary = ( '+' | '-' | '~' )* 'await'? atom postfix* ( '**' unary )? ;
 postfix = '.' id | args | '[' slice ( ',' slice )* ','? ']' ;
 slice = expr? ':' expr? ( ':' expr? )? | item ;
-args = '(' ( arg ( ',' arg )* ','? | named comp )? ')' ;
-arg = id '=' expr | '**' expr | '*' expr | named ;
+args = '(' ( ( plain ( ',' plain )* ( ',' keys )? | keys ) ','? | named comp )? ')' ;
+plain = '*' expr | named ;
+keys = id '=' expr ( ',' ( id '=' expr | '*' expr ) )* ( ',' more )? | more ;
+more = '**' expr ( ',' ( id '=' expr | '**' expr ) )* ;
 comp = ( 'async'? 'for' targets 'in' or ( 'if' cond )* )+ ;
-cond = or | 'lambda' ( lparam ( ',' lparam )* ','? )? ':' cond | id ':=' expr ;
+cond = or | 'lambda' lparams ':' cond | id ':=' expr ;
 atom = id | NUM | STR+ | 'True' | 'False' | 'None' | '\.\.\.' | '(' ( yield | items | item comp )? ')' | '[' ( items | item comp )? ']'
      | '{' ( ( pair ( ',' pair )* ','? ) | expr ':' expr comp | items | item comp )? '}' ;
 pair = expr ':' expr | '**' sum ;
@@ -285,21 +308,28 @@ eseg = seg ( '::' gargs )? ;
 block = '{' innerattr* ( SEGMENT stmt+ END | stmt )* expr? '}' ;
 stmt = ';' | item | attr* ( let | expr ';' | blocky ) ;
 let = 'let' pats ( ':' type )? ( '=' expr ( 'else' block )? )? ';' ;
-expr = attr* ( sub ( ( '\.\.' | '\.\.=' ) sub? )? | ( '\.\.' | '\.\.=' ) sub? ) ;
-sub = unary ( ( OP | '=' | '+' | '-' | '*' | '&' | '&&' | '|' | '||' | '<' | '>' | '>' '>' | '>=' | '>' '>=' ) unary | 'as' type | '=' ( '\.\.' | '\.\.=' ) unary? )* ;
+expr = attr* set ;
+set = span ( ( '=' | ASSIGN ) set )? ;
+span = or ( ( '\.\.' | '\.\.=' ) or? )? | ( '\.\.' | '\.\.=' ) or? ;
+or = and ( '||' and )* ;
+and = compared ( '&&' compared )* ;
+compared = bits ( ( CMP | '<' | '>' | '>=' ) bits )? ;
+bits = unary ( ( OP | '+' | '-' | '*' | '&' | '|' | '>' '>' ) unary | 'as' type )* ;
 unary = ( '-' | '!' | '*' | ( '&' | '&&' ) ( 'raw' ( 'const' | 'mut' ) )? 'mut'? )* primary postfix* ;
 postfix = '?' | '.' ( id ( '::' gargs )? | NUM | 'await' ) | '(' args ')' | '[' expr ']' ;
 args = ( expr ( ',' expr )* ','? )? ;
 lit = NUM | STR | CHAR | 'true' | 'false' ;
-primary = lit | epath | epath '{' inits '}' | '(' args ')' | '[' ( args | expr ';' expr ) ']' | blocky | closure | epath '!' ( '(' ... ')' | '[' ... ']' | '{' ... '}' )
+primary = epath '{' inits '}' | plain ;
+array = '[' ( args | expr ';' expr ) ']' ;
+plain = lit | epath | '(' args ')' | array | blocky | closure | epath '!' ( '(' ... ')' | '[' ... ']' | '{' ... '}' )
      | 'return' expr? | 'break' LIFETIME? expr? | 'continue' LIFETIME? | 'let' pats '=' expr | '_' ;
 inits = ( init ( ',' init )* ( ',' ( '\.\.' expr? )? )? | '\.\.' expr? )? ;
 init = attr* ( id | NUM ) ( ':' expr )? ;
 closure = ( 'static' | 'async' | 'move' )* ( '||' | '|' ( cparam ( ',' cparam )* ','? )? '|' ) ( '->' type block | expr ) ;
 cparam = attr* pat ( ':' type )? ;
-blocky = ( LIFETIME ':' )? block | ( 'unsafe' | 'const' | 'async' 'move'? ) block | if | match | ( LIFETIME ':' )? ( 'loop' block | 'while' expr block | 'for' pats 'in' expr block ) ;
-if = 'if' expr block ( 'else' ( if | block ) )? ;
-match = 'match' expr '{' innerattr* ( attr* pats ( 'if' expr )? '=>' ( expr ',' | blocky ','? ) )* ( attr* pats ( 'if' expr )? '=>' expr )? '}' ;
+blocky = ( LIFETIME ':' )? block | ( 'unsafe' | 'const' | 'async' 'move'? ) block | if | match | ( LIFETIME ':' )? ( 'loop' block | 'while' head block | 'for' pats 'in' head block ) ;
+if = 'if' head block ( 'else' ( if | block ) )? ;
+match = 'match' head '{' innerattr* ( attr* pats ( 'if' expr )? '=>' ( expr ',' | blocky ','? ) )* ( attr* pats ( 'if' expr )? '=>' expr )? '}' ;
 pats = '|'? pat ( '|' pat )* ;
 pat = ( '&' | '&&' ) 'mut'? pat | 'ref'? 'mut'? id ( '@' pat )? | '_' | '\.\.' | range | '(' ( pats ( ',' pats )* ','? )? ')' | '[' ( pats ( ',' pats )* ','? )? ']'
      | epath ( '(' ( pats ( ',' pats )* ','? )? ')' | '{' ( fpat ( ',' fpat )* ','? )? '}' )? | epath '!' ( '(' ... ')' | '[' ... ']' | '{' ... '}' ) ;
@@ -307,3 +337,18 @@ range = pend ( ( '\.\.' | '\.\.=' | '\.\.\.' ) pend? )? | ( '\.\.=' | '\.\.' ) p
 pend = '-'? lit | epath ;
 fpat = attr* ( '\.\.' | ( id | NUM ) ':' pats | 'ref'? 'mut'? id ) ;
 """
+
+
+def _without_struct_literals(text: str) -> str:
+    """The rules of expressions once more, for the heads of ``if``, ``while``, ``for`` and ``match``."""
+    names = "expr set span or and compared bits unary primary plain".split()
+    rules = {r.split(" = ", 1)[0].strip(): r.split(" = ", 1)[1] for r in text.split(" ;\n") if " = " in r}
+    rules["primary"] = "plain"
+    out = ["head = head_expr"]
+    for name in names:
+        body = " ".join(f"head_{w}" if w in names else f"head_{w[:-1]}{w[-1]}" if w[:-1] in names and w[-1] in "*+?" else w for w in rules[name].split())
+        out.append(f"head_{name} = {body}")
+    return text + " ;\n".join(out) + " ;\n"
+
+
+RUST = _without_struct_literals(RUST)

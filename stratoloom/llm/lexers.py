@@ -34,6 +34,22 @@ class _Kinds(dict):
         return k
 
 
+# How literals are written, beyond what the lexers' pieces say.
+#: A number that begins with 0 is octal: no 8 or 9 in it.
+WRONG_OCTAL = re.compile(r"0[\d_]*[89][\d_]*[lL]?")
+#: Underscores stand between digits, and a prefix has digits behind it.
+WRONG_DIGITS = re.compile(r"0[xXbBoO][lLn]?|.*_(?:[lLfFdDn]|\.|)|.*\._.*", re.S)
+GO_STRING = re.compile(r"\"(?:[^\\]|\\(?:[abfnrtv\\\"]|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}))*\"", re.S)
+RUST_STRING = re.compile(r"[bc]?\"(?:[^\\]|\\(?:[nrt\\0'\"\n\r]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))*\"", re.S)
+JS_STRING = re.compile(r"(?:[^\\]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|u\{[\da-fA-F]{1,8}\}|0(?!\d)|[^xu\d]))*", re.S)
+JS_NUMBER = re.compile(
+    r"0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|(?:0|[1-9](?:_?\d)*)n"
+    r"|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?"
+)
+PYTHON_STRING = re.compile(r"(?:[^\\]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U00(?:0[\da-fA-F]|10)[\da-fA-F]{4}|N\{[^{}]+\}|[^xuUN]))*", re.S)
+PYTHON_BYTES = re.compile(r"(?:[^\\]|\\(?:x[\da-fA-F]{2}|[^x]))*", re.S)
+
+
 class Language:
     """A language: ``valid(text)`` says whether any of its dialects derives the text."""
 
@@ -128,11 +144,11 @@ class Go(Language):
         if s.startswith("/*") and len(s) > 3:
             return BREAK if "\n" in s else SPACE
         if c in "\"`" and len(s) > 1:
-            return self.k("STR")
+            return BAD if c == '"' and "\\" in s and not GO_STRING.fullmatch(s) else self.k("STR")
         if c == "'" and len(s) > 1:
             return self.k("CHAR")
         if c.isdigit() or c == "." and len(s) > 1 and s[1].isdigit():
-            return self.k("NUM")
+            return BAD if WRONG_OCTAL.fullmatch(s) or "__" in s or WRONG_DIGITS.fullmatch(s) else self.k("NUM")
         if s in ("&^=", "<<=", ">>=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="):
             return self.k("ASSIGN")
         if s in ("&^", "<<", ">>", "&&", "||", "==", "!=", "<=", ">=", "/", "%", "<", ">"):
@@ -141,7 +157,7 @@ class Go(Language):
 
     def tokens(self, text: str):
         kinds = [k for k in map(self.kinds.__getitem__, self.find(text.removeprefix("\ufeff"))) if k != SPACE]
-        if BAD in kinds:
+        if BAD in kinds or "\0" in text:
             return None
         out, last, ends, semicolon = [], 0, self.ends, self.k(";")
         for k in kinds:
@@ -182,7 +198,7 @@ class Java(Language):
         if c == "'" and len(s) > 1:
             return self.k("CHAR")
         if c.isdigit() or c == "." and s[1:2].isdigit():
-            return self.k("NUM")
+            return BAD if WRONG_OCTAL.fullmatch(s) or WRONG_DIGITS.fullmatch(s) else self.k("NUM")
         if s in ("<<=", "+=", "-=", "*=", "/=", "&=", "|=", "^=", "%="):
             return self.k("ASSIGN")
         if s in ("&&", "||", "==", "!=", "<=", "<<", "/", "%", "^"):
@@ -204,13 +220,13 @@ class JavaScript(Language):
         r"\A#![^\n]*|[ \t\f\v\xa0\ufeff]+|[\r\n\u2028\u2029]\s*|//[^\n\r\u2028\u2029]*|/\*.*?\*/"
         rf"|{_before}(?:\s|//[^\n]*\n|/\*.*?\*/)*+{_regex}|\A{_regex}"
         r"|[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*|\#\$[\w$]*|(?:\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})[\w$]*"
-        r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?"
+        r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?"
         rf"|{_str}|`{_chars}`"
         r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
         r"|[-+*/%&|^<>=!~?:;,.()\[\]{}@]|."
     )
     _ops = frozenset(
-        "&& || ?? == != === !== <= >= < > << >> >>> & | ^ / % **".split()
+        "== != === !== <= >= < > << >> >>> & | ^ / %".split()
     )
     _assigns = frozenset("+= -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??=".split())
 
@@ -231,7 +247,7 @@ class JavaScript(Language):
         if s.startswith("/*") and len(s) > 3:
             return BREAK if "\n" in s else SPACE
         if c in "\"'" and len(s) > 1:
-            return self.k("STR")
+            return BAD if "\\" in s and not JS_STRING.fullmatch(s) else self.k("STR")
         if c == "`" and len(s) > 1:
             return self.k("TEMPLATE")
         if s in self._ops:
@@ -241,15 +257,87 @@ class JavaScript(Language):
         if s.startswith("#!"):
             return self.k("HASHBANG")
         if c == "/" and len(s) > 2:
-            return self.k("REGEX")
+            return self._regex_kind(s)
         if len(s) > 2 and (m := self.split_regex.match(s)) and m[1] != s:
-            return (self.kinds[m[1]], self.k("REGEX"))
+            regex = self._regex_kind(m[2])
+            return BAD if regex == BAD else (self.kinds[m[1]], regex)
         if c.isdigit() or c == "." and s[1:2].isdigit():
-            return self.k("NUM")
+            return self.k("NUM") if JS_NUMBER.fullmatch(s) else BAD
         if c == "#":
             return self.k("PRIVATE") if len(s) > 1 else BAD
         return self.k("IDENT") if c in "\\$" and len(s) > 1 or c == "$" or s.replace("$", "_").isidentifier() else BAD
 
+    def _regex_kind(self, s: str) -> int:
+        flags = s[s.rindex("/") + 1 :]
+        fine = set(flags) <= set("dgimsuvy") and len(set(flags)) == len(flags) and not {"u", "v"} <= set(flags)
+        return self.k("REGEX") if fine else BAD
+
+    def valid(self, text: str) -> bool:
+        kinds = self.tokens(text)
+        return kinds is not None and self.grammar.accepts(kinds, list(self.dialects), True) and self._placed(kinds)
+
+    def _placed(self, kinds: list[int]) -> bool:
+        """Whether ``return``, ``break``, ``continue`` and ``await`` stand where their functions and loops allow them.
+
+        Runs over the tokens of a derived text.  A brace opens a function's body behind an arrow, or
+        behind a parenthesis that no statement word precedes; every body has its own loops.
+        """
+        mask, k = NEWLINE_FLAG - 1, self.grammar.kind
+        words = [k[w] for w in ("return", "break", "continue", "await")]
+        plain = [x & mask for x in kinds]
+        if not set(words).intersection(plain):
+            return True
+        ret, brk, cont, wait = words
+        heads = {k[w] for w in ("if", "while", "for", "switch", "catch", "with")}
+        loops, switch, names = {k["for"], k["while"], k["do"]}, k["switch"], {k["."], k["?."]}
+        colon, asynchronous, as_, arrow, identifier = k[":"], k["async"], k["as"], k["=>"], k["IDENT"]
+        # a frame: its closing bracket, whether it is within a function, whether that may be asynchronous, and whether a loop and a switch came before
+        frames = [[-1, False, True, False, False]]
+        opened: list[int] = []
+        paren = -1  # where the last closed parenthesis was opened
+        watched = {*words, *loops, switch, asynchronous}
+        # only brackets and these words need a step
+        for i in [i for i, x in enumerate(plain) if x < 7 or x in watched]:
+            t = plain[i]
+            if t < 3:
+                f = frames[-1]
+                body = sync = False
+                if t == 2 and i:
+                    before = plain[i - 1]
+                    if before == arrow:
+                        j = paren if plain[i - 2] == 4 else i - 2
+                        body, sync = True, plain[j - 1] != asynchronous
+                    elif before == 4 and paren and plain[paren - 1] not in heads and not (plain[paren - 1] == wait and paren > 1 and plain[paren - 2] == k["for"]):
+                        body, sync = True, plain[paren - 1] != 5 and asynchronous not in plain[max(0, paren - 4) : paren]
+                    elif before == k["static"]:
+                        body = True
+                opened.append(i)
+                frames.append([t + 4, True, not sync, False, False] if body else [t + 4, *f[1:]])
+            elif 4 <= t < 7:
+                if len(frames) > 1:
+                    frames.pop()
+                    at = opened.pop()
+                    paren = at if t == 4 else paren
+            elif t in loops:
+                frames[-1][3] = True
+            elif t == switch:
+                frames[-1][4] = True
+            elif t == asynchronous:
+                frames[-1][2] = True
+            elif t in words:
+                after = plain[i + 1] if i + 1 < len(plain) else -1
+                if i and plain[i - 1] in names or after in (colon, as_) or (after == 0 and len(frames) > 1):
+                    continue  # a name of a property or a method
+                if i and plain[i - 1] == as_:
+                    continue
+                _, function, asy, loop, sw = frames[-1]
+                labelled = after == identifier and not kinds[i + 1] & NEWLINE_FLAG
+                if t == ret and not function or t == wait and not asy:
+                    return False
+                if t in (brk, cont) and not labelled and not loop and not (sw and t == brk):
+                    return False
+        return True
+
     def tokens(self, text: str):
         pieces = self._templates(text) if "`" in text and "${" in text else map(self.kinds.__getitem__, self.plain(text))
         return None if pieces is None else self._marked(pieces)
@@ -341,7 +429,7 @@ class Python(Language):
     terminator = "NL"
     _pre = r"(?:[rRbBuUfFtT]|[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF])?"
     #: A replacement field of an f-string may hold the quotes that enclose it.
-    _field_text = r"\{(?:[^{}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{[^{}\n]*\})*+\}"
+    _field_text = r"\{(?:[^{}'\"]|'[^'\n]*'|\"[^\"\n]*\"|\{[^{}\n]*\})*+\}"
     pattern = (
         rf"[ \t\f]+|\#[^\n\r]*|\\\r?\n|\r?\n[ \t\f]*|\r[ \t\f]*"
         rf"|[fF][rR]?'(?!'')(?:[^'\\\n{{]|\\.|\{{\{{|{_field_text})*+'|[fF][rR]?\"(?!\"\")(?:[^\"\\\n{{]|\\.|\{{\{{|{_field_text})*+\""
@@ -364,6 +452,8 @@ class Python(Language):
                 return BAD
             if "b" in prefix and not s.isascii():
                 return BAD
+            if "r" not in prefix and "\\" in s and not (PYTHON_BYTES if "b" in prefix else PYTHON_STRING).fullmatch(s):
+                return BAD
             return self.k("STR")
         if c.isdigit() or c == "." and s[1:2].isdigit():
             if len(s) > 1 and c == "0" and s.isdigit() and s.strip("0"):
@@ -439,6 +529,8 @@ class Python(Language):
         return j + 1 if body[j : j + 1] == "}" else -1
 
     def tokens(self, text: str):
+        if "\0" in text:
+            return None
         text = text.removeprefix("\ufeff")
         out: list[int] = []
         add = out.append
@@ -515,14 +607,18 @@ class Rust(Language):
         if c.isspace() or s.startswith("//") or s.startswith("/*") and len(s) > 3 or s.startswith("#!"):
             return SPACE
         if s[-1] == '"' and len(s) > 1 or s[-1] == "#" and s[0] in "rbc" and len(s) > 2:
-            return self.k("STR")
+            return BAD if "\\" in s and "r" not in s[: s.index('"')] and not RUST_STRING.fullmatch(s) else self.k("STR")
         if s[-1] == "'" and len(s) > 1:
             return self.k("CHAR")
         if c == "'":
             return self.k("LIFETIME") if len(s) > 1 else BAD
         if c.isdigit():
             return self.k("NUM")
-        if s in ("==", "!=", "<=", "<<", "/", "%", "^", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="):
+        if s in ("==", "!=", "<="):
+            return self.k("CMP")
+        if s in ("+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="):
+            return self.k("ASSIGN")
+        if s in ("<<", "/", "%", "^"):
             return self.k("OP")
         if s in "$~" or s == "@":
             return self.extra

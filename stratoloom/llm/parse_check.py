@@ -6,8 +6,7 @@ together; a file that every dialect refuses is flagged.
 
 from __future__ import annotations
 
-import ast
-import warnings
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,13 +17,15 @@ from ..session import map_frames
 from .lexers import LANGUAGES, language
 
 
+#: Verdicts a Python worker keeps, so that of copies only one is parsed.
+_KEPT = 200_000
+_verdicts: dict[tuple, bool] = {}
+
+
 def refused(text: str | None, lang: str | None) -> bool:
     """Whether no dialect of the language derives the text.
 
     Null texts, unknown or null languages are not refused; a blank text is valid except as JSON.
-    For Python the interpreter's own parser confirms both verdicts (it knows assignment targets and
-    the order of parameters, which the grammar leaves open), where that can read the text at all;
-    recursion too deep for the recogniser counts as accepted.
     """
     lang_ = language(lang)
     if text is None or lang_ is None:
@@ -32,21 +33,13 @@ def refused(text: str | None, lang: str | None) -> bool:
     name = lang.strip().lower()
     if name != "json" and not text.strip():
         return False
-    try:
-        accepted = lang_.valid(text)
-    except RecursionError:
-        accepted = True
-    if name == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return False
-        except (SyntaxError, ValueError):
-            return True
-        except (RecursionError, MemoryError):
-            return not accepted
-    return not accepted
+    key = (name, len(text), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+    verdict = _verdicts.get(key)
+    if verdict is None:
+        if len(_verdicts) >= _KEPT:
+            _verdicts.clear()
+        verdict = _verdicts[key] = not lang_.valid(text)
+    return verdict
 
 
 def flag_unparsable(files: DataFrame, content: str = "content", lang: str = "language", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -70,7 +70,7 @@ def test_python_agrees_with_the_interpreter_on_its_own_library():
         try:
             ast.parse(text)
             ok = True
-        except SyntaxError:
+        except (SyntaxError, ValueError):
             ok = False
         assert lang.valid(text) == ok, p
         n += 1
@@ -132,3 +132,51 @@ def test_what_is_no_assignment_target_is_refused():
         "let [{ a = 1, b: [c] = [] }, ...d] = e", "f = ({ a = 1 }, [b]) => ({ a, b })", "a ? b = 1 : c => d", "a && (b = c); (a?.b).c; new.target.x; new A().b = 1; a = b ||= yield_", "x = await a.b++", "this.#a ??= async b => c", "`a`.b = super.c = import.meta.d = 1",
     ]:
         assert not refused(text, "javascript"), text
+
+
+REFUSED = {
+    "javascript": [
+        "1 = 2;", "f() = 1;", "a?.b = 1;", "const x;", "let {a};", "var x = 010;", "-1 ** 2;", "await_ = -a ** b", "a ?? b || c;", "a && b ?? c", "({a=1});", "return 5;", "break;", "continue", "if (a) { return 1 }", "function f() { await x }",
+        "async function f() { for await (a in b) ; }", "x = /a/gg", "x = /a/q", "x = /a/uv", "'\\x1'", "'\\u{}'", "x = 1_", "x = 1__0", "function f() { break }", "while (a) { function g() { break } }", "a + #b", "x = 09", "'\\07'", "const f = () => { continue }",
+    ],
+    "java": ["class A { void f() { 1 + 1; } }", "class A { void f() { a.b; } }", "class A { int x = 09; }", "class A { void f() { f() = 1; } }", "class A { void f() { this = 1; } }", "class A { void f() { x + y = 1; } }", "class A { int x = 1_; }", "class A { int x = a ? b : c = d; }", "class A { void f() { (a)++ ++; } }"],
+    "go": ["package a\nvar x = 08\n", "package a\nfunc f() { go x }\n", "package a\nfunc f() { defer 1 }\n", "package a\nfunc f() { 1 := 2 }\n", "package a\nfunc f() { x, y++ }\n", "package a\nfunc f(a int, string) {}\n", "package a\nvar x = \"\\q\"\n", "package a\nfunc f() { a.b, c := 1, 2 }\n", "package a\nvar x = 0x\n", "package a\nfunc f() { for 1 := range x {} }\n", "package a\nvar x = 1\0\n"],
+    "rust": ["fn f() { a < b < c; }", "fn f() { a == b == c; }", "fn f() { g(\"\\q\"); }", "fn f() { if S { a: 1 } { } }", "fn f() { for x in S { a: 1 } { } }", "fn f() { a = b < c >= d; }"],
+    "python": [
+        "f(x) = 1\n", "a + b = c\n", "(a, 1) = b\n", "None = 1\n", "a, b += 1\n", "(a, b): int = c\n", "del f()\n", "del a + b\n", "for f() in x: pass\n", "with a as f(): pass\n", "def f(a=1, b): pass\n", "def f(*): pass\n", "def f(**a, b): pass\n",
+        "def f(a, /, b, /): pass\n", "def f(/, a): pass\n", "lambda a=1, b: a\n", "f(a=1, b)\n", "f(**a, b)\n", "f(**a, *b)\n", "try:\n  pass\nexcept A, e:\n  pass\n", "'\\x1'\n", "b'\\x'\n", "'\\u12'\n", "x = 1\0\n", "a = b += c\n", "[x for f() in y]\n", "x = 1 = 2\n", "1: int\n",
+    ],
+}
+ACCEPTED = {
+    "javascript": [
+        "function f() { return 1 }", "const f = () => { return 1 }", "class A { m() { return 1 } async n() { await x } get p() { return 1 } [q]() { return 2 } }", "while (a) { if (b) break; else continue }", "for (;;) break;", "switch (a) { case 1: break }", "l: { break l }", "await x",
+        "a = -(b ** c); d = (-e) ** f; g **= 2 ** -1", "a = (b ?? c) || d; e ?? f ?? g; h && i || j", "let a, b = 1; const {c} = d; for (const e of f) ; for (let g in h) ;", "x = {return: 1, break() { }, await: 2}; x.return(); y.break", "for await (const a of b) ;",
+        "'\\u{1F600}\\x41\\0\\n\\\n'", "x = 0b1_0 + 0xF_F + 1_000.5e-1_0 + 10n + .5", "if (#a in b) c()", "do { if (x) continue; } while (a)", "const g = async x => { await x }; h(async () => { await y })", "export function f(a) { for (const x of a) { if (x) { return x } } }", "function f() { return g(async x => await x) }", "if (a) { function g() { return 1 } }",
+    ],
+    "java": ["class A { void f() { a.b(); x = y; x += 1; i++; --j; new B(); a[0] = 1; this.x = 2; (y) = 3; a.new C(); f().x >>= 2; b >>>= 1; int z = 07; for (i = 0, j = 1; ; i++, f()) ; Runnable r = () -> x = 1; this.<T>g(); super.h(); } A() { this(1); } }", "class A { int x = 0x1_0 + 0_7 + 1_0; float f = 09.5f; Object o = (Runnable & X) () -> { }; int y = a ? b : c; int w = q = 2; }"],
+    "go": ["package a\nfunc f(a, b int, c ...string) {}\nfunc g(int, string) {}\nfunc h(a, b, c) {}\nfunc i(x map[string]int, y func(int) error) (z, w int) { go f(); defer func() {}(); x, y := 1, 2; x, y = y, x; for k, v := range m { _ = k }; for range n {}; a.b[0]++; c += 1; go a.b(c)(d); return }\nvar x = 07 + 0x1F + 0b1 + 08.5 + 09i\n"],
+    "rust": ["fn f() { a < b && c < d; (a < b) == c; if x == (S { a: 1 }) { } match a { S { b } => S { b: 2 }, }; let x = S { a: 1 } == y; while let Some(x) = a.b(|z| z.c) { } a += b; c = d = e; f(..3); g[1..]; for i in 0..n { } if a as usize < b { } \"\\u{1F600}\\x41\"; a <<= 1; b >>= 2; r\"\\q\"; x >= y; }"],
+    "python": [
+        "a = b, *c = d\n", "(a) = [b, (c.d, e[0])] = f\n", "a.b += 1\n", "(a): int = 1\n", "a[0]: int\n", "del (a, [b]), c.d,\n", "for a, *b in c: pass\n", "with a as (b, c), d as e[0]: pass\n", "def f(a, b=1, /, c=2, *d, e, f=3, **g): pass\n", "def f(*, a): pass\n", "def f(a, /): pass\n", "def f(a=1, /, b=2, *, c): pass\n",
+        "lambda a, b=1, *c, d, **e: a\n", "lambda *, a: a\n", "lambda: 0\n", "f(a, *b, c, d=1, *e, f=2, **g, h=3)\n", "f(x for x in y)\n", "f(*a, **b,)\n", "f().a = g()[0] = 1\n", "[x for x, in y for z[0] in x]\n", "'\\N{EM DASH}\\x41\\u1234'\nb'\\u'\n", "a = yield_ = 1\nx = (yield)\n", "f'{a\n}'\n", "*a, b = c\nprint(*a, sep='')\n", "a = b = yield\n".replace("yield", "c"),
+    ],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(REFUSED))
+def test_what_parsers_refuse_beyond_structure(lang):
+    for text in REFUSED[lang]:
+        assert refused(text, lang), text
+        if lang == "python":
+            with pytest.raises((SyntaxError, ValueError)):
+                ast.parse(text)
+    for text in ACCEPTED[lang]:
+        assert not refused(text, lang), text
+        if lang == "python":
+            ast.parse(text)
+
+
+def test_copies_are_parsed_once(monkeypatch):
+    lang, calls = language("go"), []
+    monkeypatch.setattr(type(lang), "valid", lambda self, text: calls.append(text) or True)
+    assert [refused("package only_here\n", "Go ") for _ in range(3)] == [False] * 3 and len(calls) == 1
