@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, Cuts, broadcast_if_small, measured_bytes
+from ..session import Cuts, broadcast_if_small
 
 #: Runs of letters and digits; all else parts words.
 WORD = r"[\p{L}\p{Nd}]+"
@@ -23,9 +23,18 @@ def words(text) -> F.Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _shingles(w: str, k: int) -> F.Column:
-    """Hashes of all runs of ``k`` words, in order (a hash may err; candidates are verified)."""
-    return F.when(F.size(w) >= k, F.expr(f"transform(sequence(1, size({w}) - {k - 1}), i -> xxhash64(slice({w}, i, {k})))")).otherwise(F.array().cast("array<bigint>"))
+#: The same in SQL, of a column ``_text``.
+_WORDS = "coalesce(regexp_extract_all(lower(_text), '" + WORD.replace("\\", "\\\\") + "', 0), cast(array() as array<string>))"
+
+
+def _shingles(w: str, k: int, least: int) -> str:
+    """SQL for the hashes of all runs of ``k`` words of an array, in order; none for fewer than ``least`` words.
+
+    Every word is hashed once, a run from the hashes of its words (a hash may err; candidates are
+    verified).  Arrays are bound to variables, or the planner would find them anew for every use.
+    """
+    run = ", ".join(f"get(h, i + {j})" for j in range(k))
+    return f"if(size({w}) >= {least}, transform(array(transform({w}, x -> xxhash64(x))), h -> transform(sequence(0, size(h) - {k}), i -> xxhash64({run})))[0], cast(array() as array<bigint>))"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 13, shingle: int = 5) -> DataFrame:
@@ -36,8 +45,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     Texts shorter than the window, empty or null share nothing.  Rows that repeat an id and text
     count once; a passage that occurs several times counts once per item window.
 
-    The corpus is read twice, each time in full and without moving it: once to count the items'
-    shingles over all documents, once to match; only counts and candidate positions are shuffled.
+    The corpus is read in full and without moving it: once to count the items' shingles over all
+    documents, once to find the places of prefix tokens, once for the words of the documents that
+    have such places; only counts, places and the words of these documents are shuffled.
     The item side is broadcast if its measured size allows, else joined by shuffle.
     """
     spark = docs.sparkSession
@@ -50,13 +60,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     )
     # the same window in several items or places is matched once
     wins = wins.withColumn("wid", F.xxhash64("win"))
-    passages = cuts.cut(wins.groupBy("wid", "win").agg(F.count("*").alias("uses")).withColumn("sh", _shingles("win", shingle)))
+    passages = cuts.cut(wins.groupBy("wid", "win").agg(F.count("*").alias("uses")).withColumn("sh", F.expr(_shingles("win", shingle, shingle))))
     owners = cuts.cut(wins.select("item_id", "at", "win").distinct())
     per_item = owners.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     tokens = passages.select(F.posexplode("sh").alias("off", "token"), "win")
 
-    d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("dw")).where(F.size("dw") >= window)
-    places = d.select("doc_id", "dw", F.posexplode(_shingles("dw", shingle)).alias("pos", "token"))
+    d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    # words are found once a pass; places carry no text, as it would be copied for each of them
+    found = d.select("doc_id", F.expr(f"transform(array({_WORDS}), w -> named_struct('n', size(w), 'sh', {_shingles('w', shingle, window)}))[0]").alias("p"))
+    places = found.select("doc_id", "p.n", F.posexplode("p.sh").alias("pos", "token"))
 
     vocabulary = broadcast_if_small(tokens.select("token").distinct())
     # counts over all documents, combined before the shuffle
@@ -66,13 +78,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     prefix = order.groupBy("win").agg(F.min(F.struct("df", "off", "token")).alias("p")).where("p.df > 0").select("win", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
     prefix = cuts.cut(prefix)
     start = F.col("pos") - F.col("off")
-    fits = (start >= 0) & (start + window <= F.size("dw"))
-    if measured_bytes(prefix) <= BROADCAST_BYTES:
-        matched = places.join(F.broadcast(prefix), "token").where(fits).select("doc_id", "dw", "win", start.alias("start"))
-    else:
-        # only places and tokens are shuffled, the words of a document once for its candidates
-        at = places.select("doc_id", "pos", "token").join(prefix, "token").select("doc_id", "win", start.alias("start")).where("start >= 0").distinct()
-        matched = at.join(d, "doc_id").where(F.col("start") + window <= F.size("dw"))
+    fits = (start >= 0) & (start + window <= F.col("n"))
+    at = cuts.cut(places.join(broadcast_if_small(prefix), "token").where(fits).select("doc_id", "win", start.alias("start")).distinct())
+    # only the words of documents with such places are found again, each text verified for itself
+    some = d.join(broadcast_if_small(at.select("doc_id").distinct()), "doc_id", "left_semi")
+    matched = some.select("doc_id", words(F.col("_text")).alias("dw")).join(broadcast_if_small(at), "doc_id")
     hits = matched.where(F.slice("dw", F.col("start") + 1, window) == F.col("win")).groupBy("doc_id", "win").agg(F.min("start").alias("first_word"))
     return (
         hits.join(broadcast_if_small(owners), "win")

@@ -46,8 +46,24 @@ def _mix(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def _balls(fp: np.ndarray, segments: int, width: int) -> np.ndarray:
+    """The cells of every fingerprint: for each segment and each place in it the hash of the other symbols."""
+    parts = fp.reshape(len(fp), segments, width).view(np.uint32).astype(np.uint64)
+    out = np.empty((len(fp), segments, width), dtype=np.uint64)
+    for p in range(width):
+        acc = np.broadcast_to(np.arange(segments, dtype=np.uint64) * np.uint64(width) + np.uint64(p), (len(fp), segments))
+        for q in range(width):
+            if q != p:
+                acc = _mix((acc ^ (parts[:, :, q] << np.uint64(20))).ravel(), np.array([q + 1], dtype=np.uint64))[0].reshape(len(fp), segments)
+        out[:, :, p] = acc
+    return out.reshape(len(fp), segments * width).view(np.int64)
+
+
 def fingerprints(sets: DataFrame, key: str, shingles: str, segments: int, width: int, seed: int = 7) -> DataFrame:
-    """``key`` and ``fp``, the fingerprint of ``segments * width`` symbols of 32 bits."""
+    """``key``, ``fp``, the fingerprint of ``segments * width`` symbols of 31 bits, and ``ball``, its cells in the tables.
+
+    A cell stands for a segment, a place in it, and the symbols of its other places.
+    """
     n = segments * width
     seeds = np.random.default_rng(seed).integers(1, 1 << 63, size=n, dtype=np.uint64)
 
@@ -60,10 +76,11 @@ def fingerprints(sets: DataFrame, key: str, shingles: str, segments: int, width:
                 for i in range(0, len(x), 4096):
                     best = np.minimum(best, _mix(x[i : i + 4096], seeds).min(axis=1))
                 out.append((best >> np.uint64(33)).astype(np.int32))
-            yield pd.DataFrame({key: b[key], "fp": out})
+            fp = np.stack(out) if out else np.zeros((0, n), np.int32)
+            yield pd.DataFrame({key: b[key], "fp": list(fp), "ball": list(_balls(fp, segments, width))})
 
     kind = sets.schema[key].dataType.simpleString()
-    return map_frames(sets.select(key, shingles), sketch, f"{key} {kind}, fp array<int>")
+    return map_frames(sets.select(key, shingles), sketch, f"{key} {kind}, fp array<int>, ball array<bigint>")
 
 
 def near_duplicates(
@@ -97,11 +114,7 @@ def near_duplicates(
     reps = cuts.cut(reps.join(fingerprints(reps, "class_id", "sh", segments, width), "class_id"))
 
     # the ball of radius 1 around every segment: the segment with one symbol left out, for each place
-    ball = F.expr(
-        f"flatten(transform(sequence(0, {segments - 1}), s -> transform(sequence(0, {width - 1}), p -> "
-        f"xxhash64(s, p, filter(slice(fp, s * {width} + 1, {width}), (x, i) -> i <> p)))))"
-    )
-    keys = reps.select("class_id", F.explode(ball).alias("cell"))
+    keys = reps.select("class_id", F.explode("ball").alias("cell"))
     # cells with a single class have no match; the count is combined before the shuffle
     full = keys.groupBy("cell").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("cell")
     keys = cuts.cut(keys.join(full, "cell"))
