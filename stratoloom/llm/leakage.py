@@ -63,26 +63,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     passages = cuts.cut(wins.groupBy("wid", "win").agg(F.count("*").alias("uses")).withColumn("sh", F.expr(_shingles("win", shingle, shingle))))
     owners = cuts.cut(wins.select("item_id", "at", "win").distinct())
     per_item = owners.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    tokens = passages.select(F.posexplode("sh").alias("off", "token"), "win")
+    tokens = passages.select(F.posexplode("sh").alias("off", "token"), "wid", "win")
 
     d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     # words are found once a pass; places carry no text, as it would be copied for each of them
     found = d.select("doc_id", F.expr(f"transform(array({_WORDS}), w -> named_struct('n', size(w), 'sh', {_shingles('w', shingle, window)}))[0]").alias("p"))
-    places = found.select("doc_id", "p.n", F.posexplode("p.sh").alias("pos", "token"))
+    # (the outer form, or the planner would find the shingles once more to drop texts without any)
+    places = found.select("doc_id", "p.n", F.posexplode_outer("p.sh").alias("pos", "token")).where("token is not null")
 
     vocabulary = broadcast_if_small(tokens.select("token").distinct())
     # counts over all documents, combined before the shuffle
     counts = places.select("token").join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("df"))
     order = tokens.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # a window whose rarest shingle occurs nowhere cannot occur
-    prefix = order.groupBy("win").agg(F.min(F.struct("df", "off", "token")).alias("p")).where("p.df > 0").select("win", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
+    prefix = order.groupBy("wid", "win").agg(F.min(F.struct("df", "off", "token")).alias("p")).where("p.df > 0").select("wid", "win", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
     prefix = cuts.cut(prefix)
     start = F.col("pos") - F.col("off")
     fits = (start >= 0) & (start + window <= F.col("n"))
-    at = cuts.cut(places.join(broadcast_if_small(prefix), "token").where(fits).select("doc_id", "win", start.alias("start")).distinct())
+    at = cuts.cut(places.join(broadcast_if_small(prefix.select("wid", "token", "off")), "token").where(fits).select("doc_id", "wid", start.alias("start")).distinct())
     # only the words of documents with such places are found again, each text verified for itself
     some = d.join(broadcast_if_small(at.select("doc_id").distinct()), "doc_id", "left_semi")
-    matched = some.select("doc_id", words(F.col("_text")).alias("dw")).join(broadcast_if_small(at), "doc_id")
+    matched = some.select("doc_id", words(F.col("_text")).alias("dw")).join(broadcast_if_small(at), "doc_id").join(broadcast_if_small(prefix.select("wid", "win")), "wid")
     hits = matched.where(F.slice("dw", F.col("start") + 1, window) == F.col("win")).groupBy("doc_id", "win").agg(F.min("start").alias("first_word"))
     return (
         hits.join(broadcast_if_small(owners), "win")

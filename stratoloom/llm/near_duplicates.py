@@ -28,12 +28,14 @@ CODE_WORD = r"[a-z0-9_]+"
 def _shingle_hashes(text: str, word: str, k: int) -> F.Column:
     """Distinct hashes of the runs of ``k`` words of a text column, sorted; null for fewer words.
 
-    The words are bound to a variable, or the planner would find them anew for every run.
+    Every word is hashed once, a run from the hashes of its words; both are bound to variables, or
+    the planner would find the words anew for every run.
     """
     pattern = word.replace("\\", "\\\\").replace("'", "\\'")
+    run = ", ".join(f"get(h, i + {j})" for j in range(k))
     return F.expr(
-        f"transform(array(regexp_extract_all(lower({text}), '{pattern}', 0)), "
-        f"w -> if(size(w) >= {k}, array_sort(array_distinct(transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))))), null))[0]"
+        f"transform(array(transform(regexp_extract_all(lower({text}), '{pattern}', 0), x -> xxhash64(x))), "
+        f"h -> if(size(h) >= {k}, array_sort(array_distinct(transform(sequence(0, size(h) - {k}), i -> xxhash64({run})))), null))[0]"
     )
 
 
