@@ -45,9 +45,63 @@ class Forest:
             level = nxt
         return level.reshape(self.trees * self.leaves, len(x)).T
 
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """For rows x the leaf of every tree in which they lie: rows x trees, numbered over all trees."""
+        out = np.empty((len(x), self.trees), dtype=np.int64)
+        for t in range(self.trees):
+            at = np.zeros(len(x), dtype=np.int64)
+            for d in range(self.depth):
+                node = (1 << d) - 1 + at
+                at = 2 * at + (np.einsum("rd,rd->r", x, self.normals[t, node]) > self.offsets[t, node])
+            out[:, t] = at + t * self.leaves
+        return out
+
+    def opened(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """For rows x the ``visits`` leaves that the queue over all trees opens first: rows x visits.
+
+        Few leaves are scored all at once; where there are many, every row keeps a queue of its own
+        (a row of arrays) and only the nodes on the way to its leaves are looked at.  Both open the
+        same leaves, up to ties.
+        """
+        k = min(visits, self.trees * self.leaves)
+        if self.trees * self.leaves <= 2048:
+            return np.argpartition(-self.leaf_priorities(x), k - 1, axis=1)[:, :k]
+        n = len(x)
+        rows = np.arange(n)
+        prio = np.full((n, self.trees + 64), -np.inf, dtype=np.float32)
+        node = np.zeros(prio.shape, dtype=np.int64)  # (tree << 32 | depth << 26) + place within the level
+        prio[:, : self.trees] = np.inf
+        node[:, : self.trees] = np.arange(self.trees) << 32
+        out, found = np.full((n, k), -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        free = self.trees
+        live = rows
+        while len(live):
+            if free == prio.shape[1]:
+                prio = np.concatenate([prio, np.full((n, 64), -np.inf, dtype=np.float32)], axis=1)
+                node = np.concatenate([node, np.zeros((n, 64), dtype=np.int64)], axis=1)
+            best = prio[live, :free].argmax(axis=1)
+            p, code = prio[live, best], node[live, best]
+            tree, depth, place = code >> 32, code >> 26 & 63, code & (1 << 26) - 1
+            leaf = depth == self.depth
+            hit = live[leaf]
+            out[hit, found[hit]] = tree[leaf] * self.leaves + place[leaf]
+            found[hit] += 1
+            prio[hit, best[leaf]] = -np.inf
+            go = live[~leaf]
+            tree, depth, place, p = tree[~leaf], depth[~leaf], place[~leaf], p[~leaf]
+            inner = (1 << depth) - 1 + place
+            s = np.einsum("rd,rd->r", x[go], self.normals[tree, inner]) - self.offsets[tree, inner]
+            below = (tree << 32) + (depth + 1 << 26) + 2 * place
+            prio[go, best[~leaf]], node[go, best[~leaf]] = np.minimum(p, -s), below
+            prio[go, free], node[go, free] = np.minimum(p, s), below + 1
+            free += 1
+            live = live[found[live] < k]
+        return out
+
     def search(self, x: np.ndarray, visits: int) -> list[int]:
         """The first ``visits`` leaves that the queue opens for one row."""
         m = self.margins(x[None, :])[:, :, 0] if self.depth else None
+        # the least margin on the way so far, negated, as the queue gives its smallest first
         queue = [(-np.inf, t, 0, 0) for t in range(self.trees)]
         heapq.heapify(queue)
         out: list[int] = []

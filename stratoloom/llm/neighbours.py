@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..session import Cuts, few_or_raise, map_frames, ship
 from .forest import Forest, fit_forest
 
-#: The forest is fitted on at most about this many vectors; all vectors are indexed.
+#: The forest is fitted on about this many vectors, or on as many as its leaves need, up to the second number; all vectors are indexed.
 SAMPLE_ROWS = 32_768
+MOST_SAMPLE_ROWS = 262_144
+#: A leaf's place and size follow from at least so many rows of the sample.
+SAMPLE_PER_LEAF = 16
 _BLOCK_ROWS = 4096
 
 
@@ -37,36 +40,40 @@ def unit_matrix(vectors) -> np.ndarray:
 
 
 def vector_sample(vectors: DataFrame, most: int, n: int) -> np.ndarray:
-    """About ``most`` of the ``n`` unit vectors, chosen by a hash of the id (all, if there are fewer)."""
+    """About ``most`` of the ``n`` unit vectors, chosen by a hash of the id (all, if there are fewer).
+
+    They reach the driver as bytes of single precision.
+    """
     if n > most:
         vectors = vectors.where(F.expr(f"pmod(xxhash64(id, 11), {n}) < {most}"))
-    rows = few_or_raise(vectors.select("id", "vec"), 2 * most + 1000, "vector sample")
-    return unit_matrix([r.vec for r in sorted(rows, key=lambda r: r.id)]).astype(np.float32)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "v": [v.tobytes() for v in unit_matrix(b["vec"]).astype(np.float32)]})
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    rows = few_or_raise(map_frames(vectors.select("id", "vec"), pack, f"id {kind}, v binary"), 2 * most + 1000, "vector sample")
+    rows.sort(key=lambda r: r.id)
+    return np.frombuffer(b"".join(r.v for r in rows), dtype=np.float32).reshape(len(rows), -1).copy() if rows else np.zeros((0, 1), np.float32)
 
 
 def _route(forest: Forest, blocks: np.ndarray, visits: int):
     """A function that sends every vector to the leaves it is indexed in (role 0), searches (1), or both (2)."""
-    own = np.arange(forest.trees)
-
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = unit_matrix(b["vec"])
-            prio = forest.leaf_priorities(x.astype(np.float32))
-            by_tree = prio.reshape(len(x), forest.trees, forest.leaves)
-            home = by_tree.argmax(axis=2) + own * forest.leaves
-            ids = b["id"].to_numpy()
-            k = min(visits, prio.shape[1])
-            best = np.argpartition(-prio, k - 1, axis=1)[:, :k]
+            home = forest.homes(x.astype(np.float32))
             rows = np.arange(len(x))
-            opened = np.zeros(prio.shape, bool)
-            opened[rows[:, None], best] = True
-            opened[rows[:, None], home] = False
+            other_row, other_leaf = np.repeat(rows, min(visits, forest.trees * forest.leaves)), forest.opened(x.astype(np.float32), visits).ravel()
+            away_from_home = (other_leaf[:, None] != home[other_row]).all(axis=1)
+            other_row, other_leaf = other_row[away_from_home], other_leaf[away_from_home]
+            ids = b["id"].to_numpy()
             # a leaf of many rows is searched in blocks of its rows by blocks of its queries; a vector is in
             # one block of either kind, the same, in the leaves it is indexed in
             home_row, home_leaf = np.repeat(rows, forest.trees), home.ravel()
-            other_row, other_leaf = np.nonzero(opened)
 
             def spread(row, leaf):
                 times = blocks[leaf]
@@ -117,7 +124,7 @@ def _leaf_neighbours(k: int):
     return search
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows: int = 1024, visits: int = 12, sample_rows: int = SAMPLE_ROWS, seed: int = 3, block_rows: int = _BLOCK_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows: int = 2048, visits: int = 12, sample_rows: int = SAMPLE_ROWS, seed: int = 3, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """The ``k`` most similar other vectors of every vector: ``id, neighbour, cosine, rank``.
 
     ``vectors`` is the result of :func:`usable_vectors`.  Rank 1 is the most similar, ties go to the
@@ -125,7 +132,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows
     third of all rows may be copies of one vector; each then has its first copies as neighbours.
     A table of one vector gives no rows.
 
-    The forest is fitted on a sample of ``sample_rows``; every vector is indexed in one leaf of each
+    The depth of the trees follows the number of rows, so that leaves keep about ``leaf_rows``, and so
+    does the sample on which they are fitted, from ``sample_rows`` up to ``MOST_SAMPLE_ROWS``; every vector is indexed in one leaf of each
     tree and searched in ``visits`` leaves, those the priority queue over all trees opens first.
     Leaves that grow beyond ``block_rows`` are searched in blocks of rows by blocks of queries.  The result is approximate:
     measured recall stands in the README.
@@ -136,8 +144,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows
     first = keyed.groupBy("h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     base = cuts.cut(first.select("id", "vec", "copies", "h"))
     n = base.count()
-    depth = max(0, min(math.ceil(math.log2(max(1, n) / leaf_rows)), int(math.log2(max(1, sample_rows // 16)))))
-    forest = fit_forest(vector_sample(base, sample_rows, n), trees, depth, seed, tries=24)
+    depth = max(0, min(math.ceil(math.log2(max(1, n) / leaf_rows)), int(math.log2(max(sample_rows, MOST_SAMPLE_ROWS) // SAMPLE_PER_LEAF))))
+    sample = vector_sample(base, max(sample_rows, SAMPLE_PER_LEAF << depth), n)
+    forest = fit_forest(sample, trees, depth, seed, tries=24)
     # how many blocks a leaf has follows from its share of the sample
     blocks = np.maximum(1, np.ceil(forest.leaf_share.reshape(-1) * n / block_rows)).astype(int)
     routed = map_frames(base.select("id", "vec"), _route(forest, blocks, visits), "leaf int, block int, qblock int, role byte, id long, v binary")

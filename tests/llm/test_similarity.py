@@ -124,3 +124,35 @@ def test_queue_and_table_open_the_same_leaves():
     for r in range(20):
         opened = f.search(x[r], 9)
         assert sorted(np.round(prio[r][opened], 5).tolist()) == sorted(np.round(np.sort(prio[r])[::-1][:9], 5).tolist())
+
+
+def test_deep_forests_open_the_leaves_of_the_queue():
+    from stratoloom.llm.forest import fit_forest
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((9000, 12)).astype(np.float32)
+    f = fit_forest(x, 3, 10, 1)
+    q = x[:300]
+    prio = f.leaf_priorities(q)
+    got = f.opened(q, 12)
+    # the same priorities; leaves whose least margin is that of one node they share may take each other's place
+    best = np.sort(prio, axis=1)[:, -12:]
+    assert np.allclose(np.sort(np.take_along_axis(prio, got, 1), axis=1), best) and all(len(set(r)) == 12 for r in got.tolist())
+    assert (f.homes(q) == prio.reshape(300, 3, f.leaves).argmax(axis=2) + np.arange(3) * f.leaves).all()
+
+
+def test_recall_at_two_sizes(spark):
+    rng = np.random.default_rng(8)
+    for n in (3000, 24000):
+        centres = rng.standard_normal((n // 100, 16))
+        x = np.repeat(centres, 100, axis=0) + 0.45 * rng.standard_normal((n, 16))
+        v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vec array<float>")
+        got = {}
+        for r in nearest_neighbours(v, leaf_rows=512).where("id % 100 = 0").collect():
+            got.setdefault(r.id, set()).add(r.neighbour)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u[::100] @ u.T
+        s[np.arange(len(s)), np.arange(0, n, 100)] = -2
+        best = np.argsort(-s, axis=1)[:, :3]
+        recall = np.mean([len(got[100 * i] & set(b.tolist())) / 3 for i, b in enumerate(best)])
+        assert recall >= 0.95, (n, recall)
