@@ -3,8 +3,10 @@
 A text is first parted into units (paragraphs, list lines, headings).  Gaps within quotations and
 brackets cannot end the sentence that holds them.
 
-Spaced scripts: rules decide every run of terminators by the word before it (abbreviation, initial,
-number) and the word after it (case, kind).  Spaceless scripts: the text on both sides of a gap is
+Spaced scripts: the gaps behind the terminators of a unit are a lattice with two ways through each,
+ending there and going on.  The word before a gap (abbreviation, initial, number) and the opening word
+behind it (case, kind, words that begin sentences) are the costs of the two, a piece that holds no word
+costs as well, and the cheapest path is taken.  Spaceless scripts: the text on both sides of a gap is
 segmented by the cheapest path through a lattice of dictionary words; the terminator, the particle
 before the gap and the opening word behind it give the costs of ending there and of going on, and the
 cheaper way is taken.  Thai: a space ends a sentence.
@@ -30,6 +32,14 @@ BEFORE_NAME = frozenset(
 #: May also stand at the end of a sentence: a capital or quotation behind them ends it.
 MAY_END = frozenset("etc inc ltd corp co usw jr a.m p.m u.s u.k ee.uu al".split())
 
+#: Of these, those that mostly stand before a name: only a word that opens sentences ends one there.
+OF_A_NAME = frozenset("u.s u.k ee.uu jr".split())
+#: Words that open sentences and begin no name, lower case, of the spaced Latin scripts.
+OPENERS = frozenset(
+    "the this that these those it he she they we you there then but and so if when while after before because however in on at for as i"
+    " der die das dies es er sie wir ihr dann aber und wenn als nach doch hier le la les un une ce cette il elle nous vous ils puis mais et si quand après"
+    " el los las una este esta eso él ella nosotros ellos luego pero y cuando después".split()
+)
 #: Stand before a German ordinal number, which is written with a point.
 ORDINAL_BEFORE = frozenset("der die das dem den des am vom zum im ins ein eine einen einem einer bis seit ab und".split())
 TERMINATORS = ".!?…।॥؟。！？．"
@@ -181,39 +191,79 @@ def _last_word(s: str, i: int) -> str:
     return s[j:i]
 
 
-def _ends_spaced(s: str, at: int, stop: int, nxt: int) -> bool:
-    """Whether the terminators s[at:stop] end a sentence whose next visible character is at ``nxt``."""
+#: (ending, going on): certain ends, certain passages, and ends or passages unless something else speaks against them.
+ENDS, PASSES, MAY_END_HERE, MAY_PASS = (0.0, 6.0), (6.0, 0.0), (1.0, 2.0), (3.0, 0.0)
+#: What an opening word adds to going on, and a piece without a word to its end.
+OPENER_COST, NO_WORD_COST = 4.0, 2.5
+_OPENING_WORD = re.compile(r"[\"'“«„¿¡(\[‹]*([^\W\d_]+)")
+_TWO_LETTERS = re.compile(r"[^\W_]{2}|\d")
+
+
+def _gap_costs(s: str, at: int, stop: int, nxt: int) -> tuple[float, float]:
+    """What it costs to end a sentence at the terminators s[at:stop], and to go on to the visible character at ``nxt``."""
     run = s[at:stop]
     if run[-1] in "।॥؟" or run != "." and _DEVANAGARI.search(s[max(0, at - 12) : at]):
-        return True
+        return ENDS
     word = _last_word(s, at)
     first = s[nxt]
     opens = first in "¿¡“«„\"([‹" or first.isupper() or first.istitle() or first.isdigit() or first.isalpha() and first.lower() == first.upper()
     if run != ".":
         # several points, or a question or exclamation: a small letter behind them goes on
-        return opens and not (first.isdigit() and run[-1] in ".…")
+        return ENDS if opens and not (first.isdigit() and run[-1] in ".…") else PASSES
+    m = _OPENING_WORD.match(s, nxt)
+    opener = OPENER_COST if m and m[1].istitle() and m[1].lower() in OPENERS else 0.0
     stem = word.lower().rstrip(".")
     if stem in MAY_END:
-        return opens and not first.isdigit()
+        if not opens or first.isdigit():
+            return PASSES
+        end, on = MAY_PASS if stem in OF_A_NAME else MAY_END_HERE
+        return end, on + opener
     if stem in BEFORE_NAME:
-        return False
+        return PASSES
     if len(stem) == 1 and stem.isalpha() and word[:1].isupper():
-        return False
+        # an initial, unless a word that begins no name follows
+        return MAY_PASS[0], MAY_PASS[1] + (opener if m and len(m[1]) > 1 else 0.0)
     if stem.isdigit() and len(stem) <= 2:
         before = _last_word(s, len(s[: at - len(word)].rstrip()))
         if before.lower() in ORDINAL_BEFORE or not before and not opens:
-            return False  # an ordinal number
+            return PASSES  # an ordinal number
     if len(stem) == 1 and stem.isalpha() and _INITIAL.match(s, nxt):
-        return False  # the first half of an abbreviation in two parts
+        return PASSES  # the first half of an abbreviation in two parts
     if "." in stem and all(len(x) == 1 for x in stem.split(".")):
-        return False
-    return opens
+        return PASSES
+    return ENDS if opens else PASSES
+
+
+def _cheapest_ends(s: str, gaps: list[tuple[int, float, float]]) -> list[int]:
+    """The gaps (place, cost of ending, cost of going on) at which the cheapest path ends a sentence.
+
+    The state is the last end, as a piece without a word costs: the path of each is kept.
+    """
+    if all((e, o) in (ENDS, PASSES) for _, e, o in gaps):
+        return [p for p, e, o in gaps if e < o]
+    # by last end: cost and the ends before it
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for place, end, on in gaps:
+        cost, last = min((c + (0.0 if _TWO_LETTERS.search(s, a, place) else NO_WORD_COST), a) for a, (c, _) in best.items())
+        ended = (cost + end, (last, best[last][1]))
+        best = {a: (c + on, way) for a, (c, way) in best.items()}
+        best[place] = ended
+        # no piece of the future can make up for more than a piece without a word
+        least = min(c for c, _ in best.values())
+        best = {a: x for a, x in best.items() if x[0] <= least + NO_WORD_COST}
+    last = min(best, key=lambda a: (best[a][0], -a))
+    out, way = [], (last, best[last][1])
+    while way is not None:
+        if way[0]:
+            out.append(way[0])
+        way = way[1]
+    return out[::-1]
 
 
 def _split_spaced(s: str) -> list[int]:
     """Places just after the sentences that end within ``s``."""
     spans = quotations(s)
-    out, k = [], 0
+    gaps, k = [], 0
     for m in _GAP_SPACED.finditer(s):
         stop = m.end()
         while k < len(spans) and spans[k][1] < m.start():
@@ -237,9 +287,8 @@ def _split_spaced(s: str) -> list[int]:
         if nxt == len(s):
             break
         if end > stop or not inside:
-            if _ends_spaced(s, m.start(), stop, nxt):
-                out.append(end)
-    return out
+            gaps.append((end, *_gap_costs(s, m.start(), stop, nxt)))
+    return _cheapest_ends(s, gaps)
 
 
 def _split_cjk(s: str) -> list[int]:

@@ -102,3 +102,16 @@ def test_sentence_rows(spark):
     assert split_sentences(df.where("false")).count() == 0
     long = "Word one two. " * 50_000
     assert len(sentence_spans(long)) == 50_000
+
+
+def test_costs_decide_open_gaps_of_spaced_scripts():
+    from stratoloom.llm.sentences import sentence_spans
+
+    cut = lambda t: [t[a:b] for a, b in sentence_spans(t)]
+    # the same abbreviation before a name, before an opening word, and at the end
+    assert cut("The U.S. Army came. It left.") == ["The U.S. Army came.", "It left."]
+    assert cut("He lives in the U.S. The weather is fine.") == ["He lives in the U.S.", "The weather is fine."]
+    assert cut("See plan B. The next one is C. Smith wrote it.") == ["See plan B.", "The next one is C. Smith wrote it."]
+    assert cut("We use cats, dogs, etc. The rest is old. Deanwuk Inc. sold it.") == ["We use cats, dogs, etc.", "The rest is old.", "Deanwuk Inc. sold it."]
+    # a piece without a word is not worth an end of its own
+    assert cut("A. Then it came.") == ["A. Then it came."] and cut("Plan A. Then it came.") == ["Plan A.", "Then it came."]
