@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import map_frames
+from ..session import Cuts, map_frames
 
 #: Boundaries from the most to the least natural: after a line end, after a sentence end, after a space.
 _BOUNDARIES = (re.compile(r"\n"), re.compile(r"[.!?।](?:[\"'”»)\]]*)\s|[。！？](?:[」』”）]*)"), re.compile(r"\s"))
@@ -94,7 +94,7 @@ def split_oversized(chunks: DataFrame, limit: int = 4096, overlap: int = 200, ke
             for cid, fid, idx, text, line in b.itertuples(index=False):
                 points = split_points(text, limit, overlap)
                 sums = byte_offsets(text)
-                breaks = np.array([i for i, c in enumerate(text) if c == "\n"], dtype=np.int64)
+                breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 10)
                 # a line's bytes, without its line end
                 starts = np.concatenate([[0], breaks + 1])
                 ends = np.concatenate([breaks, [len(text)]])
@@ -115,20 +115,30 @@ def rechunk(chunks: DataFrame, limit: int = 4096, overlap: int = 200, block: int
     file keep their order (by old index, then id; a null index comes first).  Null contents stay
     as one chunk; of rows that share a chunk_id one counts; a null file_id is a file of its own.
 
-    The index is a prefix sum in two levels: within blocks of ``block`` old indices, and over the
-    blocks of a file, so that a file with a third of all chunks is no single task's work.
+    The index is a prefix sum in two levels: within blocks of ``block`` old indices (of ids where the
+    index is null), and over the blocks of a file, so that a file with a third of all chunks is no
+    single task's work.  Only keys are ranked; the contents stay where the chunks were gathered by id.
     """
+    cuts = Cuts(chunks.sparkSession, "rechunk")
     one = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct("file_id", "chunk_index", "content", "start_line", "end_line")).alias("r")).select("chunk_id", "r.*")
-    pieces = split_oversized(one, limit, overlap)
+    pieces = cuts.cut(split_oversized(one, limit, overlap).drop("long_lines"))
     small = one.where(F.coalesce(F.octet_length("content"), F.lit(0)) <= limit).select(
         "chunk_id", "file_id", F.col("chunk_index").alias("old_index"), F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "content", "start_line", "end_line"
     )
-    allp = small.unionByName(pieces.drop("long_lines")).withColumn("block", F.floor(F.coalesce("old_index", F.lit(-1)) / block))
-    sizes = allp.groupBy("file_id", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("file_id").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("file_id", "block").orderBy(F.col("old_index").asc_nulls_first(), "chunk_id", "piece")
-    ranked = allp.withColumn("rank", F.row_number().over(inside))
-    return ranked.join(offsets, ranked.file_id.eqNullSafe(offsets.f) & (ranked.block == offsets.b)).select(
-        "file_id", (F.col("offset") + F.col("rank") - 1).cast("int").alias("chunk_index"), "chunk_id", "piece", "content", "start_line", "end_line"
+    keys = ("chunk_id", "file_id", "old_index", "piece")
+    known = F.col("old_index").isNotNull()
+    narrow = cuts.cut(
+        small.select(*keys).unionByName(pieces.select(*keys)).withColumns({"late": known, "block": F.floor(F.when(known, F.col("old_index")).otherwise(F.col("chunk_id")) / block)})
     )
+    sizes = narrow.groupBy("file_id", "late", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file_id").orderBy("late", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("file_id").alias("f"), F.col("late").alias("l"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("file_id", "late", "block").orderBy("old_index", "chunk_id", "piece")
+    ranked = narrow.withColumn("rank", F.row_number().over(inside))
+    ranked = ranked.join(offsets, ranked.file_id.eqNullSafe(offsets.f) & (ranked.late == offsets.l) & (ranked.block == offsets.b)).select(
+        F.col("chunk_id").alias("id"), F.col("piece").alias("p"), (F.col("offset") + F.col("rank") - 1).cast("int").alias("chunk_index")
+    )
+    out = ("file_id", "chunk_index", "chunk_id", "piece", "content", "start_line", "end_line")
+    kept = small.join(ranked.where("p = 0"), F.col("chunk_id") == F.col("id"))
+    cut = pieces.join(ranked, (F.col("chunk_id") == F.col("id")) & (F.col("piece") == F.col("p")))
+    return kept.select(*out).unionByName(cut.select(*out))

@@ -19,6 +19,8 @@ MOST_SAMPLE_ROWS = 262_144
 #: A leaf's place and size follow from at least so many rows of the sample.
 SAMPLE_PER_LEAF = 16
 _BLOCK_ROWS = 4096
+#: About so much of the routed vectors is read by one task.
+TASK_BYTES = 16 << 20
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, dim: int = 64) -> DataFrame:
@@ -151,7 +153,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, trees: int = 4, leaf_rows
     blocks = np.maximum(1, np.ceil(forest.leaf_share.reshape(-1) * n / block_rows)).astype(int)
     routed = map_frames(base.select("id", "vec"), _route(forest, blocks, visits), "leaf int, block int, qblock int, role byte, id long, v binary")
     ship(spark)
-    found = routed.groupBy("leaf", "block", "qblock").applyInPandas(_leaf_neighbours(k), "q long, c long, cosine double")
+    # a task's share of what is routed stays the same, however many rows there are
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * (visits + trees) * (4 * len(sample[0]) + 32) / TASK_BYTES) if n else 1)
+    found = routed.repartition(tasks, "leaf", "block", "qblock").groupBy("leaf", "block", "qblock").applyInPandas(_leaf_neighbours(k), "q long, c long, cosine double")
     # at most visits * (k + 1) rows a vector come together here (times the blocks of a leaf)
     best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("s"), "c"))), 1, k)
     reps = cuts.cut(found.groupBy("q").agg(best.alias("best")).select("q", F.posexplode("best").alias("pos", "b")).select("q", F.col("b.c").alias("c"), (-F.col("b.s")).alias("cosine"), (F.col("pos") + 1).alias("rank")))
