@@ -88,9 +88,23 @@ def descendants(resolved: DataFrame) -> DataFrame:
 
 
 def with_descendant_counts(resolved: DataFrame) -> DataFrame:
-    """The resolved nodes with ``n_descendants`` (0 for leaves, null for nodes in or below a loop)."""
-    counts = descendants(resolved).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
-    return resolved.join(counts, "id", "left").withColumn("n_descendants", F.when(F.col("depth") >= 0, F.coalesce("n_descendants", F.lit(0))))
+    """The resolved nodes with ``n_descendants`` (0 for leaves, null for nodes in or below a loop).
+
+    By doubling, without a row per ancestor: how many nodes lie less than 2^(k+1) below a node is how
+    many lie less than 2^k below it, plus as many for each node exactly 2^k below.  The rounds grow
+    with the logarithm of the depth, and a round moves one row per node, combined before the shuffle.
+    """
+    cuts = Cuts(resolved.sparkSession, "descendants")
+    resolved = cuts.cut(resolved)
+    deepest = resolved.agg(F.max("depth")).first()[0] or 0
+    counts, step = resolved.where("depth >= 0").select("id", F.lit(1).cast("long").alias("n")), 1
+    while step <= deepest:
+        above = resolved.where(F.col("depth") >= step).select(F.col("id").alias("below"), F.element_at("path", -1 - step).alias("id"))
+        more = above.join(counts.select(F.col("id").alias("below"), "n"), "below").groupBy("id").agg(F.sum("n").alias("more"))
+        nxt = cuts.cut(counts.join(more, "id", "left").select("id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        cuts.drop(counts)
+        counts, step = nxt, 2 * step
+    return resolved.join(counts.select("id", (F.col("n") - 1).alias("n_descendants")), "id", "left")
 
 
 def check_stored_roots(items: DataFrame, resolved: DataFrame, id_col: str = "id", root_col: str = "root_id") -> DataFrame:
