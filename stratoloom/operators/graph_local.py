@@ -338,24 +338,65 @@ def centralities(nodes: np.ndarray, pairs: np.ndarray, alpha: float = 0.1, itera
     return zip(nodes.tolist(), close.tolist(), eig.tolist(), katz.tolist())
 
 
-def simple_cycles(nodes: np.ndarray, pairs: np.ndarray, most_length: int = 8, most: int = 10_000):
-    """(cycle, length): simple directed cycles as texts ``a>b>c`` from their smallest node, up to a length.
+def simple_cycles(nodes: np.ndarray, pairs: np.ndarray, most: int = 10_000):
+    """(cycle, length): all simple directed cycles as texts ``a>b>c`` from their smallest node.
 
-    Raises if a group has more than ``most``; cycles are many where graphs are dense.
+    For each smallest node only what lies on a cycle with it is searched, and a node is closed while no
+    way from it leads back, so the time follows the number of cycles.  Raises if a group has more than
+    ``most``; cycles are many where graphs are dense.
     """
-    adj = _neighbours(len(nodes), pairs, True)
+    n = len(nodes)
+    adj = _neighbours(n, pairs, True)
+    back: list[list[int]] = [[] for _ in range(n)]
+    for v, ws in enumerate(adj):
+        for w in ws:
+            back[w].append(v)
     out = [(str(nodes[a]), 1) for a in sorted({a for a, b in pairs.tolist() if a == b})]
-    for s in range(len(nodes)):
-        stack = [(s, [s])]
-        while stack:
-            v, path = stack.pop()
-            for w in adj[v]:
-                if w == s:
-                    out.append((">".join(str(nodes[i]) for i in path), len(path)))
-                    if len(out) > most:
-                        raise ValueError(f"more than {most} cycles")
-                elif w > s and w not in path and len(path) < most_length:
-                    stack.append((w, [*path, w]))
+
+    def reach(start: int, links: list[list[int]]) -> set[int]:
+        seen, todo = {start}, [start]
+        while todo:
+            for w in links[todo.pop()]:
+                if w > start and w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        return seen
+
+    for s in range(n):
+        inside = reach(s, adj) & reach(s, back)
+        if len(inside) < 2:
+            continue
+        path, closed, led_back = [s], {s}, [False]
+        waiting: dict[int, set[int]] = {}
+        ways = [iter([w for w in adj[s] if w in inside])]
+        while ways:
+            w = next(ways[-1], None)
+            if w == s:
+                out.append((">".join(str(nodes[i]) for i in path), len(path)))
+                led_back[-1] = True
+                if len(out) > most:
+                    raise ValueError(f"more than {most} cycles")
+            elif w is None:
+                ways.pop()
+                v, success = path.pop(), led_back.pop()
+                if success:
+                    todo = [v]
+                    while todo:
+                        u = todo.pop()
+                        if u in closed:
+                            closed.discard(u)
+                            todo += waiting.pop(u, ())
+                    if led_back:
+                        led_back[-1] = True
+                else:
+                    for x in adj[v]:
+                        if x in inside:
+                            waiting.setdefault(x, set()).add(v)
+            elif w not in closed:
+                path.append(w)
+                closed.add(w)
+                led_back.append(False)
+                ways.append(iter([x for x in adj[w] if x in inside]))
     return out
 
 

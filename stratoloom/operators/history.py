@@ -83,7 +83,8 @@ def cusum_change_points(series: DataFrame, key: str, at: str, value: str, least_
     """Upward change points of each key's series: ``key, change_at, peak, mean, sigma``.
 
     ``S = max(0, S + x - mean - drift * sigma)`` with sigma the population deviation, at least 0.5; a
-    key is reported if the greatest S passes ``threshold * sigma``, at the first place of that S.
+    key is reported if the greatest S passes ``threshold * sigma`` by more than rounding (a relative
+    1e-9, so that a tie is none), at the first place of that S.
     Series with fewer than ``least_points`` points are left out, and so are null times and values.
     The sum is folded over a sorted array inside the JVM; a key's series is one row.
     """
@@ -97,7 +98,7 @@ def cusum_change_points(series: DataFrame, key: str, at: str, value: str, least_
         f"'peak', greatest(acc.peak, greatest(0D, acc.s + p.x - mean - {drift} * sigma)), "
         f"'at', if(greatest(0D, acc.s + p.x - mean - {drift} * sigma) > acc.peak, p.t, acc.at)))"
     )
-    return s.withColumn("f", fold).where(F.col("f.peak") > threshold * F.col("sigma")).select(key, F.col("f.at").alias("change_at"), F.col("f.peak").alias("peak"), "mean", "sigma")
+    return s.withColumn("f", fold).where(F.col("f.peak") > threshold * F.col("sigma") * (1 + 1e-9)).select(key, F.col("f.at").alias("change_at"), F.col("f.peak").alias("peak"), "mean", "sigma")
 
 
 def linear_trend(series: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

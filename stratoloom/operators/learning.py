@@ -19,7 +19,7 @@ from ..session import few_or_raise, map_frames, ship
 #: Starting centres, cluster-number sweeps and forests are fitted on at most about this many rows.
 SAMPLE_ROWS = 20_000
 #: Groups beyond this raise in operators that need a distance matrix.
-MOST_GROUP_ROWS = 20_000
+MOST_GROUP_ROWS = 6_000
 
 
 def _stack(vs) -> np.ndarray:
@@ -366,32 +366,38 @@ def move_split_merge(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> float:
     return float(d[-1, -1])
 
 
-def series_neighbours(series: DataFrame, probes: list[tuple], id_col: str, values: str, k: int, cost: float = 0.1) -> DataFrame:
-    """The ``k`` nearest series of every probe (id, values): ``probe, id, distance``; ties go to the smaller id.
+def series_neighbours(series: DataFrame, probes: DataFrame, id_col: str, values: str, k: int, cost: float = 0.1, block: int = 2048, probe_block: int = 256) -> DataFrame:
+    """The ``k`` nearest series of every probe: ``probe, id, distance``; ties go to the smaller id.
 
-    Probes are a stated small set; every partition keeps its best and only those are ranked together.
-    A series whose bound (the difference of the sums of moves) cannot beat the k-th so far is skipped.
+    Both tables have ``id_col`` and ``values``; null values are dropped.  Blocks of series meet blocks of
+    probes, each keeps its best, and only those are ranked together.  A series whose bound (the
+    difference of the extremes) cannot beat the k-th so far is skipped.
     """
-    fixed = [(p, np.asarray(v, float)) for p, v in probes]
     kind = series.schema[id_col].dataType.simpleString()
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple]] = [[] for _ in fixed]
-        for b in batches:
-            for i, v in zip(b["id"], b["v"], strict=True):
-                x = np.asarray(v, float)
-                for q, (_, y) in enumerate(fixed):
-                    # a value outside the other's range has to move at least that far
-                    bound = max(abs(x.max() - y.max()), abs(x.min() - y.min())) if len(x) and len(y) else 0.0
-                    if len(best[q]) >= k and bound > best[q][-1][0]:
-                        continue
-                    best[q] = sorted([*best[q], (move_split_merge(y, x, cost), i)])[:k]
-        rows = [(fixed[q][0], i, d) for q in range(len(fixed)) for d, i in best[q]]
-        yield pd.DataFrame(rows, columns=["probe", "id", "distance"])
+    s, q = (df.where(F.col(values).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(values).alias("v")) for df in (series, probes))
+    nb, nq = max(1, -(-s.count() // block)), max(1, -(-q.count() // probe_block))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = s.select("id", "v", F.lit(0).alias("side"), own(nb).alias("b"), each(nq).alias("qb")).unionByName(q.select("id", "v", F.lit(1).alias("side"), each(nb).alias("b"), own(nq).alias("qb")))
+
+    def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        base = [(i, np.asarray(v, float)) for i, v in zip(pdf["id"][pdf["side"] == 0], pdf["v"][pdf["side"] == 0])]
+        for p, v in zip(pdf["id"][pdf["side"] == 1], pdf["v"][pdf["side"] == 1]):
+            y = np.asarray(v, float)
+            best: list[tuple] = []
+            for i, x in base:
+                # a value outside the other's range has to move at least that far
+                bound = max(abs(x.max() - y.max()), abs(x.min() - y.min())) if len(x) and len(y) else 0.0
+                if len(best) < k or bound <= best[-1][0]:
+                    best = sorted([*best, (move_split_merge(y, x, cost), i)])[:k]
+            rows += [(p, i, d) for d, i in best]
+        return pd.DataFrame(rows, columns=["probe", "id", "distance"])
 
     from .windows import top_per_group
 
-    found = map_frames(series.where(F.col(values).isNotNull()).select(F.col(id_col).alias("id"), F.col(values).alias("v")), look, f"probe {kind}, id {kind}, distance double")
+    ship(series.sparkSession)
+    found = both.groupBy("b", "qb").applyInPandas(look, f"probe {kind}, id {kind}, distance double")
     return top_per_group(found, ["probe"], [F.col("distance"), F.col("id")], k)
 
 

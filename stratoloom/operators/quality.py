@@ -11,6 +11,7 @@ from ..session import Cuts, few_or_raise
 from .graph import bfs
 
 
+# The weights and bounds of the measures below.
 def technical_debt(markers, lines, complexity, churn, fix_share):
     """0.3 markers per thousand lines + 0.25 min(complexity/20, 1) + 0.2 min(churn, 10)/10 + 0.15 fix share + 0.1 min(lines/1000, 1)."""
     one = F.lit(1.0)
@@ -60,23 +61,36 @@ def reflexion(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def inheritance_depth(classes: DataFrame, name: str, parent: str) -> DataFrame:
     """``id, dit, noc``: the longest chain of known parents above a class and its number of direct children.
 
-    A class may have several rows, one per parent; loops end because a longer chain must be new.
+    A class may have several rows, one per parent.  Where no class has two known parents the depths
+    come from pointer doubling; else classes are settled in the order of their depth, one round
+    each.  ``dit`` is null for classes in or below a loop, null names are dropped.
     """
+    from .hierarchy import resolve_hierarchy
+
     cuts = Cuts(classes.sparkSession, "dit")
     c = classes.where(F.col(name).isNotNull())
-    ids = c.select(F.col(name).alias("id")).distinct()
+    ids = cuts.cut(c.select(F.col(name).alias("id")).distinct())
     links = cuts.cut(c.where(F.col(parent).isNotNull()).select(F.col(name).alias("id"), F.col(parent).alias("up")).distinct().join(ids.select(F.col("id").alias("up")), "up"))
-    depth = cuts.cut(ids.withColumn("dit", F.lit(0)))
-    n = ids.count()
-    for _ in range(n):
-        longer = links.join(depth.select(F.col("id").alias("up"), "dit"), "up").groupBy("id").agg((F.max("dit") + 1).alias("d"))
-        nxt = cuts.cut(depth.join(longer, "id", "left").select("id", F.least(F.greatest("dit", F.coalesce("d", F.lit(0))), F.lit(n)).alias("dit"), F.col("dit").alias("old")))
-        same = nxt.where("dit <> old").isEmpty()
-        depth = nxt.select("id", "dit")
-        if same:
-            break
     noc = links.groupBy(F.col("up").alias("id")).agg(F.countDistinct("id").alias("noc"))
-    return depth.join(noc, "id", "left").select("id", "dit", F.coalesce("noc", F.lit(0)).alias("noc"))
+    parents = links.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.schema["id"].dataType.simpleString() in ("int", "bigint") and parents.where("n > 1").isEmpty():
+        one = ids.join(links, "id", "left")
+        deep = resolve_hierarchy(one, "id", "up", with_path=False).select("id", F.when(F.col("depth") >= 0, F.col("depth")).alias("dit"))
+    else:
+        done = cuts.cut(ids.join(links.select("id").distinct(), "id", "left_anti").withColumn("dit", F.lit(0)))
+        open_, left = links, -1
+        while True:
+            step = cuts.cut(open_.join(done.select(F.col("id").alias("up"), "dit"), "up", "left"))
+            n = step.count()
+            if n in (0, left):
+                break
+            left = n
+            ready = step.groupBy("id").agg(F.max("dit").alias("d"), F.bool_and(F.col("dit").isNotNull()).alias("all")).where("all")
+            nxt = cuts.cut(done.unionByName(ready.select("id", (F.col("d") + 1).alias("dit"))))
+            open_ = step.select("id", "up").join(ready.select("id"), "id", "left_anti")
+            done = nxt
+        deep = ids.join(done, "id", "left")
+    return deep.join(noc, "id", "left").select("id", "dit", F.coalesce("noc", F.lit(0)).alias("noc"))
 
 
 def reviewers(ownership: DataFrame, files: list, most: int = 3) -> list[tuple]:
@@ -153,31 +167,53 @@ def ngram_counts(tokens: DataFrame, n: int) -> DataFrame:
     return out.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def words_near(counts: DataFrame, query_words: list[str], most_edits: int = 2) -> DataFrame:
+    """``word, near, edits``: the counted words within so many edits of each query word (a stated, small list)."""
+    from ..functions.text import damerau
+    from ..session import map_frames
+
+    def look(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [(w, q, d) for w in b["gram"] for q in query_words if abs(len(q) - len(w)) <= most_edits and (d := damerau(q, w, most_edits)) >= 0]
+            yield pd.DataFrame(out, columns=["word", "near", "edits"])
+
+    one = counts.where(~F.col("gram").contains(" ")).select("gram")
+    return map_frames(one, look, "word string, near string, edits int")
+
+
 class BigramModel:
-    """A bigram model with absolute back-off to unigrams, from bounded counts on the driver."""
+    """A bigram model with absolute back-off to unigrams, for the words near some queries.
 
-    def __init__(self, counts: DataFrame, most: int = 500_000, discount: float = 0.4):
-        rows = few_or_raise(counts, most, "n-grams")
-        self.one = {r.gram: r.n for r in rows if " " not in r.gram}
-        self.two = {r.gram: r.n for r in rows if r.gram.count(" ") == 1}
-        self.total, self.discount = max(1, sum(self.one.values())), discount
+    The counts stay distributed; the driver holds the candidates of the query words and the pairs of
+    these, at most ``most`` of either.
+    """
+
+    def __init__(self, counts: DataFrame, queries: list[str], most_edits: int = 2, most: int = 100_000, discount: float = 0.4):
+        words = sorted({w for q in queries for w in q.split()})
+        self.near: dict[str, list[tuple[str, int]]] = {}
+        for r in few_or_raise(words_near(counts, words, most_edits), most, "words near the queries"):
+            self.near.setdefault(r.near, []).append((r.word, r.edits))
+        known = sorted({w for x in self.near.values() for w, _ in x})
+        parts = F.split("gram", " ")
+        both = (F.size(parts) == 2) & parts[0].isin(known) & F.element_at(parts, -1).isin(known)
+        self.one = {r.gram: r.n for r in few_or_raise(counts.where(F.col("gram").isin(known)), most, "candidates")}
+        self.two = {r.gram: r.n for r in few_or_raise(counts.where(both), most, "pairs of candidates")}
+        sums = counts.where(~F.col("gram").contains(" ")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
+        self.total, self.words, self.discount = max(1, sums.n or 0), sums.words, discount
 
     def cost(self, before: str | None, word: str) -> float:
         """Negative log probability of a word after another."""
-        single = (self.one.get(word, 0) + 1) / (self.total + len(self.one) + 1)
+        single = (self.one.get(word, 0) + 1) / (self.total + self.words + 1)
         if before is None or before not in self.one:
             return -math.log(single)
         pair = self.two.get(f"{before} {word}", 0) / self.one[before]
         return -math.log((1 - self.discount) * pair + self.discount * single)
 
-    def correct(self, query: list[str], most_edits: int = 2, edit_cost: float = 3.0) -> list[str]:
+    def correct(self, query: list[str], edit_cost: float = 3.0) -> list[str]:
         """The cheapest path through the lattice of known words near each query word (Viterbi, sums of costs)."""
-        from ..functions.text import damerau
-
-        layers = []
-        for w in query:
-            near = [(k, damerau(w, k, most_edits)) for k in self.one if abs(len(k) - len(w)) <= most_edits]
-            layers.append([(k, d * edit_cost) for k, d in near if d >= 0] or [(w, 0.0)])
+        layers = [[(k, d * edit_cost) for k, d in sorted(self.near.get(w, ()))] or [(w, 0.0)] for w in query]
         best = {k: (c + self.cost(None, k), [k]) for k, c in layers[0]} if layers else {}
         for layer in layers[1:]:
             nxt = {}

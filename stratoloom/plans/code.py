@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import collectors as K
 from ..operators import concurrency as C
 from ..operators import quality as Q
 from ..operators import symbols as S
+from ..operators import text as X
 from ..operators import vectors as V
 from ..operators.graph import edge_list, simple_paths
+from ..operators.imports import resolve_imports
 from ..session import Cuts, ship
 from ..sources.tables import latest, table
 from ..streaming import live
@@ -54,6 +57,42 @@ def function_metrics(spark: SparkSession, d: str) -> DataFrame:
     return S.function_metrics(S.extract_symbols(f), f)
 
 
+def _file_graph(spark: SparkSession, d: str) -> DataFrame:
+    f = Cuts(spark, "paths").cut(latest(table(spark, d, "indexed_files", "file_id", "indexed_at", "project_id", "relative_path"), "file_id", "indexed_at"))
+    t = latest(table(spark, d, "indexed_files", "file_id", "indexed_at", "language", "content"), "file_id", "indexed_at")
+    return Cuts(spark, "file-graph").cut(resolve_imports(X.extract_imports(t, "file_id", "language", "content"), f))
+
+
+@query()
+def file_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Imports that lead to files of the same project."""
+    return _file_graph(spark, d)
+
+
+@query()
+def unused_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that no call in their project names."""
+    f = _files(spark, d)
+    return K.unused_functions(Cuts(spark, "symbols").cut(S.extract_symbols(f)), f)
+
+
+@query()
+def orphan_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that import no file and that no file imports."""
+    return K.orphan_files(_file_graph(spark, d), table(spark, d, "indexed_files", "file_id", "relative_path"))
+
+
+@query(
+    rf"""WITH f AS (SELECT file_id AS id, max_by(project_id, indexed_at) AS project_id, lower(max_by(relative_path, indexed_at)) AS path FROM indexed_files WHERE file_id IS NOT NULL GROUP BY 1),
+ n AS (SELECT *, regexp_extract(path, '([^/]+?)\.[^/.]*$', 1) AS name, regexp_matches(path, '{K.TEST_PATH}') AS test FROM f WHERE path IS NOT NULL AND project_id IS NOT NULL),
+ b AS (SELECT *, regexp_replace(regexp_replace(name, '^tests?_', ''), '(?:[._-](?:test|spec)|tests?)$', '') AS bare FROM n)
+ SELECT id, project_id FROM b WHERE NOT test AND bare <> '' AND (project_id, bare) NOT IN (SELECT (project_id, bare) FROM b WHERE test)"""
+)
+def untested_files(spark: SparkSession, d: str) -> DataFrame:
+    """Source files that no test of their project is named after."""
+    return K.untested_files(latest(table(spark, d, "indexed_files", "file_id", "indexed_at", "project_id", "relative_path"), "file_id", "indexed_at"))
+
+
 @query(
     r"""WITH f AS (SELECT file_id AS id, max_by(content, indexed_at) AS content FROM indexed_files GROUP BY 1), w AS (SELECT id, unnest(regexp_extract_all(content, '[A-Za-z_]\w*')) AS w FROM f), c AS (SELECT id, w, count(*) AS n FROM w GROUP BY 1, 2),
  p AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM c) SELECT id, count(*) AS identifiers, round(0 - sum(p * log2(p)), 6) AS entropy FROM p GROUP BY 1"""
@@ -97,12 +136,8 @@ def reviewer_recommender(spark: SparkSession, d: str) -> DataFrame:
 )
 def inheritance_depth(spark: SparkSession, d: str) -> DataFrame:
     """Depth and children of the items that no loop holds."""
-    from ..operators.hierarchy import resolve_hierarchy
-
     w = latest(table(spark, d, "work_items", "id", "updated_at", "parent_id"), "id", "updated_at")
-    ok = Cuts(spark, "dit").cut(resolve_hierarchy(w, with_path=False).where("depth >= 0"))
-    noc = w.join(ok.select(F.col("id").alias("parent_id")), "parent_id").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("noc"))
-    return ok.join(noc, "id", "left").select("id", F.col("depth").alias("dit"), F.coalesce("noc", F.lit(0)).alias("noc"))
+    return Q.inheritance_depth(w, "id", "parent_id").where("dit is not null")
 
 
 @query()

@@ -205,8 +205,23 @@ def module_metrics(spark: SparkSession, d: str) -> DataFrame:
     return G.module_metrics(e, m).withColumn("instability", F.round("instability", 6))
 
 
+def _same_brand(spark: SparkSession, d: str) -> DataFrame:
+    """The edges between parts of one brand, by brand: graphs with cycles and triangles of a size for one worker."""
+    brand = Cuts(spark, "brands").cut(table(spark, d, "part", "p_partkey", "p_brand"))
+    e = _edges(spark, d).join(brand.select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("brand")), "src")
+    return Cuts(spark, "brand-edges").cut(e.join(brand.select(F.col("p_partkey").alias("dst"), F.col("p_brand").alias("brand")), ["dst", "brand"]).select("brand", "src", "dst"))
+
+
 def _local(func, schema: str):
-    return lambda spark, d: L.per_group(_tree(spark, d), "project_id", func, schema)
+    return lambda spark, d: L.per_group(_same_brand(spark, d), "brand", func, schema)
+
+
+#: The edges of :func:`_same_brand`; undirected, simple ones; and both directions of these with degrees.
+_B = (
+    _E
+    + """, be AS MATERIALIZED (SELECT a.p_brand AS brand, src, dst FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst AND a.p_brand = b.p_brand), bu AS MATERIALIZED (SELECT DISTINCT brand, least(src, dst) AS a, greatest(src, dst) AS b FROM be WHERE src <> dst),
+ bv AS MATERIALIZED (SELECT brand, a AS x, b AS y FROM bu UNION ALL SELECT brand, b, a FROM bu), bd AS MATERIALIZED (SELECT brand, x, count(*) AS d FROM bv GROUP BY 1, 2), bn AS MATERIALIZED (SELECT DISTINCT brand, unnest([src, dst]) AS id FROM be)"""
+)
 
 
 for _name, _func, _schema in (
@@ -217,8 +232,6 @@ for _name, _func, _schema in (
     ("spectral", L.spectral, "nodes int, lambda2 double"),
     ("min_cut", L.min_cut, "nodes int, weight double"),
     ("ktruss", L.k_truss, "a long, b long, truss int"),
-    ("burt_constraint", L.constraint, "id long, constraint double"),
-    ("degree_assortativity", L.assortativity, "edges int, r double"),
     ("simple_cycles", L.simple_cycles, "cycle string, length int"),
     ("edge_betweenness", L.edge_betweenness, "a long, b long, score double"),
     ("two_edge_components", L.two_edge_components, "id long, component long"),
@@ -227,3 +240,23 @@ for _name, _func, _schema in (
     ("local_centralities", L.centralities, "id long, closeness double, eigenvector double, katz double"),
 ):
     QUERIES[_name] = _local(_func, _schema)
+
+
+@query(_B + ", g AS (SELECT bv.brand, p.d AS p, q.d AS q FROM bv JOIN bd p ON p.brand = bv.brand AND p.x = bv.x JOIN bd q ON q.brand = bv.brand AND q.x = bv.y) SELECT brand, CAST(count(*) / 2 AS INTEGER) AS edges, round(CASE WHEN stddev_pop(p) > 0 THEN corr(p, q) END, 6) AS r FROM g GROUP BY 1")
+def degree_assortativity(spark: SparkSession, d: str) -> DataFrame:
+    return L.per_group(_same_brand(spark, d), "brand", L.assortativity, "edges int, r double").where("edges > 0").select("brand", "edges", F.round(F.nanvl("r", F.lit(None)), 6).alias("r"))
+
+
+@query(
+    _B
+    + """, p AS MATERIALIZED (SELECT bv.brand, bv.x AS i, bv.y AS j, 1.0 / d AS p FROM bv JOIN bd ON bd.brand = bv.brand AND bd.x = bv.x), ind AS (SELECT a.brand, a.i, b.j, sum(a.p * b.p) AS s FROM p a JOIN p b ON a.brand = b.brand AND a.j = b.i GROUP BY 1, 2, 3),
+ c AS (SELECT p.brand, p.i, sum(power(p.p + coalesce(ind.s, 0), 2)) AS c FROM p LEFT JOIN ind ON ind.brand = p.brand AND ind.i = p.i AND ind.j = p.j GROUP BY 1, 2) SELECT bn.brand, bn.id, round(coalesce(c.c, 0), 6) AS "constraint" FROM bn LEFT JOIN c ON c.brand = bn.brand AND c.i = bn.id"""
+)
+def burt_constraint(spark: SparkSession, d: str) -> DataFrame:
+    return L.per_group(_same_brand(spark, d), "brand", L.constraint, "id long, constraint double").withColumn("constraint", F.round("constraint", 6))
+
+
+@query(_B + " SELECT brand, count(*) AS edges, count(DISTINCT src) AS sources FROM be GROUP BY 1")
+def brand_graph_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges of the graphs that the algorithms within a worker run on."""
+    return _same_brand(spark, d).groupBy("brand").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"))

@@ -128,15 +128,15 @@ def naming_mode(spark: SparkSession, d: str) -> DataFrame:
     return dominant(f, ["project_id"], "style").select("project_id", "style", "n", "total")
 
 
-@query("""WITH RECURSIVE w AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate) AS t, CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY 1, 2),
+@query("""WITH RECURSIVE w AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate) AS t, CAST(count(*) AS DOUBLE) AS x FROM lineitem GROUP BY 1, 2),
  m AS (SELECT k, avg(x) AS mean, greatest(stddev_pop(x), 0.5) AS sigma, count(*) AS n FROM w GROUP BY k HAVING count(*) >= 4),
  r AS (SELECT w.k, w.t, w.x, mean, sigma, row_number() OVER (PARTITION BY w.k ORDER BY w.t) AS i FROM w JOIN m USING (k)),
  s(k, i, s) AS (SELECT k, i, greatest(0, x - mean - 0.5 * sigma) FROM r WHERE i = 1 UNION ALL SELECT r.k, r.i, greatest(0, s.s + r.x - r.mean - 0.5 * r.sigma) FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1),
  p AS (SELECT s.k, r.t, s.s, r.mean, r.sigma FROM s JOIN r USING (k, i) QUALIFY row_number() OVER (PARTITION BY s.k ORDER BY s.s DESC, s.i) = 1)
- SELECT k AS author, strftime(t, '%Y-%m') AS change_at, round(s, 6) AS peak FROM p WHERE s > 2 * sigma""")
+ SELECT k AS author, strftime(t, '%Y-%m') AS change_at, round(s, 6) AS peak FROM p WHERE s > 4 * sigma * (1 + 1e-9)""")
 def cusum_changepoint(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "orders", "o_custkey", "o_orderdate").groupBy(F.col("o_custkey").alias("author"), F.date_trunc("month", "o_orderdate").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("x"))
-    c = H.cusum_change_points(w, "author", "t", "x", threshold=2.0)
+    w = table(spark, d, "lineitem", "l_suppkey", "l_shipdate").groupBy(F.col("l_suppkey").alias("author"), F.date_trunc("month", "l_shipdate").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+    c = H.cusum_change_points(w, "author", "t", "x")
     return c.select("author", F.date_format("change_at", "yyyy-MM").alias("change_at"), F.round("peak", 6).alias("peak"))
 
 

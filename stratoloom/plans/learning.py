@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import learning as M
+from ..session import Cuts
 from ..sources.tables import table
 
 
@@ -15,7 +16,7 @@ def _emb(spark: SparkSession, d: str) -> DataFrame:
 
 def fcm_memberships(spark: SparkSession, d: str) -> DataFrame:
     """Memberships of every vector in ten fuzzy clusters."""
-    return M.fuzzy_c_means(_emb(spark, d), "id", "vec", 10, iterations=15)[0]
+    return M.fuzzy_c_means(_emb(spark, d), "id", "vec", 10)[0]
 
 
 def kmeans_pp(spark: SparkSession, d: str) -> DataFrame:
@@ -58,15 +59,15 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 def logistic_defect(spark: SparkSession, d: str) -> DataFrame:
     """Probability that a part is returned more often than a third, per brand."""
     f = _part_features(spark, d).join(table(spark, d, "part", "p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("y", (F.col("returned") > 1 / 3).cast("int"))
-    return M.logistic_by_group(f, "p_brand", "l_partkey", ["n", "q", "disc", "tax", "s"], "y", rounds=300)
+    return M.logistic_by_group(f, "p_brand", "l_partkey", ["n", "q", "disc", "tax", "s"], "y")
 
 
 def msm_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five customers whose monthly orders move most like those of each customer with an id divisible by 100."""
     o = table(spark, d, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey", F.date_trunc("quarter", "o_orderdate").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     s = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "n"))), lambda x: x["n"]).alias("v"))
-    probes = [(r.o_custkey, r.v) for r in s.where("o_custkey % 100 = 0").orderBy("o_custkey").collect()]
-    return M.series_neighbours(s, probes, "o_custkey", "v", 5)
+    s = Cuts(spark, "series").cut(s)
+    return M.series_neighbours(s, s.where("o_custkey % 100 = 0"), "o_custkey", "v", 5)
 
 
 QUERIES = {f.__name__: f for f in (fcm_memberships, kmeans_pp, k_selection, hdbscan, pca_project, random_projection, isolation_forest, logistic_defect, msm_knn)}

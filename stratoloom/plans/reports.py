@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import collectors as K
 from ..operators import quality as Q
 from ..operators import text as X
 from ..operators import topics as T
+from ..session import Cuts
 from ..sources.tables import latest, table
 
 QUERIES: dict = {}
@@ -105,9 +107,17 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
     return f.select("file_id", F.col("line_count").cast("double").alias("lines"), n(r"\b(if|for|while|match|case|switch)\b").cast("double").alias("cyc"), n(r"\b(?:TODO|FIXME|HACK|XXX)\b").alias("markers"))
 
 
-@query(_F + "SELECT file_id, round(0.3 * CASE WHEN lines > 0 THEN markers / (lines / 1000) ELSE 0 END + 0.25 * least(cyc / 20, 1) + 0.1 * least(lines / 1000, 1), 6) AS debt FROM m")
+@query(
+    _F
+    + """, s AS (SELECT file_id, indexed_at, bool_or(regexp_matches(coalesce(content, ''), '(?i)(fix|bug)')) AS fix FROM indexed_files GROUP BY 1, 2), h AS (SELECT file_id, count(*) AS states, count(*) FILTER (WHERE fix) / count(*) AS fix_share FROM s GROUP BY 1)
+ SELECT file_id, round(0.3 * CASE WHEN lines > 0 THEN markers / (lines / 1000) ELSE 0 END + 0.25 * least(cyc / 20, 1) + 0.2 * least(states, 10) / 10 + 0.15 * fix_share + 0.1 * least(lines / 1000, 1), 6) AS debt FROM m JOIN h USING (file_id)"""
+)
 def technical_debt(spark: SparkSession, d: str) -> DataFrame:
-    return _measures(spark, d).select("file_id", F.round(Q.technical_debt(F.col("markers"), F.col("lines"), F.col("cyc"), F.lit(0.0), F.lit(0.0)), 6).alias("debt"))
+    """Debt of every file; its states in the index stand for its changes, those that speak of fixes for fixes."""
+    s = table(spark, d, "indexed_files", "file_id", "indexed_at", "content").groupBy("file_id", "indexed_at").agg(F.bool_or(F.coalesce("content", F.lit("")).rlike("(?i)(fix|bug)")).alias("fix"))
+    h = s.groupBy("file_id").agg(F.count(F.lit(1)).alias("states"), F.avg(F.col("fix").cast("double")).alias("fix_share"))
+    m = _measures(spark, d).join(h, "file_id")
+    return m.select("file_id", F.round(Q.technical_debt(F.col("markers"), F.col("lines"), F.col("cyc"), F.col("states"), F.col("fix_share")), 6).alias("debt"))
 
 
 @query(_F + ", x AS (SELECT max(cyc) AS a, max(lines) AS b, max(markers) AS c FROM m) SELECT file_id, round(0.5 * cyc / a + 0.4 * lines / b + 0.1 * CASE WHEN c > 0 THEN markers / c ELSE 0 END, 6) AS score FROM m CROSS JOIN x")
@@ -136,11 +146,30 @@ def import_entropy(spark: SparkSession, d: str) -> DataFrame:
     return Q.edge_entropy(s, "l_suppkey", "q").withColumn("entropy", F.round("entropy", 6))
 
 
-@query("""WITH s AS (SELECT c_mktsegment AS pillar, c_nationkey AS k, 50 + avg(c_acctbal) / 200 AS score FROM customer GROUP BY 1, 2), p AS (SELECT pillar, avg(score) AS score FROM s GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT 'overall', avg(score) FROM p)
- SELECT pillar, round(score, 5) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM a""")
+def _current(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "indexed_files", "file_id", "indexed_at", "content"), "file_id", "indexed_at")
+
+
+def _findings_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    rows = " UNION ALL ".join(f"SELECT id, '{name}' AS collector, '{pillar}' AS pillar, CAST(len(regexp_extract_all(content, {quoted(p)})) AS INTEGER) AS hits FROM f" for name, (pillar, p) in K.FINDINGS.items())
+    return f"WITH f AS (SELECT file_id AS id, max_by(content, indexed_at) AS content FROM indexed_files WHERE file_id IS NOT NULL GROUP BY 1), x AS ({rows}), hit AS (SELECT * FROM x WHERE hits > 0)"
+
+
+@query(_findings_sql() + " SELECT id, collector, pillar, hits FROM hit")
+def code_findings(spark: SparkSession, d: str) -> DataFrame:
+    """What the collectors find in the current files."""
+    return K.pattern_findings(_current(spark, d))
+
+
+@query(
+    _findings_sql()
+    + """, s AS (SELECT pillar, collector, 100.0 * (1 - count(*) FILTER (WHERE hits > 0) / (SELECT count(*) FROM f WHERE content IS NOT NULL)) AS score FROM x GROUP BY 1, 2), p AS (SELECT pillar, avg(score) AS score FROM s GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT 'overall', avg(score) FROM p)
+ SELECT pillar, round(score, 5) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM a"""
+)
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "customer", "c_mktsegment", "c_nationkey", "c_acctbal").groupBy(F.col("c_mktsegment").alias("pillar"), "c_nationkey").agg((50 + F.avg("c_acctbal") / 200).alias("score"))
-    return Q.grade_report(s).withColumn("score", F.round("score", 5))
+    """The grades of the pillars over what the collectors find."""
+    return Q.grade_report(K.pillar_scores(Cuts(spark, "current").cut(_current(spark, d)))).withColumn("score", F.round("score", 5))
 
 
 @query("""SELECT severity, kind, key, message FROM (SELECT 1 AS severity, 'loop' AS kind, CAST(id AS VARCHAR) AS key, 'its own parent' AS message FROM (SELECT DISTINCT id FROM work_items WHERE id = parent_id)
@@ -154,7 +183,7 @@ def alert_digest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def query_correction(spark: SparkSession, d: str) -> DataFrame:
     """Misspelt queries put right by a bigram model of the documents."""
-    words = table(spark, d, "documents", "text", "lang").where("lang = 'en'").select(TX.tokens("text").alias("words"))
-    model = Q.BigramModel(Q.ngram_counts(words, 2).where("n >= 3"))
-    rows = [(q, " ".join(model.correct(q.split()))) for q in ("serch reslts", "topc of the qeue", "chunks of the inedx")]
-    return spark.createDataFrame(rows, "query string, corrected string")
+    words = table(spark, d, "documents", "text").where("text is not null").select(TX.tokens("text").alias("words"))
+    queries = ["serch reslts", "topc of the qeue", "chunks of the inedx"]
+    model = Q.BigramModel(Cuts(spark, "ngrams").cut(Q.ngram_counts(words, 2)), queries)
+    return spark.createDataFrame([(q, " ".join(model.correct(q.split()))) for q in queries], "query string, corrected string")

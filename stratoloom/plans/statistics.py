@@ -105,13 +105,13 @@ def tost(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return S.bootstrap_interval(_events(spark, d), "event_type", "error", "click", "value", rounds=200)
+    return S.bootstrap_interval(_events(spark, d), "event_type", "error", "click", "value")
 
 
 @query()
 def p_adjust_holm_bh(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of event types tested, with adjusted p-values (as many rows as there are pairs of types)."""
-    m = sorted(S.moments(_events(spark, d), ["event_type"], "value").collect(), key=lambda r: r.event_type)
+    m = sorted(few_or_raise(S.moments(_events(spark, d), ["event_type"], "value"), 2000, "event types"), key=lambda r: r.event_type)
     pairs = [(a.event_type, b.event_type, S.welch_test(a.n, a["mean"], a.sd**2, b.n, b["mean"], b.sd**2)["p"]) for i, a in enumerate(m) for b in m[i + 1 :]]
     holm, bh = (S.adjust_pvalues([p for *_, p in pairs], x) for x in ("holm", "bh"))
     return spark.createDataFrame([(a, b, p, h, q) for (a, b, p), h, q in zip(pairs, holm, bh)], "a string, b string, p double, holm double, bh double")
@@ -119,18 +119,14 @@ def p_adjust_holm_bh(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normality(spark: SparkSession, d: str) -> DataFrame:
-    m = S.moments(_events(spark, d), ["event_type"], "value").collect()
+    m = few_or_raise(S.moments(_events(spark, d), ["event_type"], "value"), 100_000, "event types")
     return spark.createDataFrame([(r.event_type, *S.normality_test(r.n, r.skewness, r.kurtosis).values()) for r in m], "event_type string, k2 double, p double")
 
 
 @query()
 def normality_anderson(spark: SparkSession, d: str) -> DataFrame:
-    """Anderson-Darling per event type, from the counts per distinct value."""
-    c = _events(spark, d).where("value is not null").groupBy("event_type", F.round("value", 2).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    per: dict = {}
-    for r in few_or_raise(c, 1_000_000, "distinct values"):
-        per.setdefault(r.event_type, []).append((r.v, r.n))
-    return spark.createDataFrame([(k, *S.anderson_darling(v).values()) for k, v in sorted(per.items())], "event_type string, a2 double, p double")
+    """Anderson-Darling per event type."""
+    return S.anderson_by_group(_events(spark, d), "event_type", "value")
 
 
 @query()

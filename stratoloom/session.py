@@ -37,13 +37,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset a temporary folder is made and set if the session runs on one machine
+    (tests); on a cluster no other machine would see it, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="stratoloom-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -62,7 +65,12 @@ class Cuts:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        # what no loop drops is deleted when the session's machine ends
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(self.base)
+        files = place.getFileSystem(conf)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
 
     def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write the rows and read them back."""
@@ -73,7 +81,6 @@ class Cuts:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._cut_path = path
         return out
 
