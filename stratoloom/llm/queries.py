@@ -87,6 +87,14 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return rechunk(table(spark, folder, "file_chunks", "chunk_id", "file_id", "chunk_index", "content", "start_line", "end_line"))
 
 
+def p5_kept_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the chunks of each file keep the rules: none too long, an index without gaps, lines in order."""
+    p = p5_pieces(spark, folder)
+    dense = (F.min("chunk_index") == 0) & (F.max("chunk_index") == F.count("*") - 1) & (F.countDistinct("chunk_index") == F.count("*"))
+    ordered = F.bool_and(F.coalesce(F.col("end_line") >= F.col("start_line"), F.lit(True)))
+    return p.groupBy("file_id").agg((F.coalesce(F.max(F.octet_length("content")), F.lit(0)) <= 4096).alias("within_limit"), dense.alias("index_dense"), ordered.alias("lines_kept"))
+
+
 # 6. clusters of similar chunks
 def _vectors(spark: SparkSession, folder: str, label: str) -> DataFrame:
     return Cuts(spark, label).cut(usable_vectors(table(spark, folder, "file_chunks", "chunk_id", "embedding"), "chunk_id", "embedding"))
@@ -191,7 +199,7 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_origins, p3_shared_packages, p5_found, p5_pieces, p6_found, p6_clusters,
+        p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_origins, p3_shared_packages, p5_found, p5_pieces, p5_kept_rules, p6_found, p6_clusters,
         p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p9_kept_rules, p10_found, p10_sentences,
     )
 }
