@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
 from ..session import Cuts
 
 
+def _kept_by(edges: DataFrame, key: str) -> DataFrame:
+    """Edges of a cut kept on the executors' disks by their key, so that in the rounds of a loop only the nodes' values move.
+
+    What an executor loses is read again from the cut.
+    """
+    return edges.repartition(key).persist(StorageLevel.DISK_ONLY)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id, component`` for every node of an undirected edge list; the component's smallest node.
 
@@ -66,7 +76,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     """
     cuts = Cuts(edges.sparkSession, "pagerank")
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    e = cuts.cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
+    e = _kept_by(cuts.cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p"))), "src")
     nodes = _nodes(edges)
     start = F.col("id").isin(seeds) if seeds is not None else F.lit(True)
     nodes = cuts.cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("has_out")), "id", "left").select("id", F.coalesce("has_out", F.lit(False)).alias("has_out"), start.alias("seed")))
@@ -87,6 +97,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
         ranks = nxt
         if moved <= tolerance:
             break
+    e.unpersist()
     return ranks.select("id", "rank")
 
 
@@ -99,7 +110,7 @@ def spreading_rank(edges: DataFrame, seeds: list, keep: float = 0.85, iterations
     cuts = Cuts(edges.sparkSession, "spread")
     both = edges.select("src", "dst", "w").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     total = both.groupBy("src").agg(F.greatest(F.sum("w"), F.lit(1e-12)).alias("t"))
-    e = cuts.cut(both.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")))
+    e = _kept_by(cuts.cut(both.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))), "src")
     r = F.when(F.col("id").isin(seeds), 1.0 / len(seeds)).otherwise(0.0)
     nodes = cuts.cut(_nodes(edges))
     ranks = cuts.cut(nodes.select("id", r.alias("rank")))
@@ -108,6 +119,7 @@ def spreading_rank(edges: DataFrame, seeds: list, keep: float = 0.85, iterations
         nxt = cuts.cut(nodes.join(inflow, "id", "left").select("id", (keep * F.coalesce("x", F.lit(0.0)) + (1 - keep) * r).alias("rank")))
         cuts.drop(ranks)
         ranks = nxt
+    e.unpersist()
     return ranks
 
 
@@ -116,19 +128,28 @@ def hits(edges: DataFrame, iterations: int = 20) -> DataFrame:
     each scaled to length 1 per round; starts at 1; parallel edges count by weight."""
     cuts = Cuts(edges.sparkSession, "hits")
     edges = cuts.cut(edges)
+    by_src, by_dst = _kept_by(edges, "src"), _kept_by(edges, "dst")
     nodes = cuts.cut(_nodes(edges))
     hub = cuts.cut(nodes.select("id", F.lit(1.0).alias("h")))
     auth = None
 
     def scaled(df: DataFrame, c: str) -> DataFrame:
-        length = df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("s")).first().s or 1.0
-        return df.withColumn(c, F.col(c) / length)
+        raw = cuts.cut(df)
+        length = raw.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("s")).first().s or 1.0
+        out = cuts.cut(raw.withColumn(c, F.col(c) / length))
+        cuts.drop(raw)
+        return out
 
     for _ in range(iterations):
-        a = edges.join(hub.select(F.col("id").alias("src"), "h"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("h")).alias("a"))
-        auth = cuts.cut(scaled(cuts.cut(nodes.join(a, "id", "left").select("id", F.coalesce("a", F.lit(0.0)).alias("a"))), "a"))
-        h = edges.join(auth.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("a")).alias("h"))
-        hub = cuts.cut(scaled(cuts.cut(nodes.join(h, "id", "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"))), "h"))
+        before, last = auth, hub
+        a = by_src.join(hub.select(F.col("id").alias("src"), "h"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("h")).alias("a"))
+        auth = scaled(nodes.join(a, "id", "left").select("id", F.coalesce("a", F.lit(0.0)).alias("a")), "a")
+        h = by_dst.join(auth.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("a")).alias("h"))
+        hub = scaled(nodes.join(h, "id", "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h")), "h")
+        cuts.drop(before)
+        cuts.drop(last)
+    by_src.unpersist()
+    by_dst.unpersist()
     return auth.join(hub, "id").select("id", F.col("a").alias("authority"), F.col("h").alias("hub"))
 
 
@@ -364,6 +385,17 @@ def module_metrics(edges: DataFrame, modules: DataFrame) -> DataFrame:
     return out.withColumn("instability", F.when(F.col("ca") + F.col("ce") > 0, F.col("ce") / (F.col("ca") + F.col("ce"))).otherwise(F.lit(0.0)))
 
 
+def main_sequence(metrics: DataFrame, types: DataFrame) -> DataFrame:
+    """``module, abstractness, instability, distance``: how far modules lie from the line on which the two sum to 1.
+
+    ``metrics`` is the result of :func:`module_metrics`, ``types`` has ``module, abstract, total`` (types that
+    only promise and all types); a module without types has an abstractness of 0.
+    """
+    a = F.coalesce(F.try_divide("abstract", "total"), F.lit(0.0))
+    j = metrics.join(types.select("module", F.col("abstract").cast("double").alias("abstract"), "total"), "module", "left").withColumn("abstractness", a)
+    return j.select("module", "abstractness", "instability", F.abs(F.col("abstractness") + F.col("instability") - 1).alias("distance"))
+
+
 def motif_census(edges: DataFrame) -> DataFrame:
     """Counts of connected patterns of three nodes in the simple directed graph: ``motif, n``.
 

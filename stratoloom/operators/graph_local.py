@@ -42,6 +42,33 @@ def per_group(edges: DataFrame, group: str, func: Callable, schema: str) -> Data
     return e.groupBy("g").applyInPandas(run, f"{group} {kind}, {schema}")
 
 
+def per_sources(edges: DataFrame, group: str, func: Callable, schema: str, key: list[str], value: str, block: int = 256) -> DataFrame:
+    """As :func:`per_group` for sums over source nodes: each task holds a group's edges and takes one block of its sources.
+
+    ``func(nodes, pairs, sources)`` yields rows of ``key`` and ``value`` for the given sources (indices);
+    the values are summed over the blocks.
+    """
+    ship(edges.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col(group).alias("g"), "src", "dst")
+    ends = e.select("g", F.col("src").alias("v")).unionByName(e.select("g", F.col("dst").alias("v")))
+    blocks = ends.groupBy("g").agg(F.countDistinct("v").alias("n")).select("g", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_EDGES:
+            raise ValueError(f"group {pdf['g'].iloc[0]!r} has more than {MOST_EDGES} edges")
+        nodes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+        pairs = np.stack([np.searchsorted(nodes, pdf["src"].to_numpy()), np.searchsorted(nodes, pdf["dst"].to_numpy())], axis=1)
+        b = int(pdf["b"].iloc[0])
+        out = pd.DataFrame(list(func(nodes, pairs, range(b * block, min(len(nodes), (b + 1) * block)))), columns=names)
+        out.insert(0, group, pdf["g"].iloc[:1].repeat(len(out)).to_numpy() if len(out) else pdf["g"].iloc[:0].to_numpy(dtype=object))
+        return out.astype(object) if not len(out) else out
+
+    kind = edges.schema[group].dataType.simpleString()
+    parts = e.join(blocks, "g").groupBy("g", "b").applyInPandas(run, f"{group} {kind}, {schema}")
+    return parts.groupBy(group, *key).agg(F.sum(value).alias(value))
+
+
 def _neighbours(n: int, pairs: np.ndarray, directed: bool) -> list[list[int]]:
     adj: list[set[int]] = [set() for _ in range(n)]
     for a, b in pairs.tolist():
@@ -52,12 +79,12 @@ def _neighbours(n: int, pairs: np.ndarray, directed: bool) -> list[list[int]]:
     return [sorted(x) for x in adj]
 
 
-def betweenness(nodes: np.ndarray, pairs: np.ndarray):
-    """(node, score): shortest paths through each node over directed simple edges (Brandes)."""
+def betweenness(nodes: np.ndarray, pairs: np.ndarray, sources=None):
+    """(node, score): shortest paths from the sources (all nodes without) through each node over directed simple edges (Brandes)."""
     n = len(nodes)
     adj = _neighbours(n, pairs, True)
     score = np.zeros(n)
-    for s in range(n):
+    for s in range(n) if sources is None else sources:
         order, preds = [], [[] for _ in range(n)]
         sigma, dist = np.zeros(n), np.full(n, -1)
         sigma[s], dist[s] = 1, 0
@@ -400,12 +427,12 @@ def simple_cycles(nodes: np.ndarray, pairs: np.ndarray, most: int = 10_000):
     return out
 
 
-def edge_betweenness(nodes: np.ndarray, pairs: np.ndarray):
-    """(a, b, score): shortest paths over each directed edge."""
+def edge_betweenness(nodes: np.ndarray, pairs: np.ndarray, sources=None):
+    """(a, b, score): shortest paths from the sources (all nodes without) over each directed edge."""
     n = len(nodes)
     adj = _neighbours(n, pairs, True)
     score: dict[tuple[int, int], float] = {}
-    for s in range(n):
+    for s in range(n) if sources is None else sources:
         order, preds = [], [[] for _ in range(n)]
         sigma, dist = np.zeros(n), np.full(n, -1)
         sigma[s], dist[s] = 1, 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import graph_local as L
 from ..session import Cuts
-from ..sources.tables import table
+from ..sources.tables import latest, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -225,7 +225,6 @@ _B = (
 
 
 for _name, _func, _schema in (
-    ("betweenness", L.betweenness, "id long, score double"),
     ("louvain", L.louvain, "id long, community long"),
     ("articulation", L.articulation, "kind string, a long, b long"),
     ("dominators", L.dominators, "id long, dominator long"),
@@ -233,7 +232,6 @@ for _name, _func, _schema in (
     ("min_cut", L.min_cut, "nodes int, weight double"),
     ("ktruss", L.k_truss, "a long, b long, truss int"),
     ("simple_cycles", L.simple_cycles, "cycle string, length int"),
-    ("edge_betweenness", L.edge_betweenness, "a long, b long, score double"),
     ("two_edge_components", L.two_edge_components, "id long, component long"),
     ("attack_simulation", L.attack, "removed int, largest int"),
     ("core_periphery", L.core_periphery, "id long, role string"),
@@ -260,3 +258,35 @@ def burt_constraint(spark: SparkSession, d: str) -> DataFrame:
 def brand_graph_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes and edges of the graphs that the algorithms within a worker run on."""
     return _same_brand(spark, d).groupBy("brand").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"))
+
+
+@query()
+def betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths through each part within its brand, the sources spread over tasks."""
+    return L.per_sources(_same_brand(spark, d), "brand", L.betweenness, "id long, score double", ["id"], "score")
+
+
+@query()
+def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths over each edge within a brand, the sources spread over tasks."""
+    return L.per_sources(_same_brand(spark, d), "brand", L.edge_betweenness, "a long, b long, score double", ["a", "b"], "score")
+
+
+@query(
+    """WITH m AS (SELECT id, any_value(project_id) AS module FROM work_items WHERE project_id IS NOT NULL GROUP BY id HAVING count(DISTINCT project_id) = 1), e AS (SELECT DISTINCT parent_id AS src, id AS dst FROM work_items WHERE parent_id IS NOT NULL),
+ x AS (SELECT src, dst, a.module AS ms, b.module AS md FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.module <> b.module), ca AS (SELECT md AS module, count(DISTINCT src) AS ca FROM x GROUP BY 1), ce AS (SELECT ms AS module, count(DISTINCT dst) AS ce FROM x GROUP BY 1),
+ i AS (SELECT module, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)) ELSE 0 END AS instability FROM (SELECT DISTINCT module FROM m) LEFT JOIN ca USING (module) LEFT JOIN ce USING (module)),
+ f AS (SELECT file_id, max_by(project_id, indexed_at) AS module, max_by(content, indexed_at) AS content FROM indexed_files GROUP BY 1),
+ t AS (SELECT module, sum(len(regexp_extract_all(content, '\b(?:trait|interface)[ \t]+[A-Za-z_]'))) AS abstract, sum(len(regexp_extract_all(content, '\b(?:trait|interface|struct|class|enum|record)[ \t]+[A-Za-z_]'))) AS total FROM f GROUP BY 1)
+ SELECT module, round(coalesce(CASE WHEN total > 0 THEN abstract / total END, 0), 6) AS abstractness, round(instability, 6) AS instability, round(abs(coalesce(CASE WHEN total > 0 THEN abstract / total END, 0) + instability - 1), 6) AS distance FROM i LEFT JOIN t USING (module)"""
+)
+def main_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Abstractness, instability and their distance from the balance, per project: types from the files, links from the work items."""
+    w = table(spark, d, "work_items", "id", "parent_id", "project_id")
+    m = w.where("project_id is not null").groupBy("id").agg(F.min("project_id").alias("module"), F.countDistinct("project_id").alias("n")).where("n = 1")
+    metrics = G.module_metrics(w.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")), m)
+    f = latest(table(spark, d, "indexed_files", "file_id", "indexed_at", "project_id", "content"), "file_id", "indexed_at")
+    n = lambda p: F.sum(F.size(F.regexp_extract_all("content", F.lit(p + r"[ \t]+[A-Za-z_]"), F.lit(0))))
+    types = f.where("content is not null").groupBy(F.col("project_id").alias("module")).agg(n(r"\b(?:trait|interface)").alias("abstract"), n(r"\b(?:trait|interface|struct|class|enum|record)").alias("total"))
+    out = G.main_sequence(metrics, types)
+    return out.select("module", *[F.round(c, 6).alias(c) for c in ("abstractness", "instability", "distance")])

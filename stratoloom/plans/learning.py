@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import learning as M
-from ..session import Cuts
+from ..operators import vector_trees as W
+from ..operators import vectors as V
+from ..session import Cuts, few_or_raise
 from ..sources.tables import table
 
 
@@ -70,5 +72,31 @@ def msm_knn(spark: SparkSession, d: str) -> DataFrame:
     return M.series_neighbours(s, s.where("o_custkey % 100 = 0"), "o_custkey", "v", 5)
 
 
-QUERIES = {f.__name__: f for f in (fcm_memberships, kmeans_pp, k_selection, hdbscan, pca_project, random_projection, isolation_forest, logistic_defect, msm_knn)}
+def summary_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of summaries over all vectors, from the root down."""
+    return W.summary_tree(_emb(spark, d))[0].drop("vec")
+
+
+def summary_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nodes of the tree, of whatever level, that are most like the vector with the smallest id."""
+    nodes = Cuts(spark, "summaries").cut(W.summary_tree(_emb(spark, d))[0])
+    return W.summary_search(nodes, _emb(spark, d).agg(F.min_by("vec", "id").alias("v")).first().v, 10)
+
+
+def label_dendrogram(spark: SparkSession, d: str) -> DataFrame:
+    """The labels merged two at a time by the average cosine distance of their mean vectors."""
+    c = V.centroids(_emb(spark, d), "label", "vec")
+    return spark.createDataFrame(W.merge_order(c, "label", "centroid"), f"step int, a {dict(c.dtypes)['label']}, b {dict(c.dtypes)['label']}, distance double, size int")
+
+
+def online_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of ten clusters after the vectors of every label came as a batch of their own."""
+    e = Cuts(spark, "stream").cut(_emb(spark, d))
+    model = W.OnlineClusters(M.kmeans_pp(M.bounded_sample(e, "id", "vec"), 10))
+    for r in sorted(few_or_raise(e.select("label").distinct(), 1000, "labels"), key=lambda r: str(r.label)):
+        model.update(e.where(F.col("label") == r.label))
+    return spark.createDataFrame([(i, float(w), [float(x) for x in c]) for i, (w, c) in enumerate(zip(model.weights, model.centres))], "cluster int, weight double, centre array<double>")
+
+
+QUERIES = {f.__name__: f for f in (fcm_memberships, kmeans_pp, k_selection, hdbscan, pca_project, random_projection, isolation_forest, logistic_defect, msm_knn, summary_nodes, summary_search, label_dendrogram, online_clusters)}
 SQL: dict[str, str] = {}
