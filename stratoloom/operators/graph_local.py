@@ -65,7 +65,7 @@ def per_sources(edges: DataFrame, group: str, func: Callable, schema: str, key:
         return out.astype(object) if not len(out) else out
 
     kind = edges.schema[group].dataType.simpleString()
-    parts = e.join(blocks, "g").groupBy("g", "b").applyInPandas(run, f"{group} {kind}, {schema}")
+    parts = e.join(blocks.withColumnRenamed("g", "bg"), F.col("g").eqNullSafe(F.col("bg"))).drop("bg").groupBy("g", "b").applyInPandas(run, f"{group} {kind}, {schema}")
     return parts.groupBy(group, *key).agg(F.sum(value).alias(value))
 
 
