@@ -366,15 +366,17 @@ def move_split_merge(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> float:
     return float(d[-1, -1])
 
 
-def series_neighbours(series: DataFrame, probes: DataFrame, id_col: str, values: str, k: int, cost: float = 0.1, block: int = 2048, probe_block: int = 256) -> DataFrame:
+def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col: str, values: str, k: int, cost: float = 0.1, block: int = 2048, probe_block: int = 256) -> DataFrame:
     """The ``k`` nearest series of every probe: ``probe, id, distance``; ties go to the smaller id.
 
-    Both tables have ``id_col`` and ``values``; null values are dropped.  Blocks of series meet blocks of
+    Both tables have ``id_col`` and ``values`` (probes may be a list of such pairs); null values are dropped.  Blocks of series meet blocks of
     probes, each keeps its best, and only those are ranked together.  A series whose bound (the
     difference of the extremes) cannot beat the k-th so far is skipped.
     """
     kind = series.schema[id_col].dataType.simpleString()
-    s, q = (df.where(F.col(values).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(values).alias("v")) for df in (series, probes))
+    if isinstance(probes, list):
+        probes = series.sparkSession.createDataFrame([(p, [float(x) for x in v]) for p, v in probes], f"`{id_col}` {kind}, `{values}` array<double>")
+    s, q = (df.where(F.col(values).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(values).cast("array<double>").alias("v")) for df in (series, probes))
     nb, nq = max(1, -(-s.count() // block)), max(1, -(-q.count() // probe_block))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

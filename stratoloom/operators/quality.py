@@ -190,18 +190,28 @@ class BigramModel:
     these, at most ``most`` of either.
     """
 
-    def __init__(self, counts: DataFrame, queries: list[str], most_edits: int = 2, most: int = 100_000, discount: float = 0.4):
-        words = sorted({w for q in queries for w in q.split()})
+    def __init__(self, counts: DataFrame, queries: list[str] | None = None, most_edits: int = 2, most: int = 100_000, discount: float = 0.4):
+        self.counts, self.most_edits, self.most, self.discount = counts, most_edits, most, discount
         self.near: dict[str, list[tuple[str, int]]] = {}
-        for r in few_or_raise(words_near(counts, words, most_edits), most, "words near the queries"):
-            self.near.setdefault(r.near, []).append((r.word, r.edits))
+        self.one: dict[str, int] = {}
+        self.two: dict[str, int] = {}
+        sums = counts.where(~F.col("gram").contains(" ")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
+        self.total, self.words = max(1, sums.n or 0), sums.words
+        self._load({w for q in queries or () for w in q.split()})
+
+    def _load(self, words: set[str]) -> None:
+        """Bring the candidates of further query words, their counts and those of their pairs."""
+        fresh = sorted(words - self.near.keys())
+        if not fresh:
+            return
+        self.near |= {w: [] for w in fresh}
+        for r in few_or_raise(words_near(self.counts, fresh, self.most_edits), self.most, "words near the queries"):
+            self.near[r.near].append((r.word, r.edits))
         known = sorted({w for x in self.near.values() for w, _ in x})
         parts = F.split("gram", " ")
         both = (F.size(parts) == 2) & parts[0].isin(known) & F.element_at(parts, -1).isin(known)
-        self.one = {r.gram: r.n for r in few_or_raise(counts.where(F.col("gram").isin(known)), most, "candidates")}
-        self.two = {r.gram: r.n for r in few_or_raise(counts.where(both), most, "pairs of candidates")}
-        sums = counts.where(~F.col("gram").contains(" ")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
-        self.total, self.words, self.discount = max(1, sums.n or 0), sums.words, discount
+        self.one = {r.gram: r.n for r in few_or_raise(self.counts.where(F.col("gram").isin(known)), self.most, "candidates")}
+        self.two = {r.gram: r.n for r in few_or_raise(self.counts.where(both), self.most, "pairs of candidates")}
 
     def cost(self, before: str | None, word: str) -> float:
         """Negative log probability of a word after another."""
@@ -213,6 +223,7 @@ class BigramModel:
 
     def correct(self, query: list[str], edit_cost: float = 3.0) -> list[str]:
         """The cheapest path through the lattice of known words near each query word (Viterbi, sums of costs)."""
+        self._load(set(query))
         layers = [[(k, d * edit_cost) for k, d in sorted(self.near.get(w, ()))] or [(w, 0.0)] for w in query]
         best = {k: (c + self.cost(None, k), [k]) for k, c in layers[0]} if layers else {}
         for layer in layers[1:]:
