@@ -30,3 +30,18 @@ def test_core_periphery_by_reach_and_at_size():
     began = time.process_time()
     roles = dict(L.core_periphery(nodes, pairs))
     assert len(roles) == len(nodes) and time.process_time() - began < 20
+
+
+def test_min_cut_by_all_cuts_and_at_size():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        nodes, pairs = random_pairs(rng, int(rng.integers(2, 9)), int(rng.integers(1, 30)))
+        n = len(nodes)
+        sides = [[m >> v & 1 for v in range(n)] for m in range(1, 2 ** (n - 1))]
+        want = min((sum(s[a] != s[b] for a, b in pairs.tolist()) for s in sides), default=0)
+        assert L.min_cut(nodes, pairs) == [(n, float(want))]
+    # two dense halves of 1,500 nodes, joined by three edges
+    half = np.concatenate([np.stack([np.arange(1500), (np.arange(1500) + k) % 1500], 1) for k in (1, 2, 5, 11)])
+    pairs = np.concatenate([half, half + 1500, [[0, 1500], [700, 2200], [9, 1510]]])
+    began = time.process_time()
+    assert L.min_cut(np.arange(3000), pairs) == [(3000, 3.0)] and time.process_time() - began < 20
