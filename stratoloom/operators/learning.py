@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import few_or_raise, map_frames, ship
+from ..session import Cuts, few_or_raise, map_frames, ship
 
 #: Starting centres, cluster-number sweeps and forests are fitted on at most about this many rows.
 SAMPLE_ROWS = 20_000
@@ -366,41 +366,76 @@ def move_split_merge(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> float:
     return float(d[-1, -1])
 
 
+def move_split_merge_all(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> np.ndarray:
+    """:func:`move_split_merge` of every row of ``a`` (series of one length) with every row of ``b`` (of one length)."""
+
+    def step(new: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        # how far the value lies outside the two others
+        return cost + np.maximum(np.maximum(np.minimum(x, y) - new, new - np.maximum(x, y)), 0.0)
+
+    n, m = a.shape[1], b.shape[1]
+    if not n or not m:
+        return np.full((len(a), len(b)), 0.0 if n == m else math.inf)
+    p, q = [a[:, i, None] for i in range(n)], [b[None, :, j] for j in range(m)]
+    row = [np.abs(p[0] - q[0])]
+    for j in range(1, m):
+        row.append(row[-1] + step(q[j], p[0], q[j - 1]))
+    for i in range(1, n):
+        new = [row[0] + step(p[i], p[i - 1], q[0])]
+        for j in range(1, m):
+            split = np.minimum(row[j] + step(p[i], p[i - 1], q[j]), new[-1] + step(q[j], p[i], q[j - 1]))
+            new.append(np.minimum(row[j - 1] + np.abs(p[i] - q[j]), split))
+        row = new
+    return row[-1]
+
+
 def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col: str, values: str, k: int, cost: float = 0.1, block: int = 2048, probe_block: int = 256) -> DataFrame:
     """The ``k`` nearest series of every probe: ``probe, id, distance``; ties go to the smaller id.
 
-    Both tables have ``id_col`` and ``values`` (probes may be a list of such pairs); null values are dropped.  Blocks of series meet blocks of
-    probes, each keeps its best, and only those are ranked together.  A series whose bound (the
-    difference of the extremes) cannot beat the k-th so far is skipped.
+    Both tables have ``id_col`` and ``values`` (probes may be a list of such pairs); null values are dropped.  Series
+    with the same values are compared once, with the ``k`` smallest of their ids.  Blocks of series meet blocks of
+    probes, series of one length together; each block keeps its best, and only those are ranked together.
     """
     kind = series.schema[id_col].dataType.simpleString()
     if isinstance(probes, list):
         probes = series.sparkSession.createDataFrame([(p, [float(x) for x in v]) for p, v in probes], f"`{id_col}` {kind}, `{values}` array<double>")
     s, q = (df.where(F.col(values).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(values).cast("array<double>").alias("v")) for df in (series, probes))
-    nb, nq = max(1, -(-s.count() // block)), max(1, -(-q.count() // probe_block))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+    from .windows import top_per_group
+
+    cuts = Cuts(series.sparkSession, "series-neighbours")
+    base = cuts.cut(top_per_group(s, ["v"], [F.col("id")], k).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    asked = cuts.cut(q.select("v").distinct())
+    nb, nq = max(1, -(-base.count() // block)), max(1, -(-asked.count() // probe_block))
+    own = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = s.select("id", "v", F.lit(0).alias("side"), own(nb).alias("b"), each(nq).alias("qb")).unionByName(q.select("id", "v", F.lit(1).alias("side"), each(nb).alias("b"), own(nq).alias("qb")))
+    both = base.select("ids", "v", F.lit(0).alias("side"), own(nb).alias("b"), each(nq).alias("qb")).unionByName(asked.select(F.lit(None).cast(f"array<{kind}>").alias("ids"), "v", F.lit(1).alias("side"), each(nb).alias("b"), own(nq).alias("qb")))
+
+    def by_length(vs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes = np.array([len(v) for v in vs])
+        return [(at, np.stack([vs[i] for i in at])) for at in (np.nonzero(sizes == n)[0] for n in np.unique(sizes))]
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        base = [(i, np.asarray(v, float)) for i, v in zip(pdf["id"][pdf["side"] == 0], pdf["v"][pdf["side"] == 0])]
-        for p, v in zip(pdf["id"][pdf["side"] == 1], pdf["v"][pdf["side"] == 1]):
-            y = np.asarray(v, float)
-            best: list[tuple] = []
-            for i, x in base:
-                # a value outside the other's range has to move at least that far
-                bound = max(abs(x.max() - y.max()), abs(x.min() - y.min())) if len(x) and len(y) else 0.0
-                if len(best) < k or bound <= best[-1][0]:
-                    best = sorted([*best, (move_split_merge(y, x, cost), i)])[:k]
-            rows += [(p, i, d) for d, i in best]
-        return pd.DataFrame(rows, columns=["probe", "id", "distance"])
-
-    from .windows import top_per_group
+        ids, xs, ys = pdf["ids"][pdf["side"] == 0].to_list(), *([np.asarray(v, float) for v in pdf["v"][pdf["side"] == side]] for side in (0, 1))
+        if xs:
+            here = by_length(xs)
+            for probe_at, y in by_length(ys):
+                for lo in range(0, len(y), 16):
+                    d = np.empty((len(y[lo : lo + 16]), len(xs)))
+                    for at, x in here:
+                        d[:, at] = move_split_merge_all(y[lo : lo + 16], x, cost)
+                    d[np.isnan(d)] = math.inf
+                    far = np.partition(d, min(k, len(xs)) - 1, axis=1)[:, min(k, len(xs)) - 1]
+                    for r, p in enumerate(probe_at[lo : lo + 16].tolist()):
+                        near = [(float(d[r, c]), i) for c in np.nonzero(d[r] <= far[r])[0].tolist() for i in ids[c]]
+                        rows += [(ys[p], i, dist) for dist, i in sorted(near)[:k]]
+        return pd.DataFrame(rows, columns=["v", "id", "distance"])
 
     ship(series.sparkSession)
-    found = both.groupBy("b", "qb").applyInPandas(look, f"probe {kind}, id {kind}, distance double")
-    return top_per_group(found, ["probe"], [F.col("distance"), F.col("id")], k)
+    found = both.groupBy("b", "qb").applyInPandas(look, f"v array<double>, id {kind}, distance double")
+    best = cuts.cut(top_per_group(found, ["v"], [F.col("distance"), F.col("id")], k))
+    return q.select(F.col("id").alias("probe"), "v").join(best, "v").select("probe", "id", "distance")
 
 
 def trend_of(values: list[float], tolerance: float = 0.1) -> str:

@@ -5,6 +5,7 @@ import time
 import numpy as np
 
 from stratoloom.operators import graph_local as L
+from stratoloom.operators import learning as M
 
 
 def random_pairs(rng, n, m):
@@ -45,3 +46,17 @@ def test_min_cut_by_all_cuts_and_at_size():
     pairs = np.concatenate([half, half + 1500, [[0, 1500], [700, 2200], [9, 1510]]])
     began = time.process_time()
     assert L.min_cut(np.arange(3000), pairs) == [(3000, 3.0)] and time.process_time() - began < 20
+
+
+def test_series_neighbours_of_equal_and_many_series(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(0, 4, rng.integers(0, 6))]) for i in range(150)] + [(200, None), (None, [1.0])]
+    s = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r.probe, r.distance, r.id) for r in M.series_neighbours(s, s.where("id % 10 = 0"), "id", "v", 4, block=16, probe_block=4).collect())
+    known = [(i, np.array(v)) for i, v in rows[:150]]
+    want = [(p, d, i) for p, y in known[::10] for d, i in sorted((M.move_split_merge(y, x), i) for i, x in known)[:4]]
+    assert got == sorted(want)
+    a, b = rng.integers(0, 4, (200, 9)).astype(float), rng.integers(0, 4, (3000, 8)).astype(float)
+    began = time.process_time()
+    d = M.move_split_merge_all(a, b)
+    assert time.process_time() - began < 20 and d[7, 11] == M.move_split_merge(a[7], b[11])
