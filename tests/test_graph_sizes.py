@@ -60,3 +60,25 @@ def test_series_neighbours_of_equal_and_many_series(spark):
     began = time.process_time()
     d = M.move_split_merge_all(a, b)
     assert time.process_time() - began < 20 and d[7, 11] == M.move_split_merge(a[7], b[11])
+
+
+def test_betweenness_of_many_nodes_that_reach_few():
+    rng = np.random.default_rng(4)
+    nodes, pairs = random_pairs(rng, 20, 45)
+    # by the definition, from the numbers of shortest paths
+    n = len(nodes)
+    dist, ways = np.full((n, n), np.inf), np.eye(n)
+    np.fill_diagonal(dist, 0)
+    a = np.zeros((n, n))
+    a[pairs[:, 0], pairs[:, 1]] = 1
+    np.fill_diagonal(a, 0)
+    step = np.eye(n)
+    for h in range(1, n):
+        step = step @ a
+        new = (step > 0) & np.isinf(dist)
+        dist[new], ways[new] = h, step[new]
+    want = [sum(ways[s, v] * ways[v, t] / ways[s, t] for s in range(n) for t in range(n) if len({s, v, t}) == 3 and np.isfinite(dist[s, t]) and dist[s, v] + dist[v, t] == dist[s, t]) for v in range(n)]
+    assert np.allclose([x for _, x in L.betweenness(nodes, pairs)], want)
+    nodes, pairs = random_pairs(rng, 40_000, 20_000)
+    began = time.process_time()
+    assert len(list(L.betweenness(nodes, pairs))) == len(nodes) and time.process_time() - began < 20
