@@ -82,3 +82,20 @@ def test_betweenness_of_many_nodes_that_reach_few():
     nodes, pairs = random_pairs(rng, 40_000, 20_000)
     began = time.process_time()
     assert len(list(L.betweenness(nodes, pairs))) == len(nodes) and time.process_time() - began < 20
+
+
+def test_constraint_by_matrices_and_at_size():
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 1), (25, 60), (12, 90), (4, 3)):
+        nodes, pairs = random_pairs(rng, n, m)
+        a = np.zeros((len(nodes), len(nodes)))
+        a[pairs[:, 0], pairs[:, 1]] = a[pairs[:, 1], pairs[:, 0]] = 1
+        np.fill_diagonal(a, 0)
+        p = a / np.maximum(a.sum(1, keepdims=True), 1)
+        want = ((p + p @ p) ** 2 * (p > 0)).sum(1)
+        for chunk in (1, 7, 1 << 20):
+            assert np.allclose([x for _, x in L.constraint(nodes, pairs, chunk)], want)
+    assert list(L.constraint(np.array([5]), np.array([[0, 0]]))) == [(5, 0.0)]
+    # a matrix of these nodes would take 80 GB
+    nodes, pairs = random_pairs(rng, 100_000, 110_000)
+    assert len(list(L.constraint(nodes, pairs))) == len(nodes)
