@@ -99,3 +99,33 @@ def test_constraint_by_matrices_and_at_size():
     # a matrix of these nodes would take 80 GB
     nodes, pairs = random_pairs(rng, 100_000, 110_000)
     assert len(list(L.constraint(nodes, pairs))) == len(nodes)
+
+
+def test_centralities_by_matrices_and_at_size():
+    rng = np.random.default_rng(6)
+    for n, m in ((2, 1), (30, 25), (40, 400), (90, 60)):
+        nodes, pairs = random_pairs(rng, n, m)
+        n = len(nodes)
+        a = np.zeros((n, n))
+        a[pairs[:, 0], pairs[:, 1]] = a[pairs[:, 1], pairs[:, 0]] = 1
+        np.fill_diagonal(a, 0)
+        dist, reach = np.zeros((n, n)), np.eye(n) > 0
+        for h in range(1, n):
+            new = (reach @ a > 0) & ~reach
+            dist[new] = h
+            reach |= new
+        r, total = reach.sum(1) - 1, dist.sum(1)
+        close = np.where(total > 0, r / max(n - 1, 1) * r / np.maximum(total, 1), 0)
+        limit = min(0.1, 0.9 / max(1.0, np.abs(np.linalg.eigvalsh(a)).max()))
+        eig, katz = np.ones(n) / n**0.5, np.zeros(n)
+        for _ in range(100):
+            eig = a @ eig + eig
+            eig /= np.linalg.norm(eig)
+            katz = limit * a @ katz + 1
+        want = np.stack([close, eig, katz / np.linalg.norm(katz)], 1)
+        for block in (5, 1024):
+            assert np.allclose([x[1:] for x in L.centralities(nodes, pairs, block=block)], want, atol=1e-9)
+    # a matrix of these nodes would take 7 GB
+    nodes, pairs = random_pairs(rng, 30_000, 20_000)
+    began = time.process_time()
+    assert len(list(L.centralities(nodes, pairs))) == len(nodes) and time.process_time() - began < 60
