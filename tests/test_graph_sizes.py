@@ -129,3 +129,21 @@ def test_centralities_by_matrices_and_at_size():
     nodes, pairs = random_pairs(rng, 30_000, 20_000)
     began = time.process_time()
     assert len(list(L.centralities(nodes, pairs))) == len(nodes) and time.process_time() - began < 60
+
+
+def test_spectral_by_matrix_and_at_size():
+    rng = np.random.default_rng(7)
+    for n in (300, 40, 7):
+        ring = np.stack([np.arange(n), (np.arange(n) + 1) % n], 1)
+        pairs = np.concatenate([ring, rng.integers(0, n, (n // 4, 2))])
+        exact, found = L.spectral(np.arange(n), pairs)[0][1], L.spectral(np.arange(n), pairs, dense=3)[0][1]
+        assert abs(exact - found) < 1e-8 * exact and exact > 0
+    assert abs(L.spectral(np.arange(4), np.array([[0, 1], [1, 2], [2, 3]]))[0][1] - (2 - 2**0.5)) < 1e-12
+    assert L.spectral(np.arange(4), np.array([[0, 1], [2, 3]])) == [(4, 0.0)]
+    # matrices of these nodes would take 72 GB and 0.1 GB
+    nodes, pairs = random_pairs(rng, 100_000, 110_000)
+    assert L.spectral(nodes, pairs) == [(len(nodes), 0.0)]
+    n = 4_000
+    pairs = np.concatenate([np.stack([np.arange(n), (np.arange(n) + 1) % n], 1), rng.integers(0, n, (2 * n, 2))])
+    began = time.process_time()
+    assert 0 < L.spectral(np.arange(n), pairs)[0][1] < 6 and time.process_time() - began < 60
