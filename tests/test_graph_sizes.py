@@ -4,6 +4,8 @@ import time
 
 import numpy as np
 
+from stratoloom.operators import graph as G
+from stratoloom.operators import graph_blocks as K
 from stratoloom.operators import graph_local as L
 from stratoloom.operators import learning as M
 
@@ -147,3 +149,28 @@ def test_spectral_by_matrix_and_at_size():
     pairs = np.concatenate([np.stack([np.arange(n), (np.arange(n) + 1) % n], 1), rng.integers(0, n, (2 * n, 2))])
     began = time.process_time()
     assert 0 < L.spectral(np.arange(n), pairs)[0][1] < 6 and time.process_time() - began < 60
+
+
+def test_harmonic_of_all_nodes_as_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [tuple(map(int, e)) for e in np.concatenate([rng.integers(0, 60, (50, 2)), rng.integers(100, 130, (90, 2)) * 7, [[900 + i, 901 + i] for i in range(70)]])] + [(5, 5), (2000, 2000), (None, 3)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    for hops in (64, 3):
+        with monkeypatch.context() as m:
+            m.setattr(K, "_PACK_NODES", 40)
+            got = {r.id: r.harmonic for r in G.harmonic_centrality(e, most_hops=hops).collect()}
+            m.setattr(K, "MOST_NODES", 0)
+            want = {r.id: r.harmonic for r in G.harmonic_centrality(e, most_hops=hops).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    # all pairs of these nodes would be 100 million rows
+    pairs = rng.integers(0, 10_000, (60_000, 2))
+    h = G.harmonic_centrality(spark.createDataFrame([tuple(map(int, p)) for p in pairs], "src long, dst long")).toPandas()
+    first, dst = (lambda s, d: (np.searchsorted(s, np.arange(10_001)), d))(*L._undirected(10_000, pairs))
+    v = int(h["id"].iloc[17])
+    dist, todo = {v: 0}, [v]
+    for a in todo:
+        for b in dst[first[a] : first[a + 1]].tolist():
+            if b not in dist:
+                dist[b] = dist[a] + 1
+                todo.append(b)
+    assert len(h) == len(np.unique(pairs)) and abs(h["harmonic"].iloc[17] - sum(1 / d for d in dist.values() if d) / (len(h) - 1)) < 1e-12
