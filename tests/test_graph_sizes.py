@@ -174,3 +174,32 @@ def test_harmonic_of_all_nodes_as_by_rounds(spark, monkeypatch):
                 dist[b] = dist[a] + 1
                 todo.append(b)
     assert len(h) == len(np.unique(pairs)) and abs(h["harmonic"].iloc[17] - sum(1 / d for d in dist.values() if d) / (len(h) - 1)) < 1e-12
+
+
+def test_cores_in_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    # degrees of all sizes, so that taking away by levels takes hundreds of rounds
+    pairs = np.concatenate([(rng.random((3_000, 2)) ** 3 * 400).astype(int), [[500, 501], [501, 502], [600, 600]]])
+    e = spark.createDataFrame([tuple(map(int, p)) for p in pairs] + [(None, 1), (700, None)], "src int, dst int")
+    adj = {int(v): set() for v in np.unique(pairs)}
+    for a, b in pairs.tolist():
+        if a != b:
+            adj[a].add(b)
+            adj[b].add(a)
+    want, left, k = {}, {v: len(x) for v, x in adj.items()}, 0
+    while left:
+        v = min(left, key=left.get)
+        k = max(k, left.pop(v))
+        want[v] = k
+        for u in adj[v]:
+            if u in left:
+                left[u] -= 1
+    cuts = []
+    monkeypatch.setattr(G.Cuts, "cut", lambda self, df, f=G.Cuts.cut: cuts.append(0) or f(self, df))
+    core = G.k_core(e)
+    assert {r.id: r.core for r in core.collect()} == want and core.schema["id"].dataType.typeName() == "integer" and len(cuts) < 5
+    monkeypatch.setattr(K, "MOST_NODES", 0)
+    few = e.where("src > 300")
+    by_levels = {r.id: r.core for r in G.k_core(few).collect()}
+    monkeypatch.undo()
+    assert {r.id: r.core for r in G.k_core(few).collect()} == by_levels
