@@ -2,7 +2,7 @@
 
 The mixture (expectation-maximisation, full covariances shrunk towards spheres, on standardised
 and reduced features, number of components by the Bayesian information criterion) says where the
-rows are dense; the members of highest density stand for their components and are the pivots from
+rows are dense, fitted on all of them; the members of highest density stand for their components and are the pivots from
 which chains are followed.  Chains that no pivot sees are found by an exact check, pruned by the
 Cauchy-Schwarz bound in the plane of two centres.
 """
@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import Cuts, few_or_raise, map_frames, ship
-from .neighbours import unit_matrix, vector_sample
+from ..session import Cuts, few_or_raise, map_frames
+from .neighbours import unit_matrix
 
-#: The mixture is fitted on at most about this many rows; moments, assignment and chains use all rows.
-SAMPLE_ROWS = 8_192
 COMPONENTS = (8, 16, 32, 48, 64, 96)
 _BLOCK_ROWS = 4096
 
@@ -53,60 +51,83 @@ class Mixture:
         return out
 
 
-def _fit_em(z: np.ndarray, k: int, iterations: int, shrink: float, seed: int) -> tuple:
-    """Expectation-maximisation from distant starting rows; (weights, centres, whiten, logdet, bic)."""
+def _seeds(x: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` distant ones of the weighted rows (greedy k-means++: of some candidates the one that lowers the total distance most)."""
     rng = np.random.default_rng(seed)
-    n, d = z.shape
-    k = min(k, n)
-    chosen = [int(rng.integers(n))]
-    dist = ((z - z[chosen[0]]) ** 2).sum(1)
+    n = len(x)
+    chosen = [int(rng.choice(n, p=weights / weights.sum()))]
+    dist = ((x - x[chosen[0]]) ** 2).sum(1)
     for _ in range(k - 1):
-        # greedy k-means++: of some candidates the one that lowers the total distance most
-        cand = rng.choice(n, 4, p=dist / dist.sum()) if dist.sum() > 0 else rng.integers(n, size=4)
-        ds = [np.minimum(dist, ((z - z[c]) ** 2).sum(1)) for c in cand]
-        best = int(np.argmin([x.sum() for x in ds]))
+        mass = dist * weights
+        cand = rng.choice(n, 4, p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(n, size=4)
+        ds = [np.minimum(dist, ((x - x[c]) ** 2).sum(1)) for c in cand]
+        best = int(np.argmin([(d * weights).sum() for d in ds]))
         chosen.append(int(cand[best]))
         dist = ds[best]
-    centres = z[chosen].copy()
-    near = np.concatenate([(((z[i : i + 1024] ** 2).sum(1)[:, None]) - 2 * z[i : i + 1024] @ centres.T + (centres**2).sum(1)).argmin(1) for i in range(0, n, 1024)])
-    resp = np.zeros((n, k))
-    resp[np.arange(n), near] = 1.0
-    last = -np.inf
-    floor = 1e-4 * z.var(0).mean() + 1e-9
-    for _ in range(iterations):
-        nk = resp.sum(0) + 1e-9
-        weights = nk / n
-        centres = resp.T @ z / nk[:, None]
-        whiten, logdet = np.empty((k, d, d)), np.empty(k)
-        for j in range(k):
-            c = z - centres[j]
-            s = (c * resp[:, j : j + 1]).T @ c / nk[j]
-            sphere = max(np.trace(s) / d, floor)
-            # the fewer rows a component has for its dimensions, the more it is a sphere
-            lam = max(shrink, min(1.0, d / nk[j]))
-            s = (1 - lam) * s + (lam * sphere + floor) * np.eye(d)
-            low = np.linalg.cholesky(s)
-            whiten[j] = np.linalg.inv(low).T
-            logdet[j] = 2 * np.log(np.diag(low)).sum()
-        m = Mixture(np.zeros(d), np.ones(d), np.eye(d), weights, centres, whiten, logdet)
-        parts = m.log_parts(z)
-        top = parts.max(1)
-        total = top + np.log(np.exp(parts - top[:, None]).sum(1))
-        resp = np.exp(parts - total[:, None])
-        ll = float(total.sum())
-        if ll - last < 1e-4 * abs(ll):
-            break
-        last = ll
-    # free parameters: weights, centres, covariances (as many as their rows can carry)
-    free = k - 1 + k * d + np.minimum(d * (d + 1) / 2, nk).sum()
-    return weights, centres, whiten, logdet, -2 * ll + free * np.log(n)
-
-
-def fit_mixture(vectors: DataFrame, components: tuple[int, ...] = COMPONENTS, sample_rows: int = SAMPLE_ROWS, dims: int = 48, shrink: float = 0.1, iterations: int = 12, seed: int = 5) -> Mixture | None:
+    return x[chosen]
+
+
+def _squared_distances(z: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((z**2).sum(1)[:, None] - 2 * z @ c.T + (c**2).sum(1), 0.0)
+
+
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) that follows from the id (splitmix64)."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(salt + 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+
+
+def _monomials(z: np.ndarray) -> np.ndarray:
+    """1, the features and their products: what the log densities and the sums of moments are linear in."""
+    a, b = np.triu_indices(z.shape[1])
+    return np.concatenate([np.ones((len(z), 1)), z, z[:, a] * z[:, b]], axis=1)
+
+
+def _maximised(moments: np.ndarray, n: int, d: int, shrink: float, floor: float) -> tuple:
+    """(weights, centres, whiten, logdet, nk) from every component's sums of :func:`_monomials`."""
+    k = len(moments)
+    nk = moments[:, 0] + 1e-9
+    centres = moments[:, 1 : d + 1] / nk[:, None]
+    whiten, logdet = np.empty((k, d, d)), np.empty(k)
+    a, b = np.triu_indices(d)
+    for j in range(k):
+        s = np.empty((d, d))
+        s[a, b] = s[b, a] = moments[j, d + 1 :]
+        s = s / nk[j] - np.outer(centres[j], centres[j])
+        sphere = max(np.trace(s) / d, floor)
+        # the fewer rows a component has for its dimensions, the more it is a sphere
+        lam = max(shrink, min(1.0, d / nk[j]))
+        low = np.linalg.cholesky((1 - lam) * s + (lam * sphere + floor) * np.eye(d))
+        whiten[j] = np.linalg.inv(low).T
+        logdet[j] = 2 * np.log(np.diag(low)).sum()
+    return nk / n, centres, whiten, logdet, nk
+
+
+def _coefficients(weights: np.ndarray, centres: np.ndarray, whiten: np.ndarray, logdet: np.ndarray) -> np.ndarray:
+    """Of every component's log weight plus log density, over the :func:`_monomials` of a row."""
+    k, d = centres.shape
+    a, b = np.triu_indices(d)
+    out = np.empty((k, 1 + d + len(a)))
+    for j in range(k):
+        inverse = whiten[j] @ whiten[j].T
+        pull = inverse @ centres[j]
+        out[j, 0] = np.log(weights[j] + 1e-300) - 0.5 * (centres[j] @ pull + logdet[j] + d * np.log(2 * np.pi))
+        out[j, 1 : d + 1] = pull
+        out[j, d + 1 :] = np.where(a == b, -0.5, -1.0) * inverse[a, b]
+    return out
+
+
+def fit_mixture(vectors: DataFrame, components: tuple[int, ...] = COMPONENTS, dims: int = 48, shrink: float = 0.1, iterations: int = 12, seed: int = 5) -> Mixture | None:
     """The mixture with the best information criterion over the unit vectors; None for no vectors.
 
-    Mean, scale and covariance (for standardising and reducing) are taken over all rows, as sums that
-    are combined before they reach the driver; the mixture is fitted on a bounded sample.
+    Everything is taken over all rows, as sums that are combined before they reach the driver: mean, scale and
+    covariance (for standardising and reducing), and every step of the expectation-maximisation, in which one pass
+    serves all numbers of components.  It starts from distant rows: a few passes draw rows by their distance from
+    those drawn so far, one counts the rows next to each, and these counts weigh them in the choice of the centres.
     """
     spark = vectors.sparkSession
     head = vectors.select("vec").first()
@@ -130,14 +151,117 @@ def fit_mixture(vectors: DataFrame, components: tuple[int, ...] = COMPONENTS, sa
     cov = flat[d + 1 :].reshape(d, d) / n - np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     values, axes = np.linalg.eigh(cov / np.outer(scale, scale))
-    basis = axes[:, ::-1][:, : min(dims, d)]
-    z = ((vector_sample(vectors, sample_rows, n).astype(np.float64) - mean) / scale) @ basis
-    grid = sorted({min(k, len(z)) for k in components})
-    ship(spark)
-    # each number of components is a task of its own
-    fits = spark.sparkContext.parallelize(grid, len(grid)).map(lambda k: _fit_em(z, k, iterations, shrink, seed)).collect()
-    w, c, wh, ld, bic = min(fits, key=lambda f: f[4])
-    return Mixture(mean, scale, basis, w, c, wh, ld, bic)
+    dims = min(dims, d)
+    basis = axes[:, ::-1][:, :dims]
+    floor = 1e-4 * max(values[::-1][:dims].mean(), 0.0) + 1e-9
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                z = ((unit_matrix(b["vec"]) - mean) / scale) @ basis
+                yield pd.DataFrame({"ids": [b["id"].to_numpy(np.int64).tobytes()], "z": [z.tobytes()]})
+
+    cuts = Cuts(spark, "mixture")
+    kept = cuts.cut(map_frames(vectors.select("id", "vec"), reduce, "ids binary, z binary"))
+    # as many tasks as run at once, for each brings sums of its own
+    reduced = kept.coalesce(max(1, spark.sparkContext.defaultParallelism))
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for ids, z in zip(b["ids"], b["z"]):
+                ids, z = np.frombuffer(ids, np.int64), np.frombuffer(z, np.float64).reshape(-1, dims)
+                for i in range(0, len(z), 2048):
+                    yield ids[i : i + 2048], z[i : i + 2048]
+
+    # the rows are drawn without replacement, by the least of exponential times over squared distances
+    each = 2 * max(components)
+    drawn = np.zeros((1, dims))
+    for salt in range(seed, seed + 3):
+
+        def draw(batches: Iterator[pd.DataFrame], drawn=drawn, salt=salt) -> Iterator[pd.DataFrame]:
+            keys, rows = np.zeros(0), np.zeros((0, dims))
+            for ids, z in features(batches):
+                far = _squared_distances(z, drawn).min(1)
+                at = np.nonzero(far > 1e-12)[0]
+                keys, rows = np.concatenate([keys, -np.log(_uniform(ids[at], salt)) / far[at]]), np.concatenate([rows, z[at]])
+                keep = np.argsort(keys, kind="stable")[:each]
+                keys, rows = keys[keep], rows[keep]
+            yield pd.DataFrame({"key": keys, "z": [r.tobytes() for r in rows]})
+
+        got = map_frames(reduced, draw, "key double, z binary").orderBy("key", "z").limit(each).collect()
+        if not got:
+            break
+        drawn = np.unique(np.concatenate([drawn, [np.frombuffer(r.z, np.float64) for r in got]]), axis=0)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = np.zeros(len(drawn))
+        for _, z in features(batches):
+            near += np.bincount(_squared_distances(z, drawn).argmin(1), minlength=len(drawn))
+        yield pd.DataFrame({"pos": np.arange(len(drawn)), "val": near})
+
+    weights = np.zeros(len(drawn))
+    for r in few_or_raise(map_frames(reduced, count, "pos int, val double").groupBy("pos").agg(F.sum("val").alias("val")), len(drawn), "counts of starting rows"):
+        weights[r.pos] = r.val
+    drawn, weights = drawn[weights > 0], weights[weights > 0]
+    size = 1 + dims + dims * (dims + 1) // 2
+
+    def moments(scores: dict[int, tuple[np.ndarray, bool]]) -> dict[int, tuple[float, np.ndarray]]:
+        """Log-likelihood and sums of moments over all rows, by number of components; the scores are linear in the
+        monomials, hard ones give a row to its best component."""
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = {k: np.zeros((k, size)) for k in scores}
+            ll = dict.fromkeys(scores, 0.0)
+            for _, z in features(batches):
+                phi = _monomials(z)
+                for k, (score, hard) in scores.items():
+                    parts = phi @ score.T
+                    top = parts.max(1, keepdims=True)
+                    if hard:
+                        resp = np.zeros_like(parts)
+                        resp[np.arange(len(z)), parts.argmax(1)] = 1.0
+                    else:
+                        resp = np.exp(parts - top)
+                        total = resp.sum(1, keepdims=True)
+                        resp /= total
+                        ll[k] += float((top + np.log(total)).sum())
+                    acc[k] += resp.T @ phi
+            yield pd.DataFrame({"k": list(acc), "ll": [ll[k] for k in acc], "sums": [acc[k].tobytes() for k in acc]})
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x, np.float64) for x in pdf["sums"])
+            return pd.DataFrame({"k": pdf["k"].iloc[:1], "ll": [pdf["ll"].sum()], "sums": [total.tobytes()]})
+
+        got = map_frames(reduced, add, "k int, ll double, sums binary").groupBy("k").applyInPandas(merge, "k int, ll double, sums binary")
+        return {r.k: (r.ll, np.frombuffer(r.sums, np.float64).reshape(r.k, size)) for r in few_or_raise(got, len(scores), "numbers of components")}
+
+    hard = {}
+    for k in sorted({min(k, len(drawn)) for k in components}):
+        c = _seeds(drawn, weights, k, seed)
+        hard[k] = (np.concatenate([-0.5 * (c**2).sum(1)[:, None], c, np.zeros((k, size - 1 - dims))], axis=1), True)
+    now = {k: (-np.inf, _maximised(m, n, dims, shrink, floor)) for k, (_, m) in moments(hard).items()}
+    open_ = set(now)
+    for i in range(iterations):
+        got = moments({k: (_coefficients(*now[k][1][:4]), False) for k in sorted(open_)})
+        for k, (ll, m) in got.items():
+            last = now[k][0]
+            if ll - last < 1e-4 * abs(ll) or i == iterations - 1:
+                now[k] = (ll, now[k][1])
+                open_.discard(k)
+            else:
+                now[k] = (ll, _maximised(m, n, dims, shrink, floor))
+        if not open_:
+            break
+    cuts.drop(kept)
+
+    def criterion(k: int) -> float:
+        # free parameters: weights, centres, covariances (as many as their rows can carry)
+        ll, (*_, nk) = now[k]
+        return -2 * ll + (k - 1 + k * dims + np.minimum(dims * (dims + 1) / 2, nk).sum()) * np.log(n)
+
+    best = min(now, key=criterion)
+    w, c, wh, ld, _ = now[best][1]
+    return Mixture(mean, scale, basis, w, c, wh, ld, criterion(best))
 
 
 def assign(vectors: DataFrame, mixture: Mixture) -> DataFrame:
