@@ -176,6 +176,31 @@ def test_harmonic_of_all_nodes_as_by_rounds(spark, monkeypatch):
     assert len(h) == len(np.unique(pairs)) and abs(h["harmonic"].iloc[17] - sum(1 / d for d in dist.values() if d) / (len(h) - 1)) < 1e-12
 
 
+def test_harmonic_of_a_large_component_without_a_table_of_pairs(spark, monkeypatch):
+    # one component with a hub of many neighbours and a tail
+    rng = np.random.default_rng(10)
+    pairs = np.concatenate([rng.integers(0, 700, (900, 2)), np.stack([np.full(400, 3), np.arange(400)], 1), np.stack([np.arange(699, 719), np.arange(700, 720)], 1), np.stack([np.arange(699), np.arange(1, 700)], 1)])
+    src, dst = L._undirected(720, pairs)
+    first = np.searchsorted(src, np.arange(721))
+    want = []
+    for v in range(720):
+        dist, todo = {v: 0}, [v]
+        for a in todo:
+            for b in dst[first[a] : first[a + 1]].tolist():
+                if b not in dist:
+                    dist[b] = dist[a] + 1
+                    todo.append(b)
+        want.append(sum(1 / d for d in dist.values() if d) / 719)
+    # limits of a worker, ranges of sources, blocks and rows of sums that this component goes beyond
+    for name, value in (("MOST_LINKS", 500), ("BLOCK_LINKS", 300), ("_TASKS", 7), ("_SEARCH_WORDS", 720), ("_SUM_NODES", 100)):
+        monkeypatch.setattr(K, name, value, raising=False)
+    written = []
+    monkeypatch.setattr(G.Cuts, "cut", lambda self, df, *by, f=G.Cuts.cut: written.append(df.columns) or f(self, df, *by))
+    h = G.harmonic_centrality(spark.createDataFrame([tuple(map(int, p)) for p in pairs], "src int, dst int")).orderBy("id").toPandas()
+    assert h["id"].tolist() == list(range(720)) and np.allclose(h["harmonic"], want, atol=1e-12, rtol=0)
+    assert ["s", "v"] not in written and len(written) < 5
+
+
 def test_cores_in_few_rounds(spark, monkeypatch):
     rng = np.random.default_rng(9)
     # degrees of all sizes, so that taking away by levels takes hundreds of rounds
