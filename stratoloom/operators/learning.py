@@ -366,35 +366,61 @@ def move_split_merge(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> float:
     return float(d[-1, -1])
 
 
-def move_split_merge_all(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> np.ndarray:
-    """:func:`move_split_merge` of every row of ``a`` (series of one length) with every row of ``b`` (of one length)."""
+def _split_merge(p: list[np.ndarray], q: list[np.ndarray], cost: float) -> np.ndarray:
+    """Distances of series whose values at each time are in ``p`` and ``q``, arrays that are broadcast together."""
 
     def step(new: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         # how far the value lies outside the two others
         return cost + np.maximum(np.maximum(np.minimum(x, y) - new, new - np.maximum(x, y)), 0.0)
 
-    n, m = a.shape[1], b.shape[1]
-    if not n or not m:
-        return np.full((len(a), len(b)), 0.0 if n == m else math.inf)
-    p, q = [a[:, i, None] for i in range(n)], [b[None, :, j] for j in range(m)]
     row = [np.abs(p[0] - q[0])]
-    for j in range(1, m):
+    for j in range(1, len(q)):
         row.append(row[-1] + step(q[j], p[0], q[j - 1]))
-    for i in range(1, n):
+    for i in range(1, len(p)):
         new = [row[0] + step(p[i], p[i - 1], q[0])]
-        for j in range(1, m):
+        for j in range(1, len(q)):
             split = np.minimum(row[j] + step(p[i], p[i - 1], q[j]), new[-1] + step(q[j], p[i], q[j - 1]))
             new.append(np.minimum(row[j - 1] + np.abs(p[i] - q[j]), split))
         row = new
     return row[-1]
 
 
+def move_split_merge_all(a: np.ndarray, b: np.ndarray, cost: float = 0.1) -> np.ndarray:
+    """:func:`move_split_merge` of every row of ``a`` (series of one length) with every row of ``b`` (of one length)."""
+    n, m = a.shape[1], b.shape[1]
+    if not n or not m:
+        return np.full((len(a), len(b)), 0.0 if n == m else math.inf)
+    return _split_merge([a[:, i, None] for i in range(n)], [b[None, :, j] for j in range(m)], cost)
+
+
+def move_split_merge_pairs(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, cost: float = 0.1) -> np.ndarray:
+    """:func:`move_split_merge` of the series ``a[i]`` and ``b[j]``, pair by pair; infinite where it is no number."""
+    n, m = (np.array([len(v) for v in vs], np.int64)[at] for vs, at in ((a, i), (b, j)))
+    flat = [np.concatenate([np.zeros(0), *vs]) for vs in (a, b)]
+    begin = [np.concatenate([[0], np.cumsum([len(v) for v in vs])])[at].astype(np.int64) for vs, at in ((a, i), (b, j))]
+    d = np.where(n == m, 0.0, math.inf)
+    order = np.lexsort((m, n))
+    for at in np.split(order, np.nonzero(np.diff(n[order]) | np.diff(m[order]))[0] + 1):
+        if len(at) and n[at[0]] and m[at[0]]:
+            for part in np.split(at, range(8192, len(at), 8192)):
+                p, q = ([x[g[part] + t] for t in range(many[at[0]])] for x, g, many in zip(flat, begin, (n, m)))
+                d[part] = _split_merge(p, q, cost)
+    d[np.isnan(d)] = math.inf
+    return d
+
+
+def _shape_of(vs: list[np.ndarray]) -> np.ndarray:
+    """Values of each series that a move by x changes by x at most and a split or merge leaves as they are: ends, extremes and all rises."""
+    return np.array([(v[0], v[-1], v.max(), v.min(), v[0] + np.maximum(np.diff(v), 0).sum()) if len(v) else (0.0,) * 5 for v in vs]).reshape(-1, 5)
+
+
 def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col: str, values: str, k: int, cost: float = 0.1, block: int = 2048, probe_block: int = 256) -> DataFrame:
     """The ``k`` nearest series of every probe: ``probe, id, distance``; ties go to the smaller id.
 
     Both tables have ``id_col`` and ``values`` (probes may be a list of such pairs); null values are dropped.  Series
-    with the same values are compared once, with the ``k`` smallest of their ids.  Blocks of series meet blocks of
-    probes, series of one length together; each block keeps its best, and only those are ranked together.
+    with the same values are compared once, with the ``k`` smallest of their ids; where there are ``k`` of them, they are
+    the nearest.  Blocks of series meet blocks of probes; each block keeps its best, and only those are ranked together.
+    A pair is left out if its lengths, ends, extremes or rises alone are further apart than the ``k`` best so far.
     """
     kind = series.schema[id_col].dataType.simpleString()
     if isinstance(probes, list):
@@ -405,36 +431,46 @@ def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col
 
     cuts = Cuts(series.sparkSession, "series-neighbours")
     base = cuts.cut(top_per_group(s, ["v"], [F.col("id")], k).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    asked = cuts.cut(q.select("v").distinct())
+    # only equal series are at distance 0, and those of numbers always are
+    same = base.where((F.size("ids") >= k) & F.forall("v", lambda x: F.abs(x) < math.inf) & F.lit(cost > 0))
+    asked = cuts.cut(q.select("v").distinct().join(same, "v", "left_anti"))
     nb, nq = max(1, -(-base.count() // block)), max(1, -(-asked.count() // probe_block))
     own = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = base.select("ids", "v", F.lit(0).alias("side"), own(nb).alias("b"), each(nq).alias("qb")).unionByName(asked.select(F.lit(None).cast(f"array<{kind}>").alias("ids"), "v", F.lit(1).alias("side"), each(nb).alias("b"), own(nq).alias("qb")))
 
-    def by_length(vs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        sizes = np.array([len(v) for v in vs])
-        return [(at, np.stack([vs[i] for i in at])) for at in (np.nonzero(sizes == n)[0] for n in np.unique(sizes))]
-
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         ids, xs, ys = pdf["ids"][pdf["side"] == 0].to_list(), *([np.asarray(v, float) for v in pdf["v"][pdf["side"] == side]] for side in (0, 1))
-        if xs:
-            here = by_length(xs)
-            for probe_at, y in by_length(ys):
-                for lo in range(0, len(y), 16):
-                    d = np.empty((len(y[lo : lo + 16]), len(xs)))
-                    for at, x in here:
-                        d[:, at] = move_split_merge_all(y[lo : lo + 16], x, cost)
-                    d[np.isnan(d)] = math.inf
-                    far = np.partition(d, min(k, len(xs)) - 1, axis=1)[:, min(k, len(xs)) - 1]
-                    for r, p in enumerate(probe_at[lo : lo + 16].tolist()):
-                        near = [(float(d[r, c]), i) for c in np.nonzero(d[r] <= far[r])[0].tolist() for i in ids[c]]
-                        rows += [(ys[p], i, dist) for dist, i in sorted(near)[:k]]
+        if xs and ys:
+            many, sizes, wide = np.array([len(i) for i in ids]), np.array([len(x) for x in xs]), _shape_of(xs)
+            for lo in range(0, len(ys), 64):
+                part = ys[lo : lo + 64]
+                with np.errstate(invalid="ignore"):
+                    apart = np.abs(_shape_of(part)[:, None] - wide).max(2)
+                least = np.where(np.isnan(apart), 0.0, apart) + cost * np.abs(np.array([len(y) for y in part])[:, None] - sizes)
+                d = np.full(least.shape, math.inf)
+                # the likeliest first, then all that could be as near
+                first = np.argpartition(least, min(4 * k, len(xs)) - 1, axis=1)[:, : 4 * k]
+                r, c = np.repeat(np.arange(len(part)), first.shape[1]), first.ravel()
+                d[r, c] = move_split_merge_pairs(part, xs, r, c, cost)
+                near = np.take_along_axis(d, first, 1)
+                order = np.argsort(near, axis=1)
+                enough = np.cumsum(many[np.take_along_axis(first, order, 1)], axis=1) >= k
+                far = np.where(enough[:, -1], np.take_along_axis(np.take_along_axis(near, order, 1), enough.argmax(1)[:, None], 1)[:, 0], math.inf)
+                seen = np.zeros(d.shape, bool)
+                seen[r, c] = True
+                could = least * (1 - 1e-9) - 1e-9 <= far[:, None]
+                r, c = np.nonzero(could & ~seen)
+                d[r, c] = move_split_merge_pairs(part, xs, r, c, cost)
+                for r, y in enumerate(part):
+                    close = [(float(d[r, c]), i) for c in np.nonzero((could[r] | seen[r]) & (d[r] <= far[r]))[0].tolist() for i in ids[c]]
+                    rows += [(y, i, dist) for dist, i in sorted(close)[:k]]
         return pd.DataFrame(rows, columns=["v", "id", "distance"])
 
     ship(series.sparkSession)
     found = both.groupBy("b", "qb").applyInPandas(look, f"v array<double>, id {kind}, distance double")
-    best = cuts.cut(top_per_group(found, ["v"], [F.col("distance"), F.col("id")], k))
+    best = cuts.cut(top_per_group(found, ["v"], [F.col("distance"), F.col("id")], k).unionByName(same.select("v", F.explode("ids").alias("id"), F.lit(0.0).alias("distance"))))
     return q.select(F.col("id").alias("probe"), "v").join(best, "v").select("probe", "id", "distance")
 
 

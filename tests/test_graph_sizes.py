@@ -8,6 +8,7 @@ from stratoloom.operators import graph as G
 from stratoloom.operators import graph_blocks as K
 from stratoloom.operators import graph_local as L
 from stratoloom.operators import learning as M
+from stratoloom.plans import learning
 
 
 def random_pairs(rng, n, m):
@@ -64,6 +65,33 @@ def test_series_neighbours_of_equal_and_many_series(spark):
     assert time.process_time() - began < 20 and d[7, 11] == M.move_split_merge(a[7], b[11])
 
 
+def test_msm_knn_asks_for_all_customers(spark, data):
+    orders = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey", "o_orderdate").collect()
+    counts = {}
+    for r in orders:
+        t = (r.o_orderdate.year, (r.o_orderdate.month - 1) // 3)
+        counts.setdefault(r.o_custkey, {}).setdefault(t, 0)
+        counts[r.o_custkey][t] += 1
+    series = [(c, np.array([float(v[t]) for t in sorted(v)])) for c, v in sorted(counts.items())]
+    got = {}
+    for r in learning.msm_knn(spark, data).collect():
+        got.setdefault(r.probe, []).append((r.distance, r.id))
+    assert len(series) > 100 and got.keys() == counts.keys()
+    for c, y in series[::15]:
+        want = sorted((M.move_split_merge(y, x), i) for i, x in series)[:5]
+        assert np.allclose([d for d, _ in sorted(got[c])], [d for d, _ in want]) and len({i for _, i in got[c]}) == 5
+
+
+def test_series_that_are_left_out_are_further_away():
+    rng = np.random.default_rng(11)
+    vs = [rng.integers(0, 5, rng.integers(1, 9)).astype(float) for _ in range(60)]
+    i, j = (x.ravel() for x in np.indices((60, 60)))
+    d = M.move_split_merge_pairs(vs, vs, i, j)
+    sizes, wide = np.array([len(v) for v in vs]), M._shape_of(vs)
+    assert np.allclose(d, [M.move_split_merge(vs[a], vs[b]) for a, b in zip(i, j)])
+    assert (d >= np.abs(wide[i] - wide[j]).max(1) + 0.1 * np.abs(sizes[i] - sizes[j]) - 1e-9).all()
+
+
 def test_betweenness_of_many_nodes_that_reach_few():
     rng = np.random.default_rng(4)
     nodes, pairs = random_pairs(rng, 20, 45)
