@@ -414,7 +414,7 @@ def _shape_of(vs: list[np.ndarray]) -> np.ndarray:
     return np.array([(v[0], v[-1], v.max(), v.min(), v[0] + np.maximum(np.diff(v), 0).sum()) if len(v) else (0.0,) * 5 for v in vs]).reshape(-1, 5)
 
 
-def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col: str, values: str, k: int, cost: float = 0.1, block: int = 2048, probe_block: int = 256) -> DataFrame:
+def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col: str, values: str, k: int, cost: float = 0.1, block: int = 32_768, probe_block: int = 256) -> DataFrame:
     """The ``k`` nearest series of every probe: ``probe, id, distance``; ties go to the smaller id.
 
     Both tables have ``id_col`` and ``values`` (probes may be a list of such pairs); null values are dropped.  Series
@@ -444,27 +444,29 @@ def series_neighbours(series: DataFrame, probes: DataFrame | list[tuple], id_col
         ids, xs, ys = pdf["ids"][pdf["side"] == 0].to_list(), *([np.asarray(v, float) for v in pdf["v"][pdf["side"] == side]] for side in (0, 1))
         if xs and ys:
             many, sizes, wide = np.array([len(i) for i in ids]), np.array([len(x) for x in xs]), _shape_of(xs)
-            for lo in range(0, len(ys), 64):
-                part = ys[lo : lo + 64]
+            for lo in range(0, len(ys), 16):
+                part = ys[lo : lo + 16]
                 with np.errstate(invalid="ignore"):
                     apart = np.abs(_shape_of(part)[:, None] - wide).max(2)
                 least = np.where(np.isnan(apart), 0.0, apart) + cost * np.abs(np.array([len(y) for y in part])[:, None] - sizes)
-                d = np.full(least.shape, math.inf)
-                # the likeliest first, then all that could be as near
-                first = np.argpartition(least, min(4 * k, len(xs)) - 1, axis=1)[:, : 4 * k]
-                r, c = np.repeat(np.arange(len(part)), first.shape[1]), first.ravel()
-                d[r, c] = move_split_merge_pairs(part, xs, r, c, cost)
-                near = np.take_along_axis(d, first, 1)
-                order = np.argsort(near, axis=1)
-                enough = np.cumsum(many[np.take_along_axis(first, order, 1)], axis=1) >= k
-                far = np.where(enough[:, -1], np.take_along_axis(np.take_along_axis(near, order, 1), enough.argmax(1)[:, None], 1)[:, 0], math.inf)
-                seen = np.zeros(d.shape, bool)
-                seen[r, c] = True
-                could = least * (1 - 1e-9) - 1e-9 <= far[:, None]
-                r, c = np.nonzero(could & ~seen)
-                d[r, c] = move_split_merge_pairs(part, xs, r, c, cost)
+                least = least * (1 - 1e-9) - 1e-9
+                d, seen, far = np.full(least.shape, math.inf), np.zeros(least.shape, bool), np.full((len(part), 1), math.inf)
+                # the likeliest first, then ever more of those that could be as near, at last all
+                for most in (4 * k, 64 * k, len(xs)):
+                    pick = least <= far
+                    if most < len(xs):
+                        first = np.argpartition(least, most - 1, axis=1)[:, :most]
+                        np.put_along_axis(likely := np.zeros_like(pick), first, True, 1)
+                        pick &= likely
+                    r, c = np.nonzero(pick & ~seen)
+                    d[r, c] = move_split_merge_pairs(part, xs, r, c, cost)
+                    seen[r, c] = True
+                    near = np.argpartition(d, min(k, len(xs)) - 1, axis=1)[:, :k]
+                    near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
+                    enough = np.cumsum(many[near], axis=1) >= k
+                    far = np.where(enough[:, -1:], np.take_along_axis(d, np.take_along_axis(near, enough.argmax(1)[:, None], 1), 1), math.inf)
                 for r, y in enumerate(part):
-                    close = [(float(d[r, c]), i) for c in np.nonzero((could[r] | seen[r]) & (d[r] <= far[r]))[0].tolist() for i in ids[c]]
+                    close = [(float(d[r, c]), i) for c in np.nonzero(seen[r] & (d[r] <= far[r]))[0].tolist() for i in ids[c]]
                     rows += [(y, i, dist) for dist, i in sorted(close)[:k]]
         return pd.DataFrame(rows, columns=["v", "id", "distance"])
 
